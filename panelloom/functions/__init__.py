@@ -1,5 +1,5 @@
 from panelloom.functions.columns import (  # noqa: F401
-    by_ticker, ffill, nz, present, pct_change, roll, roll_beta, safe_corr, skew_adjusted, sqrt0, tidy,
+    Frames, by_ticker, ffill, nz, pct_change, present, safe_corr, skew_adjusted, sqrt0, tidy,
 )
 from panelloom.functions.order_stats import (  # noqa: F401
     average_rank, ordered_counts, percent_rank, quantiles, row_positions,

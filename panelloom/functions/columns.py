@@ -1,11 +1,12 @@
 """Column builders shared by all operators.
 
-Everything here stays inside the JVM.  ``roll`` is the guarded frame: a rolling value
-exists only once the frame holds enough non-null inputs.
+Everything here stays inside the JVM; :class:`Frames` holds the rolling windows.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,11 +33,91 @@ def sqrt0(x) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), col(x)))
 
 
-def roll(fn, x, n: int, w: WindowSpec, min_rows: int | None = None) -> Column:
-    """``fn`` over the last ``n`` rows, null until ``min_rows`` (default ``n``) non-null inputs."""
-    frame = w.rowsBetween(-(n - 1), 0)
-    c = col(x)
-    return F.when(F.count(c).over(frame) >= (min_rows or n), fn(c).over(frame))
+class Frames:
+    """Rolling columns over one window specification, built from shared running totals.
+
+    Spark re-aggregates a sliding frame for every row, so its cost is rows x width.  A
+    frame that starts at the partition's first row is only extended, so the difference of
+    two such frames costs the same for 20 and for 756 rows.  The running totals become
+    named columns: however many rolling columns use one, it is computed once.
+
+    Build columns with :meth:`roll`, :meth:`beta` and :meth:`corr`; then ``add(df, cols)``
+    adds the totals and the columns.  A rolling value exists only with ``min_rows``
+    (default: the width) non-null inputs in its frame.
+    """
+
+    def __init__(self, w: WindowSpec | None = None):
+        self.w = w if w is not None else by_ticker()
+        self.inputs: dict[str, Column] = {}
+        self.totals: dict[str, Column] = {}
+
+    def named(self, x) -> str:
+        if isinstance(x, str):
+            return x
+        name = "__in_" + hashlib.md5(repr(x).encode()).hexdigest()[:12]
+        self.inputs[name] = x
+        return name
+
+    def _upto(self, kind: str, x: str, end: int, expr: Column) -> Column:
+        name = f"__{kind}_{x}_{end}"
+        fn = F.count if kind == "n" else F.sum
+        total = fn(expr).over(self.w.rowsBetween(Window.unboundedPreceding, -end))
+        self.totals[name] = total if kind == "n" else F.coalesce(total, F.lit(0.0))
+        return F.col(name)
+
+    def _total(self, kind: str, x: str, n: int, expr: Column) -> Column:
+        return self._upto(kind, x, 0, expr) - self._upto(kind, x, n, expr)
+
+    def count(self, x, n: int) -> Column:
+        x = self.named(x)
+        return self._total("n", x, n, F.col(x))
+
+    def _spread(self, x: str, n: int, k: Column) -> Column:
+        """Sum of squared deviations; below the rounding noise of the totals it is zero."""
+        v = F.col(x).cast("double")
+        s, q = self._total("s", x, n, v), self._total("q", x, n, v * v)
+        m2 = q - s * s / nz(k)
+        return F.when(m2 <= self._upto("q", x, 0, v * v) * 1e-14, F.lit(0.0)).otherwise(m2)
+
+    def roll(self, fn, x, n: int, min_rows: int | None = None) -> Column:
+        x, need = self.named(x), min_rows or n
+        count = self.count(x, n)
+        k = count.cast("double")
+        if fn in (F.sum, F.avg):
+            total = self._total("s", x, n, F.col(x).cast("double"))
+            value = total if fn is F.sum else total / nz(k)
+        elif fn in (F.var_samp, F.stddev_samp):
+            value = self._spread(x, n, k) / nz(k - 1.0)
+            value = F.sqrt(value) if fn is F.stddev_samp else value
+        else:
+            name = f"__{fn.__name__}_{x}_{n}"
+            self.totals[name] = fn(F.col(x)).over(self.w.rowsBetween(-(n - 1), 0))
+            value = F.col(name)
+        return F.when(count >= need, value)
+
+    def _pair(self, y, x, n: int) -> tuple[Column, Column, Column, Column]:
+        y, x = col(self.named(y)), col(self.named(x))
+        both = y.isNotNull() & x.isNotNull()
+        y, x = self.named(F.when(both, y)), self.named(F.when(both, x))
+        k = self.count(y, n).cast("double")
+        cross = self._total("c" + y, x, n, F.col(x) * F.col(y))
+        sums = [self._total("s", v, n, F.col(v).cast("double")) for v in (y, x)]
+        return k, cross - sums[0] * sums[1] / nz(k), self._spread(y, n, k), self._spread(x, n, k)
+
+    def beta(self, y, x, n: int) -> Column:
+        """Slope of ``y`` on ``x`` over ``n`` complete pairs."""
+        k, cross, _, xx = self._pair(y, x, n)
+        return F.when(k >= n, cross / nz(xx))
+
+    def corr(self, y, x, n: int) -> Column:
+        k, cross, yy, xx = self._pair(y, x, n)
+        return F.when(k >= n, cross / nz(F.sqrt(yy) * F.sqrt(xx)))
+
+    def add(self, df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+        for extra in (self.inputs, self.totals):
+            new = {k: v for k, v in extra.items() if k not in df.columns}
+            df = df.withColumns(new) if new else df
+        return df.withColumns(columns)
 
 
 def pct_change(x, w: WindowSpec, k: int = 1) -> Column:
@@ -48,15 +129,6 @@ def ffill(x, w: WindowSpec) -> Column:
     return F.last(col(x), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
 
 
-def roll_beta(y: str, x: str, n: int, w: WindowSpec) -> Column:
-    """Rolling regression slope of ``y`` on ``x``; both must be null together."""
-    frame = w.rowsBetween(-(n - 1), 0)
-    return F.when(
-        F.count(F.col(y)).over(frame) >= n,
-        F.covar_samp(y, x).over(frame) / nz(F.var_samp(x).over(frame)),
-    )
-
-
 def safe_corr(y, x, frame: WindowSpec | None = None) -> Column:
     """Pearson correlation that is null, not an error, for a constant input."""
     y, x = col(y), col(x)
