@@ -1,3 +1,4 @@
+from panelloom.functions.joins import asof_join, calendar  # noqa: F401
 from panelloom.functions.columns import (  # noqa: F401
     Frames, by_ticker, ffill, nz, pct_change, present, safe_corr, skew_adjusted, sqrt0, tidy,
 )

@@ -70,11 +70,17 @@ def ordered_counts(
     return out.drop(tag) if tag else out
 
 
-def average_rank(df: DataFrame, keys: list[str], value: str, out: str, slices: int = SLICES) -> DataFrame:
-    """Rank inside the group, ties sharing their average place; null stays null."""
-    pos = ordered_counts(df, keys, value, slices).select(
-        *keys, value, ((F.col("first_pos") + F.col("last_pos")) / 2.0).alias(out)
-    )
+def average_rank(
+    df: DataFrame, keys: list[str], value: str, out: str, slices: int = SLICES, centred: bool = False
+) -> DataFrame:
+    """Rank inside the group, ties sharing their average place; null stays null.
+
+    ``centred`` subtracts the mean rank, which leaves exact multiples of one half.
+    """
+    rank = (F.col("first_pos") + F.col("last_pos")) / 2.0
+    if centred:
+        rank = rank - (F.col("total") + 1) / 2.0
+    pos = ordered_counts(df, keys, value, slices).select(*keys, value, rank.alias(out))
     return df.join(pos, keys + [value], "left")
 
 

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from panelloom.plans import q_features  # noqa: F401
+from panelloom.plans import q_alpha, q_backtest, q_features  # noqa: F401
 from panelloom.plans.registry import ORACLES, QUERIES  # noqa: F401

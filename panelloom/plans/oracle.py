@@ -111,6 +111,33 @@ PARTS: dict[str, str] = {
     "facret": "SELECT date, sector AS factor, avg(ret) AS ret FROM rets JOIN smap USING (ticker) WHERE ret IS NOT NULL GROUP BY ALL",
     "fwide": """SELECT date, avg(CASE WHEN sector = 'ASIA' THEN ret END) AS asia, avg(CASE WHEN sector = 'EUROPE' THEN ret END) AS europe
         FROM rets JOIN smap USING (ticker) WHERE ret IS NOT NULL GROUP BY date""",
+    "adv": f"""SELECT date, ticker, last_value(m IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date) AS adv FROM (
+        SELECT date, ticker, {r('avg', '(close*volume)', 20, 5)} AS m FROM panel)""",
+    "expo": """SELECT c.date, c.idx, coalesce(v.e, 1.0::DOUBLE) AS exposure FROM cal c ASOF LEFT JOIN (
+        SELECT date, (CASE WHEN close < 22 THEN 1.0 WHEN close <= 30 THEN 0.8 ELSE 0.6 END)::DOUBLE AS e FROM vix) v ON c.date >= v.date""",
+    "sp": """SELECT *, coalesce(lead(s) OVER (PARTITION BY portfolio_id ORDER BY s), 1000000000) - 1 AS e FROM (
+        SELECT DISTINCT portfolio_id, rebal_date, idx AS s FROM weights JOIN cal ON date = rebal_date)""",
+    "held": """SELECT w.portfolio_id, n.date, n.idx, w.ticker, w.weight * d.exposure AS weight FROM weights w JOIN sp USING (portfolio_id, rebal_date)
+        JOIN expo d ON d.idx BETWEEN s AND e JOIN cal n ON n.idx = d.idx + 1""",
+    "grid": "SELECT portfolio_id, date, idx FROM (SELECT DISTINCT portfolio_id FROM weights) CROSS JOIN cal",
+    "gross0": """SELECT g.portfolio_id, g.date, g.idx, coalesce(x.gross, 0.0) AS gross FROM grid g LEFT JOIN (
+        SELECT portfolio_id, h.date, sum(weight * ret) AS gross FROM held h JOIN rets r ON h.date = r.date AND h.ticker = r.ticker AND ret IS NOT NULL GROUP BY 1, 2) x
+        ON g.portfolio_id = x.portfolio_id AND g.date = x.date""",
+    "scal": f"""SELECT *, CASE WHEN v IS NULL THEN 1.0 WHEN v = 0 THEN 1.0 ELSE greatest(0.2, least(1.0, 0.18 / v)) END AS scalar FROM (
+        SELECT *, {r('stddev_samp', 'gross', 60, 20, part='portfolio_id')} * sqrt(252.0) AS v FROM gross0)""",
+    "held2": "SELECT h.portfolio_id, h.date, h.idx, h.ticker, weight * scalar AS weight FROM held h JOIN scal USING (portfolio_id, date)",
+    "trd": """SELECT coalesce(a.portfolio_id, b.portfolio_id) AS portfolio_id, coalesce(a.idx, b.idx + 1) AS idx, coalesce(a.ticker, b.ticker) AS ticker,
+        abs(coalesce(a.weight, 0) - coalesce(b.weight, 0)) AS trade FROM held2 a FULL JOIN held2 b
+        ON a.portfolio_id = b.portfolio_id AND a.ticker = b.ticker AND a.idx = b.idx + 1""",
+    "cost": """SELECT portfolio_id, t.date, sum(trade) AS turnover, sum(trade) * 0.0015 AS fixed_cost,
+        sum(0.1 * pow(trade * 1e5 / greatest(coalesce(adv, 1.0), 1.0), 2)) AS impact_cost
+        FROM (SELECT trd.*, date FROM trd JOIN cal USING (idx)) t ASOF LEFT JOIN adv ON t.ticker = adv.ticker AND t.date >= adv.date GROUP BY 1, 2""",
+    "net0": """SELECT s.portfolio_id, s.date, gross * scalar AS gross, scalar, coalesce(turnover, 0) AS turnover, coalesce(fixed_cost, 0) AS fixed_cost,
+        coalesce(impact_cost, 0) AS impact_cost, gross * scalar - coalesce(fixed_cost, 0) - coalesce(impact_cost, 0) AS net
+        FROM scal s LEFT JOIN cost c ON s.portfolio_id = c.portfolio_id AND s.date = c.date""",
+    "bt": """SELECT *, equity / max(equity) OVER (PARTITION BY portfolio_id ORDER BY date) - 1 AS drawdown FROM (
+        SELECT *, 1e5 * product(1 + net) OVER (PARTITION BY portfolio_id ORDER BY date) AS equity FROM net0)""",
+    "calpx": "SELECT p.date, ticker, close, idx FROM panel p JOIN cal USING (date)",
     "ops": "SELECT event_id, ts, 'op_' || (user_id % 10)::VARCHAR AS operation, value * 10 AS latency_ms, event_type <> 'error' AS success FROM events",
     "alerts": """SELECT event_id, ts, CASE WHEN value > 150 THEN 'CRITICAL' WHEN value > 75 THEN 'WARNING' ELSE 'INFO' END AS severity,
         event_type AS category, 'm' || (user_id % 3)::VARCHAR AS metric, value FROM events""",
@@ -148,10 +175,15 @@ def ctes(body: str, extra: dict[str, str] | None = None) -> str:
 
 
 def fin(columns: str, body: str, extra: dict[str, str] | None = None) -> str:
-    """Report form: ``x`` rounds a double, ``x:k`` keeps, ``x:d`` is a date, ``x:i`` an integer."""
+    """Report form: ``x`` rounds a double, ``x:k`` keeps, ``x:d`` is a date, ``x:i`` an integer,
+    ``x:2`` rounds to two places."""
     out = []
     for spec in columns.split():
         name, _, kind = spec.partition(":")
+        if kind.isdigit():
+            p = f"1e{kind}"
+            out.append(f"floor({name}::DOUBLE * {p} + 0.5) / {p} + 0.0 AS {name}")
+            continue
         out.append({
             "": f"floor({name}::DOUBLE * 1e6 + 0.5) / 1e6 + 0.0 AS {name}", "k": name,
             "d": f"CAST({name}::DATE AS VARCHAR) AS {name}", "i": f"{name}::BIGINT AS {name}",
