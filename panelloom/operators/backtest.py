@@ -89,11 +89,11 @@ def vol_scalar(daily: DataFrame, ret: str = "gross", target: float = 0.18, lookb
 
 
 def trades(held: DataFrame) -> DataFrame:
-    """Absolute change of every name's weight from one day to the next."""
+    """Absolute change of every name's weight from one day to the next; rounding noise is no trade."""
     now = held.select("portfolio_id", "idx", "ticker", "weight")
     before = held.select("portfolio_id", (c("idx") + 1).alias("idx"), "ticker", (-c("weight")).alias("weight"))
     change = now.unionByName(before).groupBy("portfolio_id", "idx", "ticker").agg(F.sum("weight").alias("d"))
-    return change.where("idx > 1").select("portfolio_id", "idx", "ticker", F.abs("d").alias("trade")).where("trade > 0")
+    return change.where("idx > 1").select("portfolio_id", "idx", "ticker", F.abs("d").alias("trade")).where("trade > 1e-12")
 
 
 def costs(moved: DataFrame, cal: DataFrame, adv: DataFrame | None, cfg: Config) -> DataFrame:

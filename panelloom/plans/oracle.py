@@ -131,7 +131,7 @@ PARTS: dict[str, str] = {
         ON a.portfolio_id = b.portfolio_id AND a.ticker = b.ticker AND a.idx = b.idx + 1""",
     "cost": """SELECT portfolio_id, t.date, sum(trade) AS turnover, sum(trade) * 0.0015 AS fixed_cost,
         sum(0.1 * pow(trade * 1e5 / greatest(coalesce(adv, 1.0), 1.0), 2)) AS impact_cost
-        FROM (SELECT trd.*, date FROM trd JOIN cal USING (idx)) t ASOF LEFT JOIN adv ON t.ticker = adv.ticker AND t.date >= adv.date GROUP BY 1, 2""",
+        FROM (SELECT trd.*, date FROM trd JOIN cal USING (idx) WHERE trade > 1e-12) t ASOF LEFT JOIN adv ON t.ticker = adv.ticker AND t.date >= adv.date GROUP BY 1, 2""",
     "net0": """SELECT s.portfolio_id, s.date, gross * scalar AS gross, scalar, coalesce(turnover, 0) AS turnover, coalesce(fixed_cost, 0) AS fixed_cost,
         coalesce(impact_cost, 0) AS impact_cost, gross * scalar - coalesce(fixed_cost, 0) - coalesce(impact_cost, 0) AS net
         FROM scal s LEFT JOIN cost c ON s.portfolio_id = c.portfolio_id AND s.date = c.date""",
