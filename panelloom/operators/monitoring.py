@@ -188,26 +188,23 @@ def quiet_periods(alerts: DataFrame, cooldown: float = 300.0) -> DataFrame:
 def cooldown_filter(alerts: DataFrame, cooldown: float = 300.0) -> DataFrame:
     """Alerts that fire when a key stays silent for ``cooldown`` seconds after each firing.
 
-    An episode streams through its group batch by batch; only the last firing is kept.
+    Whole episodes lie in one partition in time order and stream through it batch by
+    batch; the state is the episode at hand and its last firing.
     """
 
     def fire(batches: Iterator["pd.DataFrame"]) -> Iterator["pd.DataFrame"]:
-        last = -float("inf")
+        current, last = None, 0.0
         for pdf in batches:
             keep = []
-            for t in pdf["t"]:
-                hit = t - last >= cooldown
-                last = t if hit else last
+            for *episode, t in pdf[[*KEY, "episode", "t"]].itertuples(index=False):
+                hit = episode != current or t - last >= cooldown
+                current, last = episode, t if hit else last
                 keep.append(hit)
             yield pdf.loc[keep, ["event_id"]]
 
-    import pandas as pd
-
-    fire.__annotations__ = {"batches": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
     rows = quiet_periods(alerts, cooldown).select(*KEY, "episode", "t", "event_id")
     ordered = rows.repartition(*KEY, "episode").sortWithinPartitions(*KEY, "episode", "t", "event_id")
-    fired = ordered.groupBy(*KEY, "episode").applyInPandas(fire, "event_id bigint")
-    return alerts.join(fired, "event_id", "left_semi")
+    return alerts.join(ordered.mapInPandas(fire, "event_id bigint"), "event_id", "left_semi")
 
 
 def throttle(alerts: DataFrame, cooldown: float = 300.0, hourly_cap: int = 100) -> DataFrame:

@@ -59,13 +59,13 @@ def _risk_parity(cov, score, rounds: int = 20):
 def _capped_simplex(v, cap):
     """Euclidean projection on {0 <= w <= cap, sum w = 1} by bisection on the shift."""
     lo, hi = v.min() - 1.0, v.max()
-    for _ in range(100):
+    for _ in range(60):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if np.clip(v - mid, 0, cap).sum() > 1 else (lo, mid)
     return np.clip(v - (lo + hi) / 2, 0, cap)
 
 
-def _min_variance(cov, score, cap: float = 0.20, rounds: int = 5000):
+def _min_variance(cov, score, cap: float = 0.20, rounds: int = 1000):
     n = len(cov)
     if n * cap <= 1.0:
         return np.full(n, 1.0 / n)
@@ -75,7 +75,7 @@ def _min_variance(cov, score, cap: float = 0.20, rounds: int = 5000):
         nxt = _capped_simplex(y - step * (cov @ y), cap)
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         y = nxt + (t - 1) / t2 * (nxt - w)
-        if np.abs(nxt - w).max() < 1e-12:
+        if np.abs(nxt - w).max() < 1e-10:
             return nxt
         w, t = nxt, t2
     return w

@@ -222,3 +222,11 @@ def _(t):
         "stress_ok": c("stress_ok"), "drawdown_ok": F.abs("max_drawdown") < 0.20,
     }
     return m.select("portfolio_id", *alpha.verdict(checks))
+
+
+@query("research_run_monthly")
+def _(t):
+    """The end-to-end run from raw rows to monthly returns."""
+    from panelloom.plans.flagship import research_run
+
+    return research_run(t, [5, 10])["monthly"]

@@ -323,7 +323,7 @@ ATF = ["return_1m", "bollinger_distance", "volume_shock", "volatility_regime", "
 AKEYS = ["date", "ticker"]
 ATT = {"att": " UNION ALL ".join(
     f"SELECT date, ticker, '{f}' AS feature, ({f} - avg({f}) OVER (PARTITION BY date)) / CASE WHEN stddev_samp({f}) OVER (PARTITION BY date) = 0 THEN 1e-6 ELSE stddev_samp({f}) OVER (PARTITION BY date) END * 0.01 AS value FROM core" for f in ATF),
-    "at": "SELECT *, row_number() OVER (PARTITION BY date, ticker ORDER BY abs(value) DESC, feature) AS rank FROM att WHERE value IS NOT NULL"}
+    "atk": "SELECT *, row_number() OVER (PARTITION BY date, ticker ORDER BY abs(value) DESC, feature) AS rank FROM att WHERE value IS NOT NULL"}
 
 
 def attributions(t):
@@ -340,7 +340,7 @@ def _(t):
     return models.attribution_importance(attributions(t))
 
 
-@query("model_local_explanation", fin("date:d ticker:k feature:k value", "SELECT * FROM at", ATT))
+@query("model_local_explanation", fin("date:d ticker:k feature:k value", "SELECT * FROM atk", ATT))
 def _(t):
     from panelloom.operators import models
 
@@ -349,7 +349,7 @@ def _(t):
 
 @query("insight_explain_predictions", fin("date:d ticker:k direction:k stance:k n_drivers:i narrative:k", """SELECT s.date, s.ticker, direction, stance, coalesce(n, 0) AS n_drivers, direction || ' (' || stance || ') on ' || s.ticker AS narrative FROM (
     SELECT date, ticker, CASE WHEN x > 0.02 THEN 'BULLISH' WHEN x < -0.02 THEN 'BEARISH' ELSE 'NEUTRAL' END AS direction, CASE WHEN x > 0.05 THEN 'Strong Outperform' WHEN x > 0.02 THEN 'Moderate Outperform' WHEN x < -0.05 THEN 'Strong Underperform' WHEN x < -0.02 THEN 'Moderate Underperform' ELSE 'Market Perform' END AS stance
-    FROM (SELECT date, ticker, (score - 0.5) * 0.2 AS x FROM scores)) s LEFT JOIN (SELECT date, ticker, count(*) AS n FROM at WHERE rank <= 5 GROUP BY 1, 2) a USING (date, ticker)""", ATT))
+    FROM (SELECT date, ticker, (score - 0.5) * 0.2 AS x FROM scores)) s LEFT JOIN (SELECT date, ticker, count(*) AS n FROM atk WHERE rank <= 5 GROUP BY 1, 2) a USING (date, ticker)""", ATT))
 def _(t):
     pred = t.scores().select("date", "ticker", ((c("score") - 0.5) * 0.2).alias("score"))
     df = insights.explain_predictions(pred, attributions(t), AKEYS)
@@ -357,7 +357,7 @@ def _(t):
 
 
 @query("insight_attribution_split", fin("date:d ticker:k total_attribution final_prediction n_positive:i n_negative:i", """SELECT t.date, t.ticker, total_attribution, total_attribution + 0.5 AS final_prediction, coalesce(p, 0) AS n_positive, coalesce(n, 0) AS n_negative
-    FROM (SELECT date, ticker, sum(value) AS total_attribution FROM att GROUP BY 1, 2) t LEFT JOIN (SELECT date, ticker, count(*) FILTER (value > 0) AS p, count(*) FILTER (value < 0) AS n FROM at WHERE rank <= 5 GROUP BY 1, 2) s USING (date, ticker)""", ATT))
+    FROM (SELECT date, ticker, sum(value) AS total_attribution FROM att GROUP BY 1, 2) t LEFT JOIN (SELECT date, ticker, count(*) FILTER (value > 0) AS p, count(*) FILTER (value < 0) AS n FROM atk WHERE rank <= 5 GROUP BY 1, 2) s USING (date, ticker)""", ATT))
 def _(t):
     df = insights.attribution_split(attributions(t), AKEYS, base=0.5)
     n = lambda x: F.when(F.length(x) > 0, F.size(F.split(x, ","))).otherwise(0)
@@ -441,9 +441,10 @@ def _(t):
 VW = TCA | {"lv": "SELECT ticker, 10 - k AS slice, volume / sum(volume) OVER (PARTITION BY ticker) AS profile_weight FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS k FROM panel) WHERE k <= 10"}
 
 
-@query("execution_vwap_slices", fin("order_id:i slice:i profile_weight qty", "SELECT order_id, slice, profile_weight, qty * profile_weight AS qty FROM ord JOIN lv USING (ticker)", VW))
+@query("execution_vwap_slices", fin("ticker:k slice:i n:i profile_weight qty:4", "SELECT ticker, slice, count(*) AS n, max(profile_weight) AS profile_weight, sum(qty * profile_weight) AS qty FROM ord JOIN lv USING (ticker) GROUP BY 1, 2", VW))
 def _(t):
-    return tca.vwap_slices(orders(t), t.panel(), 10).select("order_id", "slice", "profile_weight", "qty")
+    return tca.vwap_slices(orders(t), t.panel(), 10).groupBy("ticker", "slice").agg(
+        F.count(F.lit(1)).alias("n"), F.max("profile_weight").alias("profile_weight"), tidy(F.sum("qty"), 4).alias("qty"))
 
 
 # every child slice meets the candle of its order
