@@ -1,10 +1,15 @@
-"""Exact ranks and quantiles of groups that may be larger than one task can sort.
+"""Exact ranks and quantiles of groups of any size.
 
 A window ordered inside ``partitionBy(date)`` sorts a whole cross-section in one task.
-Here each group is cut into value slices at approximate quantiles.  The cut points only
-balance the work; positions come from exact counts (rows before the slice plus rows
+That is the fastest plan while the largest group fits a task comfortably, so every
+function first counts the largest group (one small aggregate) and takes that plan up to
+``TASK_ROWS`` rows (session setting ``panelloom.taskRows``).
+
+Beyond it each group is cut into value slices at approximate quantiles.  The cut points
+only balance the work; positions come from exact counts (rows before the slice plus rows
 before the value inside the slice), so the result does not depend on the sketch.  Equal
-values are counted before the shuffle, so a group of copies costs one row.
+values are counted before the shuffle, so a group of copies costs one row.  Both plans
+give the same numbers.
 """
 
 from __future__ import annotations
@@ -13,6 +18,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICES = 32
+TASK_ROWS = 2_000_000
+_ALL = "__all"
+
+
+def fits_task(df: DataFrame, keys: list[str]) -> bool:
+    """Whether the largest group of ``keys`` may be sorted in one task."""
+    limit = int(df.sparkSession.conf.get("panelloom.taskRows", str(TASK_ROWS)))
+    if limit <= 0:
+        return False
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")) if keys else df.agg(F.count(F.lit(1)).alias("n"))
+    return (sizes.agg(F.max("n")).first()[0] or 0) <= limit
 
 
 def _sliced(df: DataFrame, keys: list[str], value: str, slices: int) -> DataFrame:
@@ -24,8 +40,19 @@ def _sliced(df: DataFrame, keys: list[str], value: str, slices: int) -> DataFram
     ).drop("__edges")
 
 
+def _offsets(counts: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
+    """Totals before each slice and of the whole group, from one row per slice."""
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select(
+        *keys, "__slice",
+        *[F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0)).alias(f"__off_{n}") for n in sums],
+        *[F.sum(f"__s_{n}").over(group).alias(f"__tot_{n}") for n in sums],
+    )
+
+
 def ordered_counts(
-    df: DataFrame, keys: list[str], value: str, slices: int = SLICES, **extra: Column
+    df: DataFrame, keys: list[str], value: str, slices: int = SLICES, small: bool | None = None, **extra: Column
 ) -> DataFrame:
     """One row per distinct non-null ``value`` of a group, with its exact place.
 
@@ -33,79 +60,88 @@ def ordered_counts(
     ascending order) and ``total``.  Each ``extra`` sum-like aggregate ``a`` gives
     ``cum_a`` (running total up to and including the value) and ``total_a``.
     """
-    tag = None
-    if not keys:
-        tag, keys = "__all", ["__all"]
-        df = df.withColumn("__all", F.lit(0))
+    small = fits_task(df, keys) if small is None else small
+    tag = not keys
+    if tag:
+        keys, df = [_ALL], df.withColumn(_ALL, F.lit(0))
     sums = {"cnt": F.count(F.lit(1)), **extra}
     distinct = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(*[c.alias(n) for n, c in sums.items()])
+        df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(*[c.alias(n) for n, c in sums.items()])
     )
-    cut = _sliced(distinct, keys, value, slices)
-    group = Window.partitionBy(*keys)
-    before = group.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        cut.groupBy(*keys, "__slice")
-        .agg(*[F.sum(n).alias(f"__s_{n}") for n in sums])
-        .select(
-            *keys, "__slice",
-            *[F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0)).alias(f"__off_{n}") for n in sums],
-            *[F.sum(f"__s_{n}").over(group).alias(f"__tot_{n}") for n in sums],
-        )
-    )
-    inside = Window.partitionBy(*keys, "__slice").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    placed = cut.select(
-        "*", *[F.sum(n).over(inside).alias(f"__run_{n}") for n in sums]
-    ).join(offsets, keys + ["__slice"])
+    if small:
+        group = Window.partitionBy(*keys).orderBy(value)
+        run, whole = group.rowsBetween(Window.unboundedPreceding, 0), group.rowsBetween(
+            Window.unboundedPreceding, Window.unboundedFollowing)
+        placed = distinct.select(
+            "*", *[F.sum(n).over(run).alias(f"__run_{n}") for n in sums], *[F.sum(n).over(whole).alias(f"__tot_{n}") for n in sums],
+            *[F.lit(0).alias(f"__off_{n}") for n in sums])
+    else:
+        cut = _sliced(distinct, keys, value, slices)
+        counts = cut.groupBy(*keys, "__slice").agg(*[F.sum(n).alias(f"__s_{n}") for n in sums])
+        inside = Window.partitionBy(*keys, "__slice").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+        placed = cut.select("*", *[F.sum(n).over(inside).alias(f"__run_{n}") for n in sums]).join(
+            _offsets(counts, keys, list(sums)), keys + ["__slice"])
     last = F.col("__off_cnt") + F.col("__run_cnt")
     out = placed.select(
         *keys, value, "cnt",
-        (last - F.col("cnt") + 1).alias("first_pos"), last.alias("last_pos"),
-        F.col("__tot_cnt").alias("total"),
+        (last - F.col("cnt") + 1).alias("first_pos"), last.alias("last_pos"), F.col("__tot_cnt").alias("total"),
         *[(F.col(f"__off_{n}") + F.col(f"__run_{n}")).alias(f"cum_{n}") for n in extra],
         *[F.col(f"__tot_{n}").alias(f"total_{n}") for n in extra],
     )
-    return out.drop(tag) if tag else out
+    return out.drop(_ALL) if tag else out
+
+
+def _places(df: DataFrame, keys: list[str], value: str, small: bool | None, slices: int) -> DataFrame:
+    """Every row with ``__first``, ``__last`` place of its value and ``__total``; null values get null."""
+    small = fits_task(df, keys) if small is None else small
+    if not small:
+        pos = ordered_counts(df, keys, value, slices, small=False).select(
+            *keys, value, F.col("first_pos").alias("__first"), F.col("last_pos").alias("__last"), F.col("total").alias("__total"))
+        return df.join(pos, keys + [value], "left")
+    # nulls sort first and are subtracted from the places of the values
+    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(value)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    upto = F.count(value).over(w.rangeBetween(Window.unboundedPreceding, 0))
+    nulls = F.count(F.lit(1)).over(whole) - F.count(value).over(whole)
+    has = F.col(value).isNotNull()
+    return df.withColumns({
+        "__first": F.when(has, F.rank().over(w) - nulls), "__last": F.when(has, upto), "__total": F.when(has, F.count(value).over(whole))})
 
 
 def average_rank(
-    df: DataFrame, keys: list[str], value: str, out: str, slices: int = SLICES, centred: bool = False
+    df: DataFrame, keys: list[str], value: str, out: str, slices: int = SLICES, centred: bool = False, small: bool | None = None
 ) -> DataFrame:
     """Rank inside the group, ties sharing their average place; null stays null.
 
     ``centred`` subtracts the mean rank, which leaves exact multiples of one half.
     """
-    rank = (F.col("first_pos") + F.col("last_pos")) / 2.0
+    rank = (F.col("__first") + F.col("__last")) / 2.0
     if centred:
-        rank = rank - (F.col("total") + 1) / 2.0
-    pos = ordered_counts(df, keys, value, slices).select(*keys, value, rank.alias(out))
-    return df.join(pos, keys + [value], "left")
+        rank = rank - (F.col("__total") + 1) / 2.0
+    return _places(df, keys, value, small, slices).withColumn(out, rank).drop("__first", "__last", "__total")
 
 
 def percent_rank(
-    df: DataFrame, keys: list[str], value: str, out: str, descending: Column | bool = False, slices: int = SLICES
+    df: DataFrame, keys: list[str], value: str, out: str, descending: Column | bool = False, slices: int = SLICES,
+    small: bool | None = None,
 ) -> DataFrame:
     """Average rank over the number of non-null values, in (0, 1]."""
-    up = (F.col("first_pos") + F.col("last_pos")) / 2.0
+    up = (F.col("__first") + F.col("__last")) / 2.0
     if isinstance(descending, bool):
         descending = F.lit(descending)
-    rank = F.when(descending, F.col("total") + 1.0 - up).otherwise(up)
-    pos = ordered_counts(df, keys, value, slices).select(
-        *keys, value, (rank / F.col("total")).alias(out)
-    )
-    return df.join(pos, keys + [value], "left")
+    rank = F.when(descending, F.col("__total") + 1.0 - up).otherwise(up)
+    return _places(df, keys, value, small, slices).withColumn(out, rank / F.col("__total")).drop("__first", "__last", "__total")
 
 
 def quantiles(
-    df: DataFrame, keys: list[str], value: str, qs: dict[str, float | Column], slices: int = SLICES
+    df: DataFrame, keys: list[str], value: str, qs: dict[str, float | Column], slices: int = SLICES, small: bool | None = None
 ) -> DataFrame:
     """Linear-interpolated quantiles per group: one row per group, a column per entry of ``qs``.
 
     A level may be a column over ``total`` (the group's non-null count).
     """
-    pos = ordered_counts(df, keys, value, slices)
+    small = fits_task(df, keys) if small is None else small
+    pos = ordered_counts(df, keys, value, slices, small=small)
     picks = []
     for name, q in qs.items():
         level = q if isinstance(q, Column) else F.lit(float(q))
@@ -123,27 +159,24 @@ def quantiles(
 
 
 def row_positions(
-    df: DataFrame, keys: list[str], value: str, tie: str, out: str, slices: int = SLICES
+    df: DataFrame, keys: list[str], value: str, tie: str, out: str, slices: int = SLICES, small: bool | None = None
 ) -> DataFrame:
     """Unique 1-based place by (``value``, ``tie``) ascending plus the group's count.
 
     Rows with a null ``value`` are dropped.  Adds ``out`` and ``total``.
     """
-    cut = _sliced(df.where(F.col(value).isNotNull()), keys, value, slices)
-    group = Window.partitionBy(*keys)
-    before = group.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        cut.groupBy(*keys, "__slice").agg(F.count(F.lit(1)).alias("__n"))
-        .select(
-            *keys, "__slice",
-            F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"),
-            F.sum("__n").over(group).alias("total"),
-        )
-    )
+    small = fits_task(df, keys) if small is None else small
+    df = df.where(F.col(value).isNotNull())
+    if small:
+        w = Window.partitionBy(*keys).orderBy(value, tie)
+        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        return df.withColumns({out: F.row_number().over(w).cast("bigint"), "total": F.count(F.lit(1)).over(whole)})
+    cut = _sliced(df, keys, value, slices)
+    counts = cut.groupBy(*keys, "__slice").agg(F.count(F.lit(1)).alias("__s_n"))
     inside = Window.partitionBy(*keys, "__slice").orderBy(value, tie)
     return (
         cut.withColumn("__rn", F.row_number().over(inside))
-        .join(offsets, keys + ["__slice"])
-        .withColumn(out, F.col("__off") + F.col("__rn"))
-        .drop("__slice", "__off", "__rn")
+        .join(_offsets(counts, keys, ["n"]), keys + ["__slice"])
+        .withColumn(out, F.col("__off_n") + F.col("__rn")).withColumn("total", F.col("__tot_n"))
+        .drop("__slice", "__off_n", "__tot_n", "__rn")
     )

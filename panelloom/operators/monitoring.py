@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelloom.functions import Frames, nz, ordered_counts, quantiles
+from panelloom.functions import Frames, nz, ordered_counts, quantiles, stage
 from panelloom.functions.columns import TRADING_DAYS
 
 c = F.col
@@ -18,7 +18,7 @@ def two_samples(reference: DataFrame, current: DataFrame, features: list[str]) -
     """Long ``(feature, value, is_ref)`` of both samples without nulls."""
     long = lambda df, ref: df.select(*[c(f).cast("double").alias(f) for f in features]).unpivot(
         [], features, "feature", "value").dropna().withColumn("is_ref", F.lit(ref))
-    return long(reference, 1).unionByName(long(current, 0))
+    return stage(long(reference, 1).unionByName(long(current, 0)), "samples")
 
 
 def psi(samples: DataFrame, bins: int = 10, min_values: int = 10) -> DataFrame:

@@ -54,6 +54,7 @@ class Tables:
             "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount", "l_tax", "l_returnflag",
         )
 
+    @staged
     def panel(self) -> DataFrame:
         last = F.max(F.struct("ingest_seq", "open", "high", "low", "close"))
         day = self.trades().groupBy("date", "ticker").agg(last.alias("r"), F.sum("volume").alias("volume"))
@@ -69,10 +70,12 @@ class Tables:
         )
         return t.select("date", "ticker", "ingest_seq", "open", "high", "low", close.alias("close"), "volume")
 
+    @staged
     def returns(self) -> DataFrame:
         """``(date, ticker, close, ret)``; the first row of a ticker has no return."""
         return self.panel().select("date", "ticker", "close", pct_change("close", by_ticker()).alias("ret"))
 
+    @staged
     def market(self) -> DataFrame:
         return (
             self.returns().where("ret is not null").groupBy("date").agg(F.avg("ret").alias("mkt_ret"))
