@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import mixing, sharding
+from panelloom.llm import mixing, packing, sharding
 
 WORDS_SQL = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
@@ -14,6 +15,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def vocabulary() -> str:
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack(_table(spark, sf_dir, "documents"), vocabulary(), length=2048)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op5_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(_table(spark, sf_dir, "documents"), shards=16)
     crc = F.crc32(F.coalesce(F.col("doc.text"), F.lit("")))
@@ -46,6 +56,7 @@ FROM p
 """
 
 QUERIES = {
+    "op4_curve_packing": op4_curve_packing,
     "op5_histogram_sharding": op5_histogram_sharding,
     "op6_source_mixing": op6_source_mixing,
 }
