@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import mixing, packing, sharding
+from panelloom.llm import html, mixing, packing, sharding
 
 WORDS_SQL = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
@@ -19,6 +19,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op3_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
 def op4_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack(_table(spark, sf_dir, "documents"), vocabulary(), length=2048)
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -56,6 +60,7 @@ FROM p
 """
 
 QUERIES = {
+    "op3_line_blocks": op3_line_blocks,
     "op4_curve_packing": op4_curve_packing,
     "op5_histogram_sharding": op5_histogram_sharding,
     "op6_source_mixing": op6_source_mixing,
