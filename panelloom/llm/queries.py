@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import html, mixing, packing, sharding
+from panelloom.llm import html, mixing, packing, sharding, tokenfile
 
 WORDS_SQL = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
@@ -59,10 +61,19 @@ SELECT doc_id, size, source_size, target,
 FROM p
 """
 
+def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    path = tokenfile.scratch_path(spark, f"token-file-{uuid.uuid4().hex}")
+    tokenfile.write(docs, vocabulary(), path)
+    pieces = tokenfile.read(spark, path, docs.schema["doc_id"].dataType)
+    return tokenfile.documents(pieces, path)
+
+
 QUERIES = {
     "op3_line_blocks": op3_line_blocks,
     "op4_curve_packing": op4_curve_packing,
     "op5_histogram_sharding": op5_histogram_sharding,
     "op6_source_mixing": op6_source_mixing,
+    "op7_token_file": op7_token_file,
 }
 ORACLES = {"op6_source_mixing": OP6_SQL}
