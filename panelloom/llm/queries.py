@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import html, mixing, packing, sharding, tokenfile
+from panelloom.llm import html, mixing, packing, rules, sharding, tokenfile
 
 WORDS_SQL = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
@@ -69,11 +69,16 @@ def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.documents(pieces, path)
 
 
+def op9_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op3_line_blocks": op3_line_blocks,
     "op4_curve_packing": op4_curve_packing,
     "op5_histogram_sharding": op5_histogram_sharding,
     "op6_source_mixing": op6_source_mixing,
     "op7_token_file": op7_token_file,
+    "op9_decision_list": op9_decision_list,
 }
 ORACLES = {"op6_source_mixing": OP6_SQL}
