@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import html, mixing, packing, rules, sharding, tokenfile
+from panelloom.llm import compression, html, mixing, packing, rules, sharding, tokenfile
+from panelloom.llm.common import id_crc
 
 WORDS_SQL = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
@@ -73,6 +74,13 @@ def op9_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = _table(spark, sf_dir, "documents"), id_crc() % 5 == 0
+    model = compression.train(docs, _table(spark, sf_dir, "labels").where(~held_out))
+    out = compression.classify(docs, model, threshold=0.3)
+    return out.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op3_line_blocks": op3_line_blocks,
     "op4_curve_packing": op4_curve_packing,
@@ -80,5 +88,6 @@ QUERIES = {
     "op6_source_mixing": op6_source_mixing,
     "op7_token_file": op7_token_file,
     "op9_decision_list": op9_decision_list,
+    "op10_compression_quality": op10_compression_quality,
 }
 ORACLES = {"op6_source_mixing": OP6_SQL}
