@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import compression, html, mixing, packing, rules, sharding, tokenfile
+from panelloom.llm import compression, html, mixing, packing, rules, sharding, tokenfile, toxicity
 from panelloom.llm.common import id_crc
 
 WORDS_SQL = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
@@ -22,6 +22,13 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = _table(spark, sf_dir, "documents"), id_crc() % 3 == 1
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels").where(~held_out))
+    out = toxicity.score(docs, model, threshold=0.7)
+    return out.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op3_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_table(spark, sf_dir, "pages"))
 
@@ -82,6 +89,7 @@ def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity_trees": op1_toxicity_trees,
     "op3_line_blocks": op3_line_blocks,
     "op4_curve_packing": op4_curve_packing,
     "op5_histogram_sharding": op5_histogram_sharding,
