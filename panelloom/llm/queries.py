@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import compression, html, mixing, packing, rules, sharding, tokenfile, toxicity
+from panelloom.llm import compression, dedup, html, mixing, packing, rules, sharding, tokenfile, toxicity
 from panelloom.llm.common import id_crc
 
 WORDS_SQL = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
@@ -29,6 +29,27 @@ def op1_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op2_min_max_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, md5(unnest(s)) AS h FROM s),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b FROM e x JOIN e y ON x.h = y.h AND x.doc_id < y.doc_id
+      GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))),
+l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(node, seen) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.node, l.b FROM r JOIN l ON r.seen = l.a),
+c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
+FROM s JOIN c ON s.doc_id = c.node
+"""
+
+
 def op3_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_table(spark, sf_dir, "pages"))
 
@@ -90,6 +111,7 @@ def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity_trees": op1_toxicity_trees,
+    "op2_min_max_dedup": op2_min_max_dedup,
     "op3_line_blocks": op3_line_blocks,
     "op4_curve_packing": op4_curve_packing,
     "op5_histogram_sharding": op5_histogram_sharding,
@@ -98,4 +120,4 @@ QUERIES = {
     "op9_decision_list": op9_decision_list,
     "op10_compression_quality": op10_compression_quality,
 }
-ORACLES = {"op6_source_mixing": OP6_SQL}
+ORACLES = {"op2_min_max_dedup": OP2_SQL, "op6_source_mixing": OP6_SQL}
