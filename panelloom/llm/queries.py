@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import compression, dedup, html, mixing, packing, rules, sharding, tokenfile, toxicity
+from panelloom.llm import compression, dedup, fingerprint, html, mixing, packing, rules, sharding, tokenfile, toxicity
 from panelloom.llm.common import id_crc
 
 WORDS_SQL = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
@@ -98,6 +98,10 @@ def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.documents(pieces, path)
 
 
+def op8_order_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint(_table(spark, sf_dir, "documents"))
+
+
 def op9_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -117,6 +121,7 @@ QUERIES = {
     "op5_histogram_sharding": op5_histogram_sharding,
     "op6_source_mixing": op6_source_mixing,
     "op7_token_file": op7_token_file,
+    "op8_order_min_hash": op8_order_min_hash,
     "op9_decision_list": op9_decision_list,
     "op10_compression_quality": op10_compression_quality,
 }
