@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 _UNSAFE = re.compile(r" (?:(?=\s|\Z)|(?<=\s )|(?<=\A ))")
 #: Pieces that the vocabulary's splitting pattern leaves whole: a blank and Latin letters.
 _ONE_WORD = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 250_000
 
 
 def _byte_letters() -> dict[int, str]:
