@@ -14,28 +14,27 @@ SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 WINDOW = 5
 
+_WORDS, _CHARS, _LINES = (f"greatest({c}, 1)" for c in ("n_words", "word_chars", "n_lines"))
 #: What conditions may ask: name -> value per text, from the counted statistics.
-def _features() -> dict[str, Column]:
-    words = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    chars = F.greatest(F.col("word_chars"), F.lit(1)).cast("double")
-    lines = F.greatest(F.col("n_lines"), F.lit(1)).cast("double")
-    return {
-        "symbols_per_char": F.col("n_symbols") / chars,
-        "symbols_per_word": F.col("n_symbols") / words,
-        "capitals_per_char": F.col("n_capitals") / chars,
-        "digits_per_char": F.col("n_digits") / chars,
-        "marks_per_word": F.col("n_marks") / words,
-        "repeated_words": F.col("n_repeat_words") / words,
-        "distinct_words": F.col("n_distinct_words") / words,
-        "repeated_lines": F.col("n_dup_lines") / lines,
-        "word_length": F.col("word_chars") / words,
-        "short_words": F.col("n_short_words") / words,
-        "words_per_line": F.col("n_words") / lines,
-        "same_neighbours": F.col("n_same_neighbours") / words,
-    }
+FEATURE_SQL = {
+    "symbols_per_char": f"n_symbols / {_CHARS}",
+    "symbols_per_word": f"n_symbols / {_WORDS}",
+    "capitals_per_char": f"n_capitals / {_CHARS}",
+    "digits_per_char": f"n_digits / {_CHARS}",
+    "marks_per_word": f"n_marks / {_WORDS}",
+    "repeated_words": f"n_repeat_words / {_WORDS}",
+    "distinct_words": f"n_distinct_words / {_WORDS}",
+    "repeated_lines": f"n_dup_lines / {_LINES}",
+    "word_length": f"word_chars / {_WORDS}",
+    "short_words": f"n_short_words / {_WORDS}",
+    "words_per_line": f"n_words / {_LINES}",
+    "same_neighbours": f"n_same_neighbours / {_WORDS}",
+}
+FEATURES = tuple(FEATURE_SQL)
 
 
-FEATURES = tuple(_features())
+def _features() -> dict[str, Column]:
+    return {name: F.expr(sql) for name, sql in FEATURE_SQL.items()}
 
 
 def _without(text: Column, letters: str) -> Column:
