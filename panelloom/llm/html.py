@@ -171,6 +171,8 @@ def main_text(page: str | None, window: int = 3, surge: int = 86) -> str:
         begin, end = ranges[0][1], ranges[-1][2]
     else:
         _, begin, end = max(ranges, key=lambda r: (r[0], -r[1]))
+        while begin < end - 1 and not lengths[begin]:
+            begin += 1
         while begin and inside[begin - 1] and lengths[begin - 1]:
             begin -= 1
     return "\n".join(t for (t, _, place) in lines[begin:end] if place == best)

@@ -20,7 +20,7 @@ from panelloom.llm.common import stage
 _WORD = re.compile(r"[^\W\d_]+")
 _CHUNK = re.compile(r"\S+")
 #: Letters between or beside digits and signs: spellings that hide a word.
-_HIDDEN = re.compile(r"[^\W\d_]+[@$!*#\d|+]+[^\W\d_]+|(?<!\S)(?:[^\W\d_][ .\-_*]){3,}[^\W\d_](?!\S)")
+_HIDDEN = re.compile(r"[^\W\d_]+(?:[@$!*#\d|+]+[^\W\d_]+)+|(?<!\S)(?:[^\W\d_][ .\-_*]){3,}[^\W\d_](?!\S)")
 _STRETCHED = re.compile(r"([^\W\d_])\1{3,}")
 #: Signs read as the letters they stand for.  Fixed values.
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l", "+": "t"})
