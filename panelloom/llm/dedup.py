@@ -216,7 +216,10 @@ def _leftover_links(buckets: DataFrame, sets: DataFrame) -> DataFrame:
     """
     size = buckets.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     per = size.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("n_main"), F.count(F.lit(1)).alias("labels"))
-    per = per.where("labels > 1 and all > 2")
+    # Copies of a group meet in many bands: buckets with the same members are one.
+    members = buckets.groupBy("key").agg(F.sum(F.xxhash64("set").cast("decimal(38,0)")).alias("members"), F.sum(F.xxhash64("set", F.lit(3)).cast("decimal(38,0)")).alias("again"))
+    per = per.where("labels > 1 and all > 2").join(members, "key")
+    per = per.groupBy("members", "again", "all").agg(F.min_by(F.struct("key", "main", "n_main"), "key").alias("one")).select("one.*", "all")
     rows = buckets.join(per, "key")
     is_main = F.col("label") == F.col("main")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
@@ -314,7 +317,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     often = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = stage(keyed.join(often, "key"), "buckets")
     wanted = buckets.select("set_hash", "set").distinct()
-    texts = docs.select("doc_id", "text").join(wanted.select(F.col("set").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    # The candidates grow with the corpus, so this join is planned alike at every size.
+    texts = docs.select("doc_id", "text").join(wanted.select(F.col("set").alias("doc_id")).distinct().hint("shuffle_merge"), "doc_id", "left_semi")
     sets = stage(_sets(texts).dropDuplicates(["set_hash"]).join(wanted, "set_hash").select(F.col("set_hash").alias("set"), "shingles"), "sets")
     buckets = buckets.select("key", F.col("set_hash").alias("set"), "n")
 
