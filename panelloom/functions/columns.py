@@ -34,16 +34,16 @@ def sqrt0(x) -> Column:
 
 
 class Frames:
-    """Rolling columns over one window specification, built from shared running totals.
+    """Rolling columns over one window specification.
 
-    Spark re-aggregates a sliding frame for every row, so its cost is rows x width.  A
-    frame that starts at the partition's first row is only extended, so the difference of
-    two such frames costs the same for 20 and for 756 rows.  The running totals become
-    named columns: however many rolling columns use one, it is computed once.
+    A frame holds its own rows and nothing else: each value comes from the ``n`` rows it
+    names, so an odd value leaves with the row that brought it and no difference of large
+    totals is taken.  NaN and infinities count as missing.  All columns of one width share
+    a frame, and equal aggregates are computed once however many columns use them.
 
     Build columns with :meth:`roll`, :meth:`beta` and :meth:`corr`; then ``add(df, cols)``
-    adds the totals and the columns.  A rolling value exists only with ``min_rows``
-    (default: the width) non-null inputs in its frame.
+    adds them.  A rolling value exists only with ``min_rows`` (default: the width) non-null
+    inputs in its frame.
     """
 
     def __init__(self, w: WindowSpec | None = None):
@@ -51,67 +51,39 @@ class Frames:
         self.inputs: dict[str, Column] = {}
         self.totals: dict[str, Column] = {}
 
-    def named(self, x) -> str:
-        if isinstance(x, str):
-            return x
+    def _input(self, x) -> str:
+        """Name of a cleaned input column."""
         name = "__in_" + hashlib.md5(repr(x).encode()).hexdigest()[:12]
-        self.inputs[name] = x
+        v = col(x).cast("double")
+        self.inputs[name] = F.when(F.abs(v) < float("inf"), v)
         return name
 
-    def _upto(self, kind: str, x: str, end: int, expr: Column) -> Column:
-        name = f"__{kind}_{x}_{end}"
-        fn = F.count if kind == "n" else F.sum
-        total = fn(expr).over(self.w.rowsBetween(Window.unboundedPreceding, -end))
-        self.totals[name] = total if kind == "n" else F.coalesce(total, F.lit(0.0))
-        return F.col(name)
-
-    def _total(self, kind: str, x: str, n: int, expr: Column) -> Column:
-        return self._upto(kind, x, 0, expr) - self._upto(kind, x, n, expr)
+    def _value(self, fn, n: int, *names: str) -> Column:
+        key = f"__{fn.__name__}_{n}_" + "_".join(names)
+        self.totals[key] = fn(*[F.col(x) for x in names]).over(self.w.rowsBetween(-(n - 1), 0))
+        return F.col(key)
 
     def count(self, x, n: int) -> Column:
-        x = self.named(x)
-        return self._total("n", x, n, F.col(x))
-
-    def _spread(self, x: str, n: int, k: Column) -> Column:
-        """Sum of squared deviations; below the rounding noise of the totals it is zero."""
-        v = F.col(x).cast("double")
-        s, q = self._total("s", x, n, v), self._total("q", x, n, v * v)
-        m2 = q - s * s / nz(k)
-        return F.when(m2 <= self._upto("q", x, 0, v * v) * 1e-14, F.lit(0.0)).otherwise(m2)
+        return self._value(F.count, n, self._input(x))
 
     def roll(self, fn, x, n: int, min_rows: int | None = None) -> Column:
-        x, need = self.named(x), min_rows or n
-        count = self.count(x, n)
-        k = count.cast("double")
-        if fn in (F.sum, F.avg):
-            total = self._total("s", x, n, F.col(x).cast("double"))
-            value = total if fn is F.sum else total / nz(k)
-        elif fn in (F.var_samp, F.stddev_samp):
-            value = self._spread(x, n, k) / nz(k - 1.0)
-            value = F.sqrt(value) if fn is F.stddev_samp else value
-        else:
-            name = f"__{fn.__name__}_{x}_{n}"
-            self.totals[name] = fn(F.col(x)).over(self.w.rowsBetween(-(n - 1), 0))
-            value = F.col(name)
-        return F.when(count >= need, value)
-
-    def _pair(self, y, x, n: int) -> tuple[Column, Column, Column, Column]:
-        y, x = col(self.named(y)), col(self.named(x))
-        both = y.isNotNull() & x.isNotNull()
-        y, x = self.named(F.when(both, y)), self.named(F.when(both, x))
-        k = self.count(y, n).cast("double")
-        cross = self._total("c" + y, x, n, F.col(x) * F.col(y))
-        sums = [self._total("s", v, n, F.col(v).cast("double")) for v in (y, x)]
-        return k, cross - sums[0] * sums[1] / nz(k), self._spread(y, n, k), self._spread(x, n, k)
+        name = self._input(x)
+        return F.when(self._value(F.count, n, name) >= (min_rows or n), self._value(fn, n, name))
+
+    def _pair(self, y, x, n: int) -> tuple[Column, Column, str, str]:
+        """Pairs in the frame, their covariance, and the inputs where both are present."""
+        a, b = self.inputs[self._input(y)], self.inputs[self._input(x)]
+        y, x = self._input(F.when(b.isNotNull(), a)), self._input(F.when(a.isNotNull(), b))
+        return self._value(F.count, n, y), self._value(F.covar_samp, n, y, x), y, x
 
     def beta(self, y, x, n: int) -> Column:
         """Slope of ``y`` on ``x`` over ``n`` complete pairs."""
-        k, cross, _, xx = self._pair(y, x, n)
-        return F.when(k >= n, cross / nz(xx))
+        k, cross, _, x = self._pair(y, x, n)
+        return F.when(k >= n, cross / nz(self._value(F.var_samp, n, x)))
 
     def corr(self, y, x, n: int) -> Column:
-        k, cross, yy, xx = self._pair(y, x, n)
-        return F.when(k >= n, cross / nz(F.sqrt(yy) * F.sqrt(xx)))
+        k, cross, y, x = self._pair(y, x, n)
+        return F.when(k >= n, cross / nz(self._value(F.stddev_samp, n, y) * self._value(F.stddev_samp, n, x)))
 
     def add(self, df: DataFrame, columns: dict[str, Column]) -> DataFrame:
         for extra in (self.inputs, self.totals):

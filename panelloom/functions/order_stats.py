@@ -1,15 +1,12 @@
 """Exact ranks and quantiles of groups of any size.
 
-A window ordered inside ``partitionBy(date)`` sorts a whole cross-section in one task.
-That is the fastest plan while the largest group fits a task comfortably, so every
-function first counts the largest group (one small aggregate) and takes that plan up to
-``TASK_ROWS`` rows (session setting ``panelloom.taskRows``).
-
-Beyond it each group is cut into value slices at approximate quantiles.  The cut points
-only balance the work; positions come from exact counts (rows before the slice plus rows
-before the value inside the slice), so the result does not depend on the sketch.  Equal
-values are counted before the shuffle, so a group of copies costs one row.  Both plans
-give the same numbers.
+A window ordered inside ``partitionBy(date)`` would sort a whole cross-section in one task.
+So each group is cut into value slices at approximate quantiles, as many as its counted
+rows ask for (``SLICE_ROWS`` distinct values each).  The cut points only balance the work;
+positions come from exact counts (rows before the slice plus rows before the value inside
+the slice), so the result does not depend on the sketch.  Equal values are counted before
+the shuffle, so a group of copies costs one row.  There is one plan for every size, and no
+job runs while it is built.
 """
 
 from __future__ import annotations
@@ -17,27 +14,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 32
-TASK_ROWS = 2_000_000
+#: Distinct values that one task places.
+SLICE_ROWS = 250_000
+#: Resolution of the sketch: a group of g distinct values has slices of at least g / STEPS.
+STEPS = 1000
 _ALL = "__all"
 
 
-def fits_task(df: DataFrame, keys: list[str]) -> bool:
-    """Whether the largest group of ``keys`` may be sorted in one task."""
-    limit = int(df.sparkSession.conf.get("panelloom.taskRows", str(TASK_ROWS)))
-    if limit <= 0:
-        return False
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")) if keys else df.agg(F.count(F.lit(1)).alias("n"))
-    return (sizes.agg(F.max("n")).first()[0] or 0) <= limit
-
-
-def _sliced(df: DataFrame, keys: list[str], value: str, slices: int) -> DataFrame:
-    """Add ``__slice``, non-decreasing in ``value`` inside each group."""
-    cuts = [i / slices for i in range(1, slices)]
-    edges = df.groupBy(*keys).agg(F.percentile_approx(value, cuts, 2000).alias("__edges"))
-    return df.join(edges, keys).withColumn(
-        "__slice", F.expr(f"size(filter(__edges, e -> e < `{value}`))")
-    ).drop("__edges")
+def _sliced(df: DataFrame, keys: list[str], value: str, slice_rows: int) -> DataFrame:
+    """Add ``__slice``, non-decreasing in ``value`` inside each group: of the sketch's
+    evenly spaced quantiles, a group uses every k-th, by its number of rows."""
+    cuts = [i / STEPS for i in range(1, STEPS)]
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.percentile_approx(value, F.lit(cuts), F.lit(4 * STEPS)).alias("__q"))
+    slices = f"least({STEPS}, ceil(__n / {slice_rows}))"
+    edges = sizes.select(*keys, F.expr(
+        f"if({slices} > 1, transform(sequence(1, cast({slices} as int) - 1), i -> __q[cast(i * {STEPS} / {slices} as int) - 1]), array())"
+    ).alias("__edges"))
+    return df.join(edges, keys).withColumn("__slice", F.expr(f"size(filter(__edges, e -> e < `{value}`))")).drop("__edges")
 
 
 def _offsets(counts: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
@@ -51,36 +44,23 @@ def _offsets(counts: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
     )
 
 
-def ordered_counts(
-    df: DataFrame, keys: list[str], value: str, slices: int = SLICES, small: bool | None = None, **extra: Column
-) -> DataFrame:
+def ordered_counts(df: DataFrame, keys: list[str], value: str, slice_rows: int = SLICE_ROWS, **extra: Column) -> DataFrame:
     """One row per distinct non-null ``value`` of a group, with its exact place.
 
     Columns: keys, value, ``cnt`` (copies), ``first_pos``/``last_pos`` (1-based places in
     ascending order) and ``total``.  Each ``extra`` sum-like aggregate ``a`` gives
     ``cum_a`` (running total up to and including the value) and ``total_a``.
     """
-    small = fits_task(df, keys) if small is None else small
     tag = not keys
     if tag:
         keys, df = [_ALL], df.withColumn(_ALL, F.lit(0))
     sums = {"cnt": F.count(F.lit(1)), **extra}
-    distinct = (
-        df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(*[c.alias(n) for n, c in sums.items()])
-    )
-    if small:
-        group = Window.partitionBy(*keys).orderBy(value)
-        run, whole = group.rowsBetween(Window.unboundedPreceding, 0), group.rowsBetween(
-            Window.unboundedPreceding, Window.unboundedFollowing)
-        placed = distinct.select(
-            "*", *[F.sum(n).over(run).alias(f"__run_{n}") for n in sums], *[F.sum(n).over(whole).alias(f"__tot_{n}") for n in sums],
-            *[F.lit(0).alias(f"__off_{n}") for n in sums])
-    else:
-        cut = _sliced(distinct, keys, value, slices)
-        counts = cut.groupBy(*keys, "__slice").agg(*[F.sum(n).alias(f"__s_{n}") for n in sums])
-        inside = Window.partitionBy(*keys, "__slice").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-        placed = cut.select("*", *[F.sum(n).over(inside).alias(f"__run_{n}") for n in sums]).join(
-            _offsets(counts, keys, list(sums)), keys + ["__slice"])
+    distinct = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(*[c.alias(n) for n, c in sums.items()])
+    cut = _sliced(distinct, keys, value, slice_rows)
+    counts = cut.groupBy(*keys, "__slice").agg(*[F.sum(n).alias(f"__s_{n}") for n in sums])
+    inside = Window.partitionBy(*keys, "__slice").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    placed = cut.select("*", *[F.sum(n).over(inside).alias(f"__run_{n}") for n in sums]).join(
+        _offsets(counts, keys, list(sums)), keys + ["__slice"])
     last = F.col("__off_cnt") + F.col("__run_cnt")
     out = placed.select(
         *keys, value, "cnt",
@@ -91,25 +71,20 @@ def ordered_counts(
     return out.drop(_ALL) if tag else out
 
 
-def _places(df: DataFrame, keys: list[str], value: str, small: bool | None, slices: int) -> DataFrame:
-    """Every row with ``__first``, ``__last`` place of its value and ``__total``; null values get null."""
-    small = fits_task(df, keys) if small is None else small
-    if not small:
-        pos = ordered_counts(df, keys, value, slices, small=False).select(
-            *keys, value, F.col("first_pos").alias("__first"), F.col("last_pos").alias("__last"), F.col("total").alias("__total"))
-        return df.join(pos, keys + [value], "left")
-    # nulls sort first and are subtracted from the places of the values
-    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(value)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    upto = F.count(value).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    nulls = F.count(F.lit(1)).over(whole) - F.count(value).over(whole)
-    has = F.col(value).isNotNull()
-    return df.withColumns({
-        "__first": F.when(has, F.rank().over(w) - nulls), "__last": F.when(has, upto), "__total": F.when(has, F.count(value).over(whole))})
+def _places(df: DataFrame, keys: list[str], value: str, slice_rows: int) -> DataFrame:
+    """Every row with ``__first``, ``__last`` place of its value and ``__total``; null values get null.
+
+    Rows without a value never meet the join: they come back by union."""
+    places = ordered_counts(df, keys, value, slice_rows).select(
+        *keys, value, F.col("first_pos").alias("__first"), F.col("last_pos").alias("__last"), F.col("total").alias("__total"))
+    here = df.where(F.col(value).isNotNull()).join(places, [*keys, value])
+    rest = df.where(F.col(value).isNull())
+    none = [F.lit(None).cast("bigint").alias(n) for n in ("__first", "__last", "__total")]
+    return here.select(*df.columns, "__first", "__last", "__total").unionByName(rest.select(*df.columns, *none))
 
 
 def average_rank(
-    df: DataFrame, keys: list[str], value: str, out: str, slices: int = SLICES, centred: bool = False, small: bool | None = None
+    df: DataFrame, keys: list[str], value: str, out: str, slice_rows: int = SLICE_ROWS, centred: bool = False
 ) -> DataFrame:
     """Rank inside the group, ties sharing their average place; null stays null.
 
@@ -118,30 +93,29 @@ def average_rank(
     rank = (F.col("__first") + F.col("__last")) / 2.0
     if centred:
         rank = rank - (F.col("__total") + 1) / 2.0
-    return _places(df, keys, value, small, slices).withColumn(out, rank).drop("__first", "__last", "__total")
+    return _places(df, keys, value, slice_rows).withColumn(out, rank).drop("__first", "__last", "__total")
 
 
 def percent_rank(
-    df: DataFrame, keys: list[str], value: str, out: str, descending: Column | bool = False, slices: int = SLICES,
-    small: bool | None = None,
+    df: DataFrame, keys: list[str], value: str, out: str, descending: Column | bool = False,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Average rank over the number of non-null values, in (0, 1]."""
     up = (F.col("__first") + F.col("__last")) / 2.0
     if isinstance(descending, bool):
         descending = F.lit(descending)
     rank = F.when(descending, F.col("__total") + 1.0 - up).otherwise(up)
-    return _places(df, keys, value, small, slices).withColumn(out, rank / F.col("__total")).drop("__first", "__last", "__total")
+    return _places(df, keys, value, slice_rows).withColumn(out, rank / F.col("__total")).drop("__first", "__last", "__total")
 
 
 def quantiles(
-    df: DataFrame, keys: list[str], value: str, qs: dict[str, float | Column], slices: int = SLICES, small: bool | None = None
+    df: DataFrame, keys: list[str], value: str, qs: dict[str, float | Column], slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
     """Linear-interpolated quantiles per group: one row per group, a column per entry of ``qs``.
 
     A level may be a column over ``total`` (the group's non-null count).
     """
-    small = fits_task(df, keys) if small is None else small
-    pos = ordered_counts(df, keys, value, slices, small=small)
+    pos = ordered_counts(df, keys, value, slice_rows)
     picks = []
     for name, q in qs.items():
         level = q if isinstance(q, Column) else F.lit(float(q))
@@ -159,19 +133,14 @@ def quantiles(
 
 
 def row_positions(
-    df: DataFrame, keys: list[str], value: str, tie: str, out: str, slices: int = SLICES, small: bool | None = None
+    df: DataFrame, keys: list[str], value: str, tie: str, out: str, slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
     """Unique 1-based place by (``value``, ``tie``) ascending plus the group's count.
 
     Rows with a null ``value`` are dropped.  Adds ``out`` and ``total``.
     """
-    small = fits_task(df, keys) if small is None else small
     df = df.where(F.col(value).isNotNull())
-    if small:
-        w = Window.partitionBy(*keys).orderBy(value, tie)
-        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        return df.withColumns({out: F.row_number().over(w).cast("bigint"), "total": F.count(F.lit(1)).over(whole)})
-    cut = _sliced(df, keys, value, slices)
+    cut = _sliced(df, keys, value, slice_rows)
     counts = cut.groupBy(*keys, "__slice").agg(F.count(F.lit(1)).alias("__s_n"))
     inside = Window.partitionBy(*keys, "__slice").orderBy(value, tie)
     return (

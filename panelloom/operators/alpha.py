@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelloom.functions import Frames, average_rank, calendar, fits_task, nz, row_positions, stage
+from panelloom.functions import Frames, average_rank, calendar, nz, row_positions, stage
 from panelloom.functions.columns import TRADING_DAYS
 
 c = F.col
@@ -19,9 +19,8 @@ SUB_PERIODS = [("2005-2012", "2005-01-01", "2012-12-31"), ("2013-2018", "2013-01
 def spearman(pairs: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Rank correlation and pair count per group; ``pairs`` feeds several branches, so it is staged."""
     pairs = stage(pairs.select(*keys, x, y).dropna(subset=[x, y]), "pairs")
-    small = fits_task(pairs, keys)
-    ranked = average_rank(pairs, keys, x, "__rx", centred=True, small=small)
-    ranked = average_rank(ranked, keys, y, "__ry", centred=True, small=small)
+    ranked = average_rank(pairs, keys, x, "__rx", centred=True)
+    ranked = average_rank(ranked, keys, y, "__ry", centred=True)
     # centred ranks are multiples of one half: the sums are exact and a zero correlation is zero
     dot = lambda a, b: F.sum(c(a) * c(b))
     ic = dot("__rx", "__ry") / nz(F.sqrt(dot("__rx", "__rx") * dot("__ry", "__ry")))
@@ -90,9 +89,8 @@ def sub_period_ic(ic: DataFrame, periods: list[tuple[str, str, str]] = SUB_PERIO
 
 def decile_legs(scores: DataFrame, min_names: int = 20, share: float = 0.10) -> DataFrame:
     """Top and bottom share of every date, equal weight; ties go to the smaller ticker."""
-    small = fits_task(scores, ["date"])
-    low = row_positions(scores, ["date"], "score", "ticker", "up", small=small)
-    both = row_positions(low.drop("total").withColumn("__neg", -c("score")), ["date"], "__neg", "ticker", "down", small=small)
+    low = row_positions(scores, ["date"], "score", "ticker", "up")
+    both = row_positions(low.drop("total").withColumn("__neg", -c("score")), ["date"], "__neg", "ticker", "down")
     k = F.greatest(F.lit(1), F.floor(c("total") * F.lit(share)))
     sides = F.array_compact(F.array(F.when(c("down") <= k, F.lit(1)), F.when(c("up") <= k, F.lit(-1))))
     return both.where(c("total") >= min_names).select(

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelloom.functions import (
-    Frames, by_ticker, fits_task, nz, pct_change, percent_rank, row_positions, safe_corr, skew_adjusted, with_stats,
+    Frames, by_ticker, nz, pct_change, percent_rank, row_positions, safe_corr, skew_adjusted, with_stats,
 )
 
 c = F.col
@@ -108,26 +108,14 @@ def classification_labels(df: DataFrame, cfg: LabelConfig, has_benchmark: bool)
 def ranking_labels(panel: DataFrame, horizons=HORIZONS) -> DataFrame:
     """Per-date percentile rank, z-score, decile and return over cross-sectional deviation.
 
-    Deciles break ties by instrument.  Small cross-sections use windows over one exchange
-    by date; larger ones go through one long pass of the sliced order statistics.
+    Deciles break ties by instrument.  All horizons share one long pass of the
+    sliced order statistics.
     """
-    if fits_task(panel, ["date"]):
-        df, day = forward_returns(panel, horizons), Window.partitionBy("date")
-        out: dict[str, Column] = {}
-        for h in horizons:
-            f = f"fwd_ret_{h}d"
-            df = percent_rank(df, ["date"], f, f"rank_pct_fwd_{h}d", small=True)
-            sd = F.stddev_samp(f).over(day) + 1e-8
-            pos = F.row_number().over(day.orderBy(c(f).asc_nulls_last(), "ticker"))
-            out |= {f"rank_pct_fwd_{h}d": c(f"rank_pct_fwd_{h}d"), f"rank_zscore_fwd_{h}d": (c(f) - F.avg(f).over(day)) / sd,
-                    f"rank_decile_fwd_{h}d": F.when(c(f).isNotNull(), own_bucket(pos, F.count(f).over(day), 10) + 1.0),
-                    f"rank_ir_fwd_{h}d": c(f) / sd}
-        return df.select("date", "ticker", *[v.alias(k) for k, v in out.items()])
     long = forward_returns(panel, horizons).unpivot(
         ["date", "ticker"], [f"fwd_ret_{h}d" for h in horizons], "horizon", "fwd").dropna()
     keys = ["date", "horizon"]
-    placed = row_positions(with_stats(long, keys, m=F.avg("fwd"), s=F.stddev_samp("fwd")), keys, "fwd", "ticker", "pos", small=False)
-    ranked = percent_rank(placed, keys, "fwd", "pct", small=False)
+    placed = row_positions(with_stats(long, keys, m=F.avg("fwd"), s=F.stddev_samp("fwd")), keys, "fwd", "ticker", "pos")
+    ranked = percent_rank(placed, keys, "fwd", "pct")
     rows = ranked.select(
         "date", "ticker", "horizon", c("pct").alias("rank_pct"),
         ((c("fwd") - c("m")) / (c("s") + 1e-8)).alias("rank_zscore"),

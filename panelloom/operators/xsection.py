@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelloom.functions import Frames, fits_task, percent_rank, quantiles, with_stats
+from panelloom.functions import Frames, percent_rank, quantiles, with_stats
 from panelloom.operators.features import CORE_FAMILIES, DESCENDING
 
 c = F.col
@@ -22,11 +22,7 @@ def winsorize(df: DataFrame, features: list[str], low: float = 0.01, high: float
 
     All features share one pass; only one row of limits per date is joined back.
     """
-    if fits_task(df, ["date"]):
-        cut = lambda f, q: F.percentile(f, F.lit(q))
-        wide = df.groupBy("date").agg(*[cut(f, v).alias(f"__{q}_{f}") for f in features for q, v in (("lo", low), ("hi", high))])
-        return _clipped(df, wide, features)
-    limits = quantiles(_long(df, features, ("date",)), ["date", "feature"], "value", {"lo": low, "hi": high}, small=False)
+    limits = quantiles(_long(df, features, ("date",)), ["date", "feature"], "value", {"lo": low, "hi": high})
     wide = limits.groupBy("date").agg(*[
         F.max(F.when(c("feature") == f, c(q))).alias(f"__{q}_{f}") for f in features for q in ("lo", "hi")
     ])
@@ -62,17 +58,12 @@ def neutralize(df: DataFrame, features: list[str], sectors: DataFrame) -> DataFr
 
 def rank_features(df: DataFrame, features: list[str], descending: list[str] = DESCENDING) -> DataFrame:
     """Percentile rank in (0, 1] per date; ``descending`` features rank the other way round."""
-    if fits_task(df, ["date"]):
-        # one exchange by date serves every feature's window
-        for f in features:
-            df = percent_rank(df, ["date"], f, f"__p_{f}", descending=f in descending, small=True)
-        return df.select(*[x for x in df.columns if x not in features and not x.startswith("__p_")], *[c(f"__p_{f}").alias(f) for f in features])
-    ranked = percent_rank(
-        _long(df, features), ["date", "feature"], "value", "pct", descending=c("feature").isin(descending), small=False
-    )
-    wide = ranked.groupBy("date", "ticker").agg(*[F.max(F.when(c("feature") == f, c("pct"))).alias(f) for f in features])
     rest = [x for x in df.columns if x not in features]
-    return wide if set(rest) <= {"date", "ticker"} else df.select(*rest).join(wide, ["date", "ticker"])
+    own = df.withColumn("__row", F.monotonically_increasing_id())  # rows that repeat a date and ticker stay apart
+    long = own.unpivot([*rest, "__row"], [c(f).cast("double").alias(f) for f in features], "feature", "value")
+    ranked = percent_rank(long, ["date", "feature"], "value", "pct", descending=c("feature").isin(descending))
+    wide = ranked.groupBy("__row", *rest).agg(*[F.max(F.when(c("feature") == f, c("pct"))).alias(f) for f in features])
+    return wide.select(*rest, *features)
 
 
 def correlation_table(df: DataFrame, features: list[str], threshold: float = 0.6, min_rows: int = 500) -> DataFrame:

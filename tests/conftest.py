@@ -7,6 +7,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
+from panelloom.functions import order_stats
 from panelloom.session import local_session
 
 
@@ -20,12 +21,12 @@ def spark(shared_folder):
     return local_session(4, memory="6g", **{"spark.checkpoint.dir": str(shared_folder)})
 
 
-@pytest.fixture(params=[2_000_000, 0], ids=["one-window", "sliced"])
-def both_plans(request, spark):
-    """Run a test with the single-window plan and with the sliced plan."""
-    spark.conf.set("panelloom.taskRows", str(request.param))
-    yield
-    spark.conf.unset("panelloom.taskRows")
+@pytest.fixture(params=[None, 7], ids=["usual-slices", "seven-values-a-slice"])
+def both_slicings(request, monkeypatch):
+    """Run a test with the usual slices and with many small ones."""
+    if request.param:
+        cut = order_stats._sliced
+        monkeypatch.setattr(order_stats, "_sliced", lambda df, keys, value, _: cut(df, keys, value, request.param))
 
 
 def ohlcv(ticker, n=160, seed=42, start="2022-01-03"):

@@ -16,7 +16,7 @@ def sample(spark, seed=0):
     return pdf, df
 
 
-def test_ranks_match_pandas(spark, both_plans):
+def test_ranks_match_pandas(spark, both_slicings):
     pdf, df = sample(spark)
     got = collect(percent_rank(average_rank(df, ["k"], "v", "r"), ["k"], "v", "p", descending=True), "id")
     want = pdf.sort_values("id").reset_index(drop=True)
@@ -24,21 +24,21 @@ def test_ranks_match_pandas(spark, both_plans):
     np.testing.assert_allclose(got["p"], want.groupby("k")["v"].rank(pct=True, ascending=False))
 
 
-def test_global_rank(spark, both_plans):
+def test_global_rank(spark, both_slicings):
     pdf, df = sample(spark)
     got = collect(average_rank(df, [], "v", "r", centred=True), "id")
     want = pdf.sort_values("id")["v"].rank()
     np.testing.assert_allclose(got["r"], want - (pdf["v"].count() + 1) / 2)
 
 
-def test_quantiles_match_pandas(spark, both_plans):
+def test_quantiles_match_pandas(spark, both_slicings):
     pdf, df = sample(spark)
     got = collect(quantiles(df, ["k"], "v", {"a": 0.01, "b": 0.5, "c": 0.987}), "k").set_index("k")
     want = pdf.groupby("k")["v"].quantile([0.01, 0.5, 0.987]).unstack()
     np.testing.assert_allclose(got.to_numpy(), want.loc[got.index].to_numpy())
 
 
-def test_row_positions_and_running_totals(spark, both_plans):
+def test_row_positions_and_running_totals(spark, both_slicings):
     pdf, df = sample(spark)
     got = collect(row_positions(df, ["k"], "v", "id", "pos"), "k", "pos")
     want = pdf.dropna().sort_values(["k", "v", "id"])

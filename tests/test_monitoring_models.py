@@ -48,14 +48,14 @@ def test_stream_equals_batch(spark, alerts, tmp_path):
     assert sorted(r.event_id for r in out.collect()) == plain(pdf, 300.0, 20)
 
 
-def test_drift_detects_shift(spark, both_plans):
+def test_drift_detects_shift(spark, both_slicings):
     g = np.random.default_rng(2)
     make = lambda m: spark.createDataFrame(pd.DataFrame({"a": g.normal(0, 1, 400), "b": g.normal(m, 1, 400)}))
     got = monitoring.feature_drift(make(0.0), make(1.5), ["a", "b"]).toPandas().set_index("feature")
     assert got.loc["a", "psi"] < 0.2 < got.loc["b", "psi"] and bool(got.loc["b", "drifted"])
 
 
-def test_ks_statistic(spark, both_plans):
+def test_ks_statistic(spark, both_slicings):
     g = np.random.default_rng(4)
     a, b = np.round(g.normal(0, 1, 300), 1), np.round(g.normal(0.3, 1, 200), 1)
     one = lambda x: spark.createDataFrame(pd.DataFrame({"v": x}))

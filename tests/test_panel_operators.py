@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from panelloom.functions import Frames, order_stats
 from panelloom.operators import features, labels, quality, universe, xsection
 from tests.conftest import collect
 
@@ -26,22 +27,48 @@ def test_core_momentum_matches_pandas(panel, panel_pd):
     np.testing.assert_allclose(got["residual_momentum"], want.to_numpy(), atol=1e-12)
 
 
-def test_cross_section_plans_agree(spark, panel):
+def test_cross_section_does_not_depend_on_slices(spark, panel, monkeypatch):
     feats = ["return_5d", "volume_shock"]
     df = features.core_features(panel).select("date", "ticker", *feats).cache()
+
     def run():
         z = xsection.rank_features(xsection.winsorize(df, feats), feats)
         return collect(z, "ticker", "date")[["ticker", "date", *feats]], collect(labels.ranking_labels(panel, (5,)), "ticker", "date")
-    small = run()
-    spark.conf.set("panelloom.taskRows", "0")
-    try:
-        sliced = run()
-    finally:
-        spark.conf.unset("panelloom.taskRows")
-    for a, b in zip(small, sliced):
+
+    usual, cut = run(), order_stats._sliced
+    monkeypatch.setattr(order_stats, "_sliced", lambda d, keys, value, _: cut(d, keys, value, 2))
+    for a, b in zip(usual, run()):
         pd.testing.assert_frame_equal(a, b[a.columns], check_exact=False, atol=1e-9)
 
 
+def test_ranks_keep_repeated_rows_and_missing_values(spark):
+    rows = [("2024-01-02", "A", 1.0), ("2024-01-02", "A", 3.0), ("2024-01-02", "B", 2.0), ("2024-01-02", "C", None), ("2024-01-02", "D", 2.0)]
+    df = spark.createDataFrame(rows, "date string, ticker string, volume_shock double")
+    got = sorted((r.ticker, r.volume_shock) for r in xsection.rank_features(df, ["volume_shock"], []).collect() if r.ticker != "C")
+    assert got == [("A", 0.25), ("A", 1.0), ("B", 0.625), ("D", 0.625)]
+    assert xsection.rank_features(df, ["volume_shock"], []).count() == 5
+
+
+@pytest.mark.parametrize("odd", ["nan", "inf", "level"])
+def test_rolling_columns_heed_only_their_frame(spark, odd):
+    g = np.random.default_rng(5)
+    x = 100 + g.normal(size=400).cumsum()
+    if odd == "level":
+        x[:200], x[200:] = 20_000.0, 1.0 + 0.005 * g.normal(size=200)
+    else:
+        x[50] = float(odd)
+    pdf = pd.DataFrame({"ticker": "A", "date": pd.bdate_range("2020-01-01", periods=400).date, "x": x, "y": g.normal(size=400)})
+    frames, fn = Frames(), {"mean": F.avg, "std": F.stddev_samp, "sum": F.sum, "max": F.max}
+    cols = {k: frames.roll(f, "x", 20, 5) for k, f in fn.items()} | {"corr": frames.corr("y", "x", 30)}
+    got = collect(frames.add(spark.createDataFrame(pdf), cols), "date")
+    clean = pdf["x"].where(np.isfinite(pdf["x"]))
+    for k in fn:  # each window on its own: rolling().std() carries rounding on from window to window
+        want = clean.rolling(20, min_periods=5).apply(lambda v, k=k: getattr(pd.Series(v).dropna(), k)(), raw=True)
+        np.testing.assert_allclose(got[k].astype(float), want, rtol=1e-6, atol=1e-9)
+    if odd != "level":
+        np.testing.assert_allclose(got["corr"].astype(float), clean.rolling(30).corr(pdf["y"]), rtol=1e-6, atol=1e-9)
+
+
 def test_correlated_feature_is_pruned(spark):
     g = np.random.default_rng(0)
     x = g.normal(size=600)

@@ -105,7 +105,7 @@ def test_clip_normalize(spark):
     assert abs(got["weight"].sum() - 1) < 1e-5 and got["weight"].max() <= 0.3 + 1e-9
 
 
-def test_ic_and_spread(setup, panel, both_plans):
+def test_ic_and_spread(setup, panel, both_slicings):
     scores, _, returns, _ = setup
     ic = alpha.daily_ic(scores, panel, [5], min_names=3).toPandas()
     assert len(ic) and ic["ic"].between(-1, 1).all()
