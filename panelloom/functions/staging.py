@@ -2,28 +2,27 @@
 
 from __future__ import annotations
 
+import atexit
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
-_FALLBACK: dict[str, str] = {}
-
 
 def staging_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a private one only where none is configured (tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
-    )
-    app = spark.sparkContext.applicationId
-    if shared:
-        return os.path.join(shared, f"panelloom-{app}")
-    if app not in _FALLBACK:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        _FALLBACK[app] = tempfile.mkdtemp(prefix="panelloom-")
-    return _FALLBACK[app]
+    """The cluster's shared folder (``spark.checkpoint.dir``); where none is configured, a
+    folder inside the session's warehouse, which executors share as well."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    shared = shared or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_shared")
+    return os.path.join(shared, f"panelloom-{spark.sparkContext.applicationId}")
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session has ended already
+        pass
 
 
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
@@ -31,9 +30,11 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
 
     Used where a result feeds several branches: later branches prune columns, see true
     sizes (so Spark itself decides about broadcasts) and survive the loss of executors.
+    The files go when the session ends.
     """
     path = os.path.join(staging_root(df.sparkSession), f"{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    atexit.register(_remove, df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

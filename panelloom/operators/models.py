@@ -214,11 +214,13 @@ def smooth_scores(scores: DataFrame, rebalances: DataFrame, members: DataFrame |
 # -- confidence --------------------------------------------------------------------------
 
 def dispersion(df: DataFrame, members: list[str], out: str = "dispersion") -> DataFrame:
-    """Sample standard deviation across the members' columns of a row."""
+    """Sample standard deviation across the members' columns of a row; null for a single member."""
+    if len(members) < 2:
+        return df.withColumn(out, F.lit(None).cast("double"))
     n = float(len(members))
     mean = sum((c(m) for m in members), F.lit(0.0)) / n
     ss = sum((F.pow(c(m) - mean, 2.0) for m in members), F.lit(0.0))
-    return df.withColumn(out, F.sqrt(ss / max(n - 1.0, 1.0)))
+    return df.withColumn(out, F.sqrt(ss / (n - 1.0)))
 
 
 def confidence_tiers(df: DataFrame, value: str = "dispersion", low: float = 0.25, high: float = 0.75) -> DataFrame:

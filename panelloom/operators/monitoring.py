@@ -123,12 +123,9 @@ def drawdown_check(daily: DataFrame, breach: float = -0.20) -> DataFrame:
 
 # -- operations ------------------------------------------------------------------------
 
-def latency_summary(log: DataFrame, last: int = 10_000) -> DataFrame:
-    """Latency per operation over the most recent ``last`` records of the whole log.
-
-    The limit is the log's own capacity; Spark keeps only that many rows per task.
-    """
-    recent = log.orderBy(c("ts").desc(), c("event_id").desc()).limit(last)
+def latency_summary(log: DataFrame, since=None) -> DataFrame:
+    """Latency per operation over the whole log, or over its records from ``since`` on."""
+    recent = log if since is None else log.where(c("ts") >= F.lit(since))
     p = lambda q: F.percentile("latency_ms", F.lit(q))
     return recent.groupBy("operation").agg(
         F.count(F.lit(1)).alias("count"), F.avg("latency_ms").alias("mean_ms"), p(0.5).alias("p50_ms"), p(0.95).alias("p95_ms"),

@@ -49,10 +49,10 @@ def top_k_schedule(scores: DataFrame, ks: list[int]) -> DataFrame:
 
 # -- selection ------------------------------------------------------------------------
 
-def score_ranks(scores: DataFrame, limit: int) -> DataFrame:
-    """Ranks 1..limit per date, highest score first, ties by ticker."""
+def score_ranks(scores: DataFrame, limit: int | None = None) -> DataFrame:
+    """Ranks per date (1..limit, if one is asked for), highest score first, ties by ticker."""
     ranked = row_positions(scores.withColumn("__neg", -c("score")), ["date"], "__neg", "ticker", "rank")
-    return ranked.where(c("rank") <= limit).select("date", "ticker", "score", "rank")
+    return (ranked if limit is None else ranked.where(c("rank") <= limit)).select("date", "ticker", "score", "rank")
 
 
 def hysteresis_schedule(
@@ -146,32 +146,29 @@ def clip_normalize(weights: DataFrame, low: float = 0.0, high: float = 0.10, pas
     """Clip to [low, high] and hand the rest to the unclipped names, at most ``passes`` times.
 
     A rebalance stops early when it sums to 1, when nothing is left to scale, or when the
-    clipped names already take everything.  The passes are columns over one rebalance's
-    weights held as an array, as wide as the portfolio.
+    clipped names already take everything.  Every pass is a set of totals over the rows of a
+    rebalance; all passes share one exchange and no row holds more than one name.
     """
-    packed = weights.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("ticker", "weight"))).alias("__a"))
-    df = packed.select(*KEYS, c("__a.ticker").alias("__t"), c("__a.weight").alias("__w"), F.lit(False).alias("__done"))
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    lo, hi = F.lit(float(low)), F.lit(float(high))
+    whole = Window.partitionBy(*KEYS)
+    df = weights.select(*KEYS, "ticker", c("weight").alias("__w"), F.lit(False).alias("__done"))
+    inner = (c("__x") > low) & (c("__x") < high)
     for _ in range(passes):
-        w = F.transform(c("__w"), lambda x: F.greatest(lo, F.least(hi, x)))
-        df = df.withColumn("__x", F.when(c("__done"), c("__w")).otherwise(w)).withColumn("__sum", total(c("__x")))
-        inner = lambda x: (x > lo) & (x < hi)
-        df = df.withColumn("__in", total(F.transform("__x", lambda x: F.when(inner(x), x).otherwise(0.0)))).withColumn(
-            "__k", F.size(F.filter("__x", inner)))
-        rest = F.lit(1.0) - (c("__sum") - c("__in"))
+        clipped = F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), c("__w")))
+        df = df.withColumn("__x", F.when(c("__done"), c("__w")).otherwise(clipped)).withColumns({
+            "__sum": F.sum("__x").over(whole), "__in": F.sum(F.when(inner, c("__x")).otherwise(0.0)).over(whole),
+            "__k": F.count_if(inner).over(whole), "__n": F.count(F.lit(1)).over(whole)})
+        rest = 1.0 - (c("__sum") - c("__in"))
         settled = F.abs(c("__sum") - 1.0) < 1e-5
-        nxt = (
+        after = (
             F.when(c("__done") | settled, c("__x"))
-            .when(c("__sum") == 0, F.transform("__x", lambda x: F.lit(1.0) / F.size("__x")))
-            .when(c("__k") == 0, F.transform("__x", lambda x: x / nz("__sum")))
-            .when(rest <= 0, F.transform("__x", lambda x: F.when(inner(x), F.lit(0.0)).otherwise(x)))
-            .otherwise(F.transform("__x", lambda x: F.when(inner(x), x / nz("__in") * rest).otherwise(x)))
+            .when(c("__sum") == 0, F.lit(1.0) / c("__n"))
+            .when(c("__k") == 0, c("__x") / nz("__sum"))
+            .when(inner, F.when(rest <= 0, F.lit(0.0)).otherwise(c("__x") / nz("__in") * rest))
+            .otherwise(c("__x"))
         )
         done = c("__done") | settled | (c("__sum") == 0) | (c("__k") == 0) | (rest <= 0)
-        df = df.select(*KEYS, "__t", nxt.alias("__w"), done.alias("__done"))
-    return df.select(*KEYS, F.explode(F.arrays_zip("__t", "__w")).alias("r")).select(
-        *KEYS, c("r.__t").alias("ticker"), c("r.__w").alias("weight"))
+        df = df.select(*KEYS, "ticker", after.alias("__w"), done.alias("__done"))
+    return df.select(*KEYS, "ticker", c("__w").alias("weight"))
 
 
 def constrain(
@@ -217,28 +214,32 @@ def no_trade_zone(pairs: DataFrame, threshold: float = 0.005) -> DataFrame:
 def no_trade_schedule(weights: DataFrame, threshold: float = 0.005) -> DataFrame:
     """The same rule over time: each rebalance starts from the weights the rule left.
 
-    Sequential per portfolio; a group holds that portfolio's own holdings only.
+    The normalisation ties all names of a date to one another and to the date before, so a
+    portfolio is one sequence: a table of its dates by the names it ever targets, stepped
+    through date by date.  Returns the names held or targeted on a date, or held on the one before.
     """
 
-    def walk(pdf):
+    def steps(rows):
+        import numpy as np
         import pandas as pd
 
-        held, out = pd.Series(dtype="float64"), []
-        for day, rows in pdf.sort_values(["rebal_date", "ticker"]).groupby("rebal_date", sort=True):
-            target = rows.set_index("ticker")["weight"]
-            if len(held):
-                names = held.index.union(target.index)
-                old, new = held.reindex(names, fill_value=0.0), target.reindex(names, fill_value=0.0)
-                target = new.where((new - old).abs() > threshold, old)
-                if target.sum() > 0:
-                    target = target / target.sum()
-            held = target
-            out.append(pd.DataFrame({"portfolio_id": int(pdf["portfolio_id"].iloc[0]), "rebal_date": day,
-                                     "ticker": held.index, "weight": held.to_numpy()}))
-        return pd.concat(out)
-
-    return weights.groupBy("portfolio_id").applyInPandas(
-        walk, "portfolio_id int, rebal_date date, ticker string, weight double")
+        days, day = np.unique(rows["rebal_date"].to_numpy(), return_inverse=True)
+        names, name = np.unique(rows["ticker"].to_numpy(dtype=str), return_inverse=True)
+        asked = np.zeros((len(days), len(names)))
+        asked[day, name] = rows["weight"]
+        given = asked.copy()
+        for i in range(1, len(days)):
+            settled = np.abs(asked[i] - given[i - 1]) <= threshold
+            given[i][settled] = given[i - 1][settled]
+            if (total := given[i].sum()) > 0:
+                given[i] /= total
+        listed = given != 0
+        listed[1:] |= listed[:-1].copy()  # a name that was sold shows once, with weight 0
+        listed[day, name] = True
+        at = np.nonzero(listed)
+        return pd.DataFrame({"portfolio_id": rows["portfolio_id"].iloc[0], "rebal_date": days[at[0]], "ticker": names[at[1]], "weight": given[at]})
+
+    return weights.groupBy("portfolio_id").applyInPandas(steps, "portfolio_id int, rebal_date date, ticker string, weight double")
 
 
 def rebalance_report(pairs: DataFrame, trigger: float = 0.05) -> DataFrame:

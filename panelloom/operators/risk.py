@@ -261,9 +261,12 @@ def regime_signal(index: DataFrame, vix: DataFrame | None = None) -> DataFrame:
     return df.select("symbol", "date", "close", (trend * guard * scale).alias("raw"))
 
 
-def smooth(signal: DataFrame, span: int = 5, reach: int = 100) -> DataFrame:
-    """Exponentially weighted mean with bias correction; weights beyond ``reach`` rows vanish."""
+def smooth(signal: DataFrame, span: int = 5) -> DataFrame:
+    """Exponentially weighted mean with bias correction.
+
+    The frame reaches back until a row's weight is below 1e-17, whatever the span."""
     keep = 1.0 - 2.0 / (span + 1.0)
+    reach = 1 if keep <= 0 else math.ceil(math.log(1e-17) / math.log(keep))
     frame = Window.partitionBy("symbol").orderBy("date").rowsBetween(-(reach - 1), 0)
     df = signal.withColumn("__a", F.collect_list("raw").over(frame))
     total = F.aggregate("__a", F.lit(0.0), lambda s, x: s * keep + x)

@@ -181,7 +181,7 @@ def _(t):
 
 
 @query("monitor_latency", fin("operation:k count:i mean_ms p50_ms p95_ms p99_ms max_ms", """SELECT operation, count(*) AS count, avg(latency_ms) AS mean_ms, quantile_cont(latency_ms, 0.5) AS p50_ms, quantile_cont(latency_ms, 0.95) AS p95_ms,
-    quantile_cont(latency_ms, 0.99) AS p99_ms, max(latency_ms) AS max_ms FROM (SELECT * FROM ops ORDER BY ts DESC, event_id DESC LIMIT 10000) GROUP BY 1"""))
+    quantile_cont(latency_ms, 0.99) AS p99_ms, max(latency_ms) AS max_ms FROM ops GROUP BY 1"""))
 def _(t):
     return monitoring.latency_summary(t.ops_log())
 

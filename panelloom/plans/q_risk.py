@@ -39,9 +39,9 @@ P = "OVER (PARTITION BY portfolio_id, rebal_date)"
 
 
 @query("portfolio_score_ranks", fin("date:d ticker:k score rank:i", """SELECT * FROM (SELECT date, ticker, score,
-    row_number() OVER (PARTITION BY date ORDER BY score DESC, ticker) AS rank FROM scores) WHERE rank <= 20"""))
+    row_number() OVER (PARTITION BY date ORDER BY score DESC, ticker) AS rank FROM scores)"""))
 def _(t):
-    return portfolio.score_ranks(t.scores(), 20)
+    return portfolio.score_ranks(t.scores())
 
 
 @query("portfolio_hysteresis")

@@ -12,9 +12,8 @@ c = F.col
 
 
 def write_panel(panel: DataFrame, path: str) -> None:
-    """Partition by year, so that a date range prunes directories."""
-    panel.withColumn("year", F.year("date")).repartition("year", F.pmod(F.xxhash64("ticker"), F.lit(16))).write.partitionBy("year").mode(
-        "overwrite").parquet(path)
+    """Partition by year, so that a date range prunes directories; Spark sizes the files by the data."""
+    panel.withColumn("year", F.year("date")).hint("rebalance", "year").write.partitionBy("year").mode("overwrite").parquet(path)
 
 
 def read_panel(spark: SparkSession, path: str, tickers: list[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
