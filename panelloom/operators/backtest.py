@@ -363,7 +363,9 @@ def high_vol_regime(weights: DataFrame, returns: DataFrame, cal: DataFrame, q: f
     held = holdings(weights, cal, None, 1)
     fr = Frames(by_portfolio())
     gross = gross_returns(held, returns, daily_grid(weights, cal))
-    df = stage(fr.add(gross, {"sd20": fr.roll(F.stddev_samp, "gross", 20)}).select(*PD, "gross", "sd20"), "vol")
+    # frames that hold the same returns in another order differ in the last bits: round, so ties are ties
+    sd20 = F.round(fr.roll(F.stddev_samp, "gross", 20), 12)
+    df = stage(fr.add(gross, {"sd20": sd20}).select(*PD, "gross", "sd20"), "vol")
     cut = quantiles(df, ["portfolio_id"], "sd20", {"cut": q})
     hot = df.join(cut, "portfolio_id").where(c("sd20") > c("cut"))
     sd = F.stddev_samp("gross")

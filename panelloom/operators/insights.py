@@ -21,6 +21,21 @@ NEGATIVE = [
     "slowdown", "weakness", "supply chain disruption", "loss", "restructuring", "default", "attrition",
 ]
 
+# Stances by predicted return, anomaly and alert words.
+DIRECTIONS = ("BULLISH", "BEARISH", "NEUTRAL")
+STANCES = ("Strong Outperform", "Moderate Outperform", "Strong Underperform", "Moderate Underperform", "Market Perform")
+ALERTS = ("HIGH TAIL RISK", "HIGH CONCENTRATION", "MANDATE BREACH")
+# Advice by domain: priority, recommendation, form of the rationale.
+ADVICE = {
+    "MODEL_TUNING": ("HIGH", "Perform hyperparameter optimization and feature pruning.", "Backtest Sharpe ratio (%.2f) is below target threshold 0.80."),
+    "RISK_CONTROL": ("HIGH", "Tighten volatility targeting scalar and lower position cap limits.", "Max drawdown (%.1f%%) exceeds risk threshold of -20%%."),
+    "EXECUTION_COSTS": ("MEDIUM", "Switch rebalance frequency from weekly to monthly or apply turnover constraints.", "Annualised turnover (%.1fx) generates %.0f bps in transaction costs."),
+    "PORTFOLIO_DELEVERAGING": ("CRITICAL", "Reduce gross exposure by 20% and allocate to cash buffer.", "Risk profile grade is HIGH with active risk alerts: %d alerts triggered."),
+    "MODEL_RETRAINING": ("HIGH", "Trigger automated model retraining pipeline on latest 12-month window.", "Significant feature distribution drift detected (PSI > 0.20)."),
+    "DATA_PIPELINE": ("CRITICAL", "Audit data ingest pipeline for missing values or index staleness.", "Data quality checks failed on incoming market feeds."),
+    "MAINTENANCE": ("LOW", "Maintain current portfolio allocation and monitoring schedule.", "All quantitative systems operate within nominal risk and performance parameters."),
+}
+
 
 # -- anomalies ---------------------------------------------------------------------------
 
@@ -109,15 +124,29 @@ def top_drivers(attributions: DataFrame, keys: list[str], n: int = 5) -> DataFra
 
 
 def explain_predictions(predictions: DataFrame, attributions: DataFrame, keys: list[str], n: int = 5) -> DataFrame:
-    """Direction and stance of a predicted return with its main drivers."""
+    """Direction, stance, main drivers and a sentence for every predicted return.
+
+    ``predictions`` may hold ``probability`` and an interval ``lower``, ``upper``; the
+    sentence tells what is there.  ``drivers`` lists feature, signed value and impact.
+    """
     s = c("score")
-    direction = F.when(s > 0.02, "BULLISH").when(s < -0.02, "BEARISH").otherwise("NEUTRAL")
-    stance = (F.when(s > 0.05, "Strong Outperform").when(s > 0.02, "Moderate Outperform")
-              .when(s < -0.05, "Strong Underperform").when(s < -0.02, "Moderate Underperform").otherwise("Market Perform"))
-    drivers = top_drivers(attributions, keys, n).groupBy(*keys).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "feature"))), lambda x: x["feature"]), ",").alias("key_drivers"))
+    up, down, flat = map(F.lit, DIRECTIONS)
+    much_up, some_up, much_down, some_down, even = map(F.lit, STANCES)
+    direction = F.when(s > 0.02, up).when(s < -0.02, down).otherwise(flat)
+    stance = F.when(s > 0.05, much_up).when(s > 0.02, some_up).when(s < -0.05, much_down).when(s < -0.02, some_down).otherwise(even)
+    impact = F.when(c("value") > 0, "positive").otherwise("negative")
+    own = top_drivers(attributions, keys, n).withColumn("impact", impact)
+    listed = F.sort_array(F.collect_list(F.struct("rank", "feature", "value", "impact")))
+    drivers = own.groupBy(*keys).agg(listed.alias("drivers"))
+    drivers = drivers.withColumn("key_drivers", F.array_join(F.transform("drivers", lambda x: x["feature"]), ","))
+    part = lambda names, text: F.when(F.concat(*[c(x).cast("string") for x in names]).isNull(), "").otherwise(text) if set(names) <= set(predictions.columns) else F.lit("")
     df = predictions.join(drivers, keys, "left").withColumns({"direction": direction, "stance": stance})
-    return df.withColumn("narrative", F.concat(c("direction"), F.lit(" ("), c("stance"), F.lit(") on "), c("ticker")))
+    told = F.concat(
+        F.format_string("The model maintains a %s stance (%s) on %s with an expected return of %+.2f%%", "direction", "stance", "ticker", 100.0 * s),
+        part(["probability"], F.format_string(" with %.1f%% probability", 100.0 * c("probability"))),
+        part(["lower", "upper"], F.format_string(" [95%% CI: %.3f to %.3f]", "lower", "upper")), F.lit("."),
+    )
+    return df.withColumn("narrative", told)
 
 
 def attribution_split(attributions: DataFrame, keys: list[str], base: float = 0.0, n: int = 5) -> DataFrame:
@@ -134,7 +163,7 @@ def attribution_split(attributions: DataFrame, keys: list[str], base: float = 0.
 def risk_grade(profile: DataFrame) -> DataFrame:
     """Grade from ``var, cvar, top_5, mandate_met`` by the number of alerts."""
     alerts = F.array_compact(F.array(
-        F.when(c("var") > 0.03, "HIGH TAIL RISK"), F.when(c("top_5") > 0.40, "HIGH CONCENTRATION"), F.when(~c("mandate_met"), "MANDATE BREACH")))
+        *[F.when(when, word) for when, word in zip((c("var") > 0.03, c("top_5") > 0.40, ~c("mandate_met")), ALERTS)]))
     df = profile.withColumn("alerts", F.array_join(alerts, ",")).withColumn("n_alerts", F.size(alerts))
     ratio = F.when(c("var") > 0, c("cvar") / nz("var")).otherwise(1.0)
     return df.withColumns({
@@ -149,12 +178,20 @@ def dominant_factor(exposures: DataFrame, keys: list[str]) -> DataFrame:
 
 def recommendations(inputs: DataFrame, keys: list[str]) -> DataFrame:
     """Rules over ``sharpe_ratio, max_drawdown, ann_fixed_cost_bp, ann_turnover, risk_grade,
-    drift_detected, quality_passed``: one row per rule that fires, a maintenance row when none does."""
-    rule = lambda cond, priority, domain: F.when(cond, F.struct(F.lit(priority).alias("priority"), F.lit(domain).alias("domain")))
+    n_alerts, drift_detected, quality_passed``: one row per rule that fires, with priority,
+    domain, recommendation and rationale; a maintenance row when none does."""
+
+    def advice(domain: str, *figures: Column) -> Column:
+        priority, text, form = ADVICE[domain]
+        why = F.format_string(form, *figures) if figures else F.lit(form)
+        return F.struct(F.lit(priority).alias("priority"), F.lit(domain).alias("domain"), F.lit(text).alias("recommendation"), why.alias("rationale"))
+
+    alerts = c("n_alerts").cast("int") if "n_alerts" in inputs.columns else F.lit(0)
     fired = F.array_compact(F.array(
-        rule(c("sharpe_ratio") < 0.6, "HIGH", "MODEL_TUNING"), rule(F.abs("max_drawdown") > 0.20, "HIGH", "RISK_CONTROL"),
-        rule((c("ann_fixed_cost_bp") > 100.0) | (c("ann_turnover") > 6.0), "MEDIUM", "EXECUTION_COSTS"),
-        rule(c("risk_grade") == "HIGH", "CRITICAL", "PORTFOLIO_DELEVERAGING"), rule(c("drift_detected"), "HIGH", "MODEL_RETRAINING"),
-        rule(~c("quality_passed"), "CRITICAL", "DATA_PIPELINE")))
-    default = F.array(F.struct(F.lit("LOW").alias("priority"), F.lit("MAINTENANCE").alias("domain")))
-    return inputs.select(*keys, F.explode(F.when(F.size(fired) > 0, fired).otherwise(default)).alias("r")).select(*keys, "r.priority", "r.domain")
+        F.when(c("sharpe_ratio") < 0.6, advice("MODEL_TUNING", c("sharpe_ratio"))),
+        F.when(F.abs("max_drawdown") > 0.20, advice("RISK_CONTROL", 100.0 * c("max_drawdown"))),
+        F.when((c("ann_fixed_cost_bp") > 100.0) | (c("ann_turnover") > 6.0), advice("EXECUTION_COSTS", c("ann_turnover"), c("ann_fixed_cost_bp"))),
+        F.when(c("risk_grade") == "HIGH", advice("PORTFOLIO_DELEVERAGING", alerts)),
+        F.when(c("drift_detected"), advice("MODEL_RETRAINING")), F.when(~c("quality_passed"), advice("DATA_PIPELINE"))))
+    rows = F.explode(F.when(F.size(fired) > 0, fired).otherwise(F.array(advice("MAINTENANCE"))))
+    return inputs.select(*keys, rows.alias("r")).select(*keys, "r.*")

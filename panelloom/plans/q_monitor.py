@@ -347,8 +347,8 @@ def _(t):
     return models.local_explanation(attributions(t), AKEYS).drop("rank")
 
 
-@query("insight_explain_predictions", fin("date:d ticker:k direction:k stance:k n_drivers:i narrative:k", """SELECT s.date, s.ticker, direction, stance, coalesce(n, 0) AS n_drivers, direction || ' (' || stance || ') on ' || s.ticker AS narrative FROM (
-    SELECT date, ticker, CASE WHEN x > 0.02 THEN 'BULLISH' WHEN x < -0.02 THEN 'BEARISH' ELSE 'NEUTRAL' END AS direction, CASE WHEN x > 0.05 THEN 'Strong Outperform' WHEN x > 0.02 THEN 'Moderate Outperform' WHEN x < -0.05 THEN 'Strong Underperform' WHEN x < -0.02 THEN 'Moderate Underperform' ELSE 'Market Perform' END AS stance
+@query("insight_explain_predictions", fin("date:d ticker:k direction:k stance:k n_drivers:i narrative:k", """SELECT s.date, s.ticker, direction, stance, coalesce(n, 0) AS n_drivers, 'The model maintains a ' || direction || ' stance (' || stance || ') on ' || s.ticker || ' with an expected return of ' || printf('%+.2f', 100.0 * x) || '%.' AS narrative FROM (
+    SELECT date, ticker, x, CASE WHEN x > 0.02 THEN 'BULLISH' WHEN x < -0.02 THEN 'BEARISH' ELSE 'NEUTRAL' END AS direction, CASE WHEN x > 0.05 THEN 'Strong Outperform' WHEN x > 0.02 THEN 'Moderate Outperform' WHEN x < -0.05 THEN 'Strong Underperform' WHEN x < -0.02 THEN 'Moderate Underperform' ELSE 'Market Perform' END AS stance
     FROM (SELECT date, ticker, (score - 0.5) * 0.2 AS x FROM scores)) s LEFT JOIN (SELECT date, ticker, count(*) AS n FROM atk WHERE rank <= 5 GROUP BY 1, 2) a USING (date, ticker)""", ATT))
 def _(t):
     pred = t.scores().select("date", "ticker", ((c("score") - 0.5) * 0.2).alias("score"))
@@ -388,8 +388,11 @@ def _(t):
     return insights.dominant_factor(risk.factor_exposure(t.weights(), factor_betas(t)), ["portfolio_id", "rebal_date"])
 
 
-@query("insight_recommendations", fin("portfolio_id:i priority:k domain:k", f"""
-    SELECT portfolio_id, priority, domain FROM (SELECT portfolio_id, unnest([CASE WHEN sharpe_ratio < 0.6 THEN {{'priority': 'HIGH', 'domain': 'MODEL_TUNING'}} END, CASE WHEN abs(max_drawdown) > 0.2 THEN {{'priority': 'HIGH', 'domain': 'RISK_CONTROL'}} END,
+ADVICE_SQL = "CASE domain " + " ".join(f"WHEN '{d}' THEN '{text}'" for d, (_, text, _) in insights.ADVICE.items()) + " END"
+
+
+@query("insight_recommendations", fin("portfolio_id:i priority:k domain:k recommendation:k", f"""
+    SELECT portfolio_id, priority, domain, {ADVICE_SQL} AS recommendation FROM (SELECT portfolio_id, unnest([CASE WHEN sharpe_ratio < 0.6 THEN {{'priority': 'HIGH', 'domain': 'MODEL_TUNING'}} END, CASE WHEN abs(max_drawdown) > 0.2 THEN {{'priority': 'HIGH', 'domain': 'RISK_CONTROL'}} END,
       CASE WHEN ann_fixed_cost_bp > 100 OR ann_turnover > 6 THEN {{'priority': 'MEDIUM', 'domain': 'EXECUTION_COSTS'}} END, CASE WHEN risk_grade = 'HIGH' THEN {{'priority': 'CRITICAL', 'domain': 'PORTFOLIO_DELEVERAGING'}} END,
       CASE WHEN (SELECT bool_or(drifted) FROM dr) THEN {{'priority': 'HIGH', 'domain': 'MODEL_RETRAINING'}} END, CASE WHEN NOT (SELECT bool_and(passed) FROM ck) THEN {{'priority': 'CRITICAL', 'domain': 'DATA_PIPELINE'}} END]) AS x
       FROM ({SUM}) JOIN rg USING (portfolio_id)) q, LATERAL (SELECT q.x.priority AS priority, q.x.domain AS domain) WHERE priority IS NOT NULL""", ACT | RG | DRIFT | FEED))
@@ -398,7 +401,7 @@ def _(t):
     passed = quality.feed_report(feed(t)).select(c("passed").alias("quality_passed"))
     one = F.broadcast(drift.join(passed))
     inputs = backtest.summary(backtest_daily(t)).join(grade(t).select("portfolio_id", "risk_grade"), "portfolio_id").join(one)
-    return insights.recommendations(inputs, ["portfolio_id"])
+    return insights.recommendations(inputs, ["portfolio_id"]).drop("rationale")
 
 
 # -- execution costs -----------------------------------------------------------------------

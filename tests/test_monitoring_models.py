@@ -80,6 +80,19 @@ def test_recommendation_default(spark):
                                     "risk_grade string, drift_detected boolean, quality_passed boolean")
     got = insights.recommendations(df, ["id"]).toPandas()
     assert got[got.id == 1]["domain"].tolist() == ["MAINTENANCE"] and len(got[got.id == 2]) == 6
+    why = got[got.id == 2].set_index("domain")["rationale"]
+    assert why["MODEL_TUNING"] == "Backtest Sharpe ratio (0.10) is below target threshold 0.80."
+    assert why["RISK_CONTROL"] == "Max drawdown (-30.0%) exceeds risk threshold of -20%."
+    assert why["EXECUTION_COSTS"] == "Annualised turnover (9.0x) generates 10 bps in transaction costs."
+
+
+def test_explanation_tells_what_is_known(spark):
+    pred = spark.createDataFrame([(1, "AAA", 0.031, 0.625, 0.01, 0.05), (2, "BBB", -0.3, None, None, None)], "id int, ticker string, score double, probability double, lower double, upper double")
+    att = spark.createDataFrame([(1, "x", 0.2), (1, "y", -0.5), (1, "z", None)], "id int, feature string, value double")
+    a, b = insights.explain_predictions(pred, att, ["id"]).orderBy("id").collect()
+    assert a.narrative == "The model maintains a BULLISH stance (Moderate Outperform) on AAA with an expected return of +3.10% with 62.5% probability [95% CI: 0.010 to 0.050]."
+    assert [(d.feature, d.value, d.impact) for d in a.drivers] == [("y", -0.5, "negative"), ("x", 0.2, "positive")] and a.key_drivers == "y,x"
+    assert b.narrative == "The model maintains a BEARISH stance (Strong Underperform) on BBB with an expected return of -30.00%." and b.drivers is None
 
 
 def test_fold_table_and_conformal(spark, panel):
