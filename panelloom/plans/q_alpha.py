@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from panelloom.operators import alpha, universe
+from panelloom.operators import alpha, features, universe
 from panelloom.plans.oracle import avgrank, fin, pctrank, r
 from panelloom.plans.registry import query
 
@@ -61,9 +61,9 @@ def _(t):
 
 @query("universe_active_features", fin("feature:k n_valid:i active:k", " UNION ALL ".join(
     f"SELECT '{f}' AS feature, count({f}) AS n_valid, count({f}) > 0 AS active FROM core" for f in
-    ("return_1m", "return_6m", "residual_momentum", "roe", "roa"))))
+    features.CORE_COLUMNS)))
 def _(t):
-    return universe.active_columns(t.core(), ["return_1m", "return_6m", "residual_momentum", "roe", "roa"])
+    return universe.active_columns(t.core(), features.CORE_COLUMNS)
 
 
 @query("universe_traded_value", fin("date:d ticker:k adv_millions", "SELECT date, ticker, adv / 1e6 AS adv_millions FROM adv"))

@@ -168,11 +168,11 @@ def _(t):
     return xsection.correlation_table(t.core(), CORE)
 
 
-_OWN = ["return_1m", "volume_shock"]
+_OWN = LIVE
 
 
 @query("xsection_own_history_zscore", fin(
-    "date:d ticker:k return_1m volume_shock",
+    LIVE_SPEC,
     "SELECT date, ticker, " + ", ".join(f"({f} - {r('avg', f, 252, 60)}) / ({r('stddev_samp', f, 252, 60)} + 1e-6) AS {f}" for f in _OWN)
     + " FROM (SELECT date, ticker, " + ", ".join(
         f"CASE WHEN {f} IS NOT NULL THEN least(greatest({f}, quantile_cont({f}, 0.01) OVER (PARTITION BY ticker)), quantile_cont({f}, 0.99) OVER (PARTITION BY ticker)) END AS {f}"

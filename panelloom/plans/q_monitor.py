@@ -108,7 +108,7 @@ def _(t):
 
 # -- drift -------------------------------------------------------------------------------
 
-DF = ["return_1m", "bollinger_distance", "volume_shock"]
+DF = features.CORE_COLUMNS[:11]
 SPLIT = "DATE '1998-01-01'"
 DRIFT = {
     "smp": " UNION ALL ".join(f"SELECT '{f}' AS feature, {f} AS v, date < {SPLIT} AS is_ref FROM core WHERE {f} IS NOT NULL" for f in DF),
@@ -145,7 +145,7 @@ def _(t):
     return monitoring.feature_drift(*halves(t), DF)
 
 
-@query("drift_rate", fin("drift_rate", "SELECT sum(drifted::INT) / 3.0 AS drift_rate FROM dr", DRIFT))
+@query("drift_rate", fin("drift_rate", f"SELECT sum(drifted::INT) / {len(DF)}::DOUBLE AS drift_rate FROM dr", DRIFT))
 def _(t):
     return monitoring.drift_rate(monitoring.feature_drift(*halves(t), DF), len(DF))
 
@@ -319,7 +319,7 @@ def _(t):
 
 # -- attributions: z-scored features of each row stand in for contributions -----------------
 
-ATF = ["return_1m", "bollinger_distance", "volume_shock", "volatility_regime", "return_5d", "return_10d"]
+ATF = features.CORE_COLUMNS[:11]
 AKEYS = ["date", "ticker"]
 ATT = {"att": " UNION ALL ".join(
     f"SELECT date, ticker, '{f}' AS feature, ({f} - avg({f}) OVER (PARTITION BY date)) / CASE WHEN stddev_samp({f}) OVER (PARTITION BY date) = 0 THEN 1e-6 ELSE stddev_samp({f}) OVER (PARTITION BY date) END * 0.01 AS value FROM core" for f in ATF),
