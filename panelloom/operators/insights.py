@@ -127,7 +127,7 @@ def explain_predictions(predictions: DataFrame, attributions: DataFrame, keys: l
     """Direction, stance, main drivers and a sentence for every predicted return.
 
     ``predictions`` may hold ``probability`` and an interval ``lower``, ``upper``; the
-    sentence tells what is there.  ``drivers`` lists feature, signed value and impact.
+    sentence tells what is there; figures half-way between two are rounded to the even one.  ``drivers`` lists feature, signed value and impact.
     """
     s = c("score")
     up, down, flat = map(F.lit, DIRECTIONS)
@@ -142,8 +142,8 @@ def explain_predictions(predictions: DataFrame, attributions: DataFrame, keys: l
     part = lambda names, text: F.when(F.concat(*[c(x).cast("string") for x in names]).isNull(), "").otherwise(text) if set(names) <= set(predictions.columns) else F.lit("")
     df = predictions.join(drivers, keys, "left").withColumns({"direction": direction, "stance": stance})
     told = F.concat(
-        F.format_string("The model maintains a %s stance (%s) on %s with an expected return of %+.2f%%", "direction", "stance", "ticker", 100.0 * s),
-        part(["probability"], F.format_string(" with %.1f%% probability", 100.0 * c("probability"))),
+        F.format_string("The model maintains a %s stance (%s) on %s with an expected return of %+.2f%%", "direction", "stance", "ticker", F.bround(100.0 * s, 2)),
+        part(["probability"], F.format_string(" with %.1f%% probability", F.bround(100.0 * c("probability"), 1))),
         part(["lower", "upper"], F.format_string(" [95%% CI: %.3f to %.3f]", "lower", "upper")), F.lit("."),
     )
     return df.withColumn("narrative", told)

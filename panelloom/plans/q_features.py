@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from panelloom.operators import features, labels, xsection
 from panelloom.plans.oracle import corr, fin, lag, lead, pctrank, r
-from panelloom.plans.registry import query
+from panelloom.plans.registry import ORACLES, query
 
 c = F.col
 CORE = features.CORE_COLUMNS
@@ -115,7 +115,14 @@ def _(t):
     return features.compute_families(panel, context(t), ["Macro"]).select("date", "ticker", "vix_regime", "macro_regime_score")
 
 
-@query("features_all_families")
+def _joined(*names: str) -> str:
+    """SQL of several checked queries over the same rows, side by side."""
+    parts = [f"({ORACLES[n]}) q{i}" for i, n in enumerate(names)]
+    return f"SELECT * FROM {parts[0]} " + " ".join(f"JOIN {p} USING (date, ticker)" for p in parts[1:])
+
+
+@query("features_all_families", _joined(*(f"features_{f}" for f in (
+    "momentum", "value", "quality", "growth", "liquidity", "volatility", "macro", "sentiment", "alternative"))))
 def _(t):
     return features.compute_families(t.panel(), context(t))
 
@@ -289,7 +296,7 @@ def _(t):
     return reg.compute(t.panel())
 
 
-@query("labels_all")
+@query("labels_all", _joined("labels_regression", "labels_classification", "labels_ranking"))
 def _(t):
     return labels.label_panel(t.panel(), benchmark=t.market())
 
