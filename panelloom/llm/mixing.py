@@ -89,7 +89,8 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0
     goals = [int(r.target + 0.5) for r in targets.orderBy("s").collect()]
     block = max(1, min((g for g in goals if g), default=1) // 64, sum(goals) // most_slots)
 
-    buckets = max(1, sizes.count() // bucket_rows)
+    # Buckets split every source, so a hot one fills as many tasks as there are.
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sizes.count() // bucket_rows)
     goal = F.floor(F.col("target") + 0.5)
     known = targets.select(F.col("source").alias("_source"), "s", "source_size", "target")
     placed = (
