@@ -42,6 +42,17 @@ def covariance(selected: DataFrame, returns: DataFrame, panel: DataFrame, window
         *KEYS, "i", "j", ((z("x") - z("si") * z("sj") / days) / (days - 1.0)).alias("cov"))
 
 
+def mean_returns(selected: DataFrame, returns: DataFrame, panel: DataFrame, window: int = 252) -> DataFrame:
+    """``(portfolio_id, rebal_date, ticker, mean)`` over the same days as :func:`covariance`."""
+    cal = calendar(panel)
+    sel = selected.select(*KEYS, "ticker").join(cal.select(c("date").alias("rebal_date"), c("idx").alias("ridx")), "rebal_date")
+    r = returns.select("date", "ticker", "ret").join(cal, "date").select("ticker", "idx", "ret")
+    near = (c("idx") <= c("ridx")) & (c("idx") > c("ridx") - window)
+    days = F.least(F.lit(window), F.first("ridx")).cast("double")
+    total = F.coalesce(F.sum(F.when(near, c("ret"))), F.lit(0.0))
+    return sel.join(r, "ticker", "left").groupBy(*KEYS, "ticker").agg((total / days).alias("mean"))
+
+
 def _risk_parity(cov, score, rounds: int = 20):
     sd = np.sqrt(np.diag(cov))
     w = 1.0 / np.where(sd == 0, 1e-4, sd)
@@ -143,7 +154,7 @@ def solve(cov: DataFrame, fn, scores: DataFrame | None = None) -> DataFrame:
     if scores is not None:
         s = scores.select(c("date").alias("rebal_date"), c("ticker").alias("i"), "score")
         cov = cov.join(s, ["rebal_date", "i"], "left")
-    else:
+    elif "score" not in cov.columns:
         cov = cov.withColumn("score", F.lit(None).cast("double"))
     cov = cov.withColumn("score", F.coalesce("score", F.lit(0.5)))
 
@@ -177,8 +188,12 @@ def black_litterman(selected: DataFrame, cov: DataFrame, scores: DataFrame | Non
 
 
 @strategy("kelly")
-def kelly(selected: DataFrame, cov: DataFrame, scores: DataFrame | None = None, **_) -> DataFrame:
-    return solve(cov, _kelly, scores)
+def kelly(selected: DataFrame, cov: DataFrame, scores: DataFrame | None = None, means: DataFrame | None = None, **_) -> DataFrame:
+    """Half-Kelly weights; expected returns from scores, else from ``means`` (:func:`mean_returns`)."""
+    if scores is not None or means is None:
+        return solve(cov, _kelly, scores)
+    own = means.select(*KEYS, c("ticker").alias("i"), c("mean").alias("score"))
+    return solve(cov.join(own, KEYS + ["i"], "left"), lambda m, mu: np.maximum(0.0, 0.5 * np.linalg.pinv(m) @ mu))
 
 
 @strategy("hrp")

@@ -89,6 +89,21 @@ def test_hrp_orders_by_cluster():
     assert solvers._leaf_order(dist) == [0, 1, 2, 3]
 
 
+def test_kelly_without_scores_uses_mean_returns(spark, panel, panel_pd):
+    from panelloom.functions import by_ticker, pct_change
+
+    day = sorted(panel_pd["date"])[-1]
+    held = spark.createDataFrame([(1, day, t) for t in ("AAA", "BBB", "CCC")], "portfolio_id int, rebal_date date, ticker string")
+    rets = panel.select("date", "ticker", pct_change("close", by_ticker()).alias("ret")).where("ret is not null")
+    cov, means = solvers.covariance(held, rets, panel), solvers.mean_returns(held, rets, panel)
+    got = solvers.kelly(held, cov, means=means).toPandas().set_index("ticker")["weight"]
+    m = cov.toPandas().pivot(index="i", columns="j", values="cov").sort_index()
+    mu = means.toPandas().set_index("ticker")["mean"].sort_index()
+    want = np.maximum(0, np.linalg.pinv(m.to_numpy()) @ mu.to_numpy())
+    want = want / want.sum() if want.sum() > 0 else np.full(3, 1 / 3)
+    np.testing.assert_allclose(got.sort_index(), want, atol=1e-9)
+
+
 def test_sequential_no_trade_zone(spark):
     rows = [(1, "2020-01-01", "a", 0.5), (1, "2020-01-01", "b", 0.5), (1, "2020-02-01", "a", 0.502), (1, "2020-02-01", "c", 0.498)]
     w = spark.createDataFrame(rows, "portfolio_id int, d string, ticker string, weight double").select(
