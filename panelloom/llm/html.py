@@ -142,8 +142,8 @@ def main_text(page: str | None, window: int = 3, surge: int = 86) -> str:
     Lines of the surroundings have length 0.  Where an article or main element exists, only
     its lines count and any text makes a surge.  Else the text begins where the sum over a
     sliding window of lines surges past ``surge`` letters outside links and ends where the
-    sums dive to 0; the stretch with the most text is kept, whole, from its first line with
-    text to its last.
+    sums dive to 0.  Text may surge again, after an insert or a list of links: everything
+    from the first surge to the last dive is kept, without the lines of the surroundings.
     """
     if not page:
         return ""
@@ -162,19 +162,17 @@ def main_text(page: str | None, window: int = 3, surge: int = 86) -> str:
             dive = at
             while dive < len(sums) and sums[dive] > 0:
                 dive += 1
-            ranges.append((int(lengths[at:dive].sum()), at, dive))
+            ranges.append((at, dive))
             at = dive
         at += 1
     if not ranges:  # a short page: nothing surges, everything outside the surroundings is its text
-        ranges = [(0, 0, len(lines))]
-    if best == MAIN:  # several articles, or one with gaps: all belong to the page's main text
-        begin, end = ranges[0][1], ranges[-1][2]
-    else:
-        _, begin, end = max(ranges, key=lambda r: (r[0], -r[1]))
-        while begin < end - 1 and not lengths[begin]:
-            begin += 1
-        while begin and inside[begin - 1] and lengths[begin - 1]:
-            begin -= 1
+        ranges = [(0, len(lines))]
+    # Every stretch past the surge is body: what lies between the first and the last belongs to it.
+    begin, end = ranges[0][0], ranges[-1][1]
+    while begin < end - 1 and not lengths[begin]:
+        begin += 1
+    while begin and inside[begin - 1] and lengths[begin - 1]:
+        begin -= 1
     return "\n".join(t for (t, _, place) in lines[begin:end] if place == best)
 
 

@@ -177,3 +177,13 @@ def test_line_blocks_find_the_stretch_with_most_text():
     story = "".join(f"<div>{'sentence of the story ' * 6}</div><div>short</div>" for _ in range(5))
     text = html.main_text(f"<body>{menu}{story}{menu}</body>")
     assert text.count("short") == 5 and "link number" not in text
+
+
+def test_line_blocks_keep_the_text_on_both_sides_of_an_insert():
+    part = lambda k: "".join(f"<div>{f'part {k} sentence {i} of the story ' * 5}</div>" for i in range(4))
+    menu = "".join(f"<div><a href='/{i}'>menu entry {i}</a></div>" for i in range(9))
+    advert = "<div class='ad'><p>buy</p><p>more</p><p>of it</p><p>now</p></div>"
+    links = "<ul>" + "".join(f"<li><a href='/s{i}'>source {i}</a></li>" for i in range(4)) + "</ul>"
+    text = html.main_text(f"<body>{menu}{part(1)}{advert}{part(2)}{links}<p>short</p>{links}{part(3)}{menu}</body>").split("\n")
+    assert sum(t.startswith("part") for t in text) == 12 and "short" in text and text.count("source 2") == 2
+    assert "buy" not in text and not any(t.startswith("menu") for t in text)
