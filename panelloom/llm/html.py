@@ -30,12 +30,20 @@ _INLINE = frozenset(
 )
 #: Words in class, id and role that name surroundings of the main text.
 _NAMES = re.compile(
-    r"(?:^|[-_\s])(?:nav|navbar|navigation|menu|breadcrumbs?|header|masthead|banner|footer|sidebar|side|widget|ads?|advert|"
+    r"(?:^|[-_\s])(?:teasers?|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|banner|footer|sidebar|side|widget|ads?|advert|"
     r"advertisement|adsense|sponsor(?:ed)?|promo|cookies?|consent|notice|popup|modal|newsletter|subscribe|signup|login|"
     r"comments?|comment-?list|disqus|replies|respond|share|sharing|social|related|recommended|pagination|pager|toolbar|"
     r"search|complementary|contentinfo)(?:$|[-_\s\d])", re.IGNORECASE
 )
-_KEEPERS = frozenset(("html", "body", "main", "article"))
+#: The same for an article or main element: only whole words that name it, since its classes
+#: also tell what it has or allows ("has-sidebar", "comments-open").
+_PIECES = re.compile(
+    r"(?:^|\s)(?:(?:article|block|c|card|entry|item|list|news|post|story|user)[-_]+)*(?:teasers?|comments?|repl(?:y|ies)|related|"
+    r"recommended|promo|sponsor(?:ed)?|ads?|advert|advertisement|widget|newsletter|cookies?|consent|popup|modal|banner|sidebar|"
+    r"complementary|contentinfo|navigation|search)(?:[-_]+(?:article|block|body|box|card|content|entry|item|list|post|story|wrap(?:per)?|\d+))*"
+    r"(?:--[-\w]+)?(?:\s|$)", re.IGNORECASE
+)
+_KEEPERS = frozenset(("html", "body"))
 #: A closing tag that is missing is implied when one of these opens.
 _IMPLIED_END = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
                 "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -43,11 +51,11 @@ _IMPLIED_END = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}
 BOILER, BODY, MAIN = 0, 1, 2
 
 
-def _named_boiler(attributes: str) -> bool:
+def _named_boiler(attributes: str, names: re.Pattern = _NAMES) -> bool:
     for m in _ATTRIBUTE.finditer(attributes):
         name = m[1].lower()
         value = m[2] or m[3] or m[4] or ""
-        if name in ("class", "id", "role") and _NAMES.search(value):
+        if name in ("class", "id", "role") and names.search(value):
             return True
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
@@ -116,7 +124,7 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
             stack.pop()
         place = stack[-1][1]
         if tag in ("article", "main") and place != BOILER:
-            place = MAIN
+            place = BOILER if m[3] and _named_boiler(m[3], _PIECES) else MAIN
         elif tag in _BOILER and not (tag == "header" and place == MAIN):
             place = BOILER
         elif tag not in _KEEPERS and m[3] and _named_boiler(m[3]):
@@ -139,22 +147,20 @@ def block_sums(lengths: np.ndarray, window: int) -> np.ndarray:
 def main_text(page: str | None, window: int = 3, surge: int = 86) -> str:
     """The page's main text, blocks joined by one line feed.
 
-    Lines of the surroundings have length 0.  Where an article or main element exists, only
-    its lines count and any text makes a surge.  Else the text begins where the sum over a
-    sliding window of lines surges past ``surge`` letters outside links and ends where the
-    sums dive to 0.  Text may surge again, after an insert or a list of links: everything
-    from the first surge to the last dive is kept, without the lines of the surroundings.
+    The text begins where the sum over a sliding window of lines surges past ``surge``
+    letters outside links and ends where the sums dive to 0.  Text may surge again, after an
+    insert or a list of links: everything from the first surge to the last dive is kept,
+    without the lines of the surroundings, which have length 0.  A line inside an article or
+    main element weighs more, with its links and by ``surge`` letters, so it surges by
+    itself; lines elsewhere are measured all the same.
     """
     if not page:
         return ""
     lines = lines_of(page)
-    best = max((place for _, _, place in lines), default=BOILER)
-    if best == BOILER:
+    inside = np.array([place != BOILER for _, _, place in lines], dtype=bool)
+    if not inside.any():
         return ""
-    inside = np.array([place == best for _, _, place in lines])
-    lengths = np.array([n for _, n, _ in lines]) * inside
-    if best == MAIN:
-        lengths, surge = np.array([len(t) for t, _, _ in lines]) * inside, 0
+    lengths = np.array([len(t) + surge if place == MAIN else n for t, n, place in lines]) * inside
     sums = block_sums(lengths, window)
     ranges, at = [], 0
     while at < len(sums):
@@ -173,7 +179,7 @@ def main_text(page: str | None, window: int = 3, surge: int = 86) -> str:
         begin += 1
     while begin and inside[begin - 1] and lengths[begin - 1]:
         begin -= 1
-    return "\n".join(t for (t, _, place) in lines[begin:end] if place == best)
+    return "\n".join(t for (t, _, place) in lines[begin:end] if place != BOILER)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -187,3 +187,16 @@ def test_line_blocks_keep_the_text_on_both_sides_of_an_insert():
     text = html.main_text(f"<body>{menu}{part(1)}{advert}{part(2)}{links}<p>short</p>{links}{part(3)}{menu}</body>").split("\n")
     assert sum(t.startswith("part") for t in text) == 12 and "short" in text and text.count("source 2") == 2
     assert "buy" not in text and not any(t.startswith("menu") for t in text)
+
+
+def test_article_elements_do_not_replace_the_line_blocks():
+    story = "".join(f"<div>{f'sentence {i} of the story ' * 5}</div>" for i in range(6))
+    long = lambda k: f"<p>{f'{k} of some length ' * 8}</p>"
+    page = f"<body><article class='teaser'>{long('teaser')}</article>{story}<article class='comment odd' id='comment-7'>{long('reply')}</article></body>"
+    text = html.main_text(page).split("\n")
+    assert len(text) == 6 and all(t.startswith("sentence") for t in text)
+    body = html.main_text(f"<body>{story}<article class='post comments-open has-sidebar'>{long('article')}</article></body>").split("\n")
+    assert len(body) == 7 and body[-1].startswith("article")
+    # An article as such is no condition: the same page of div elements gives the same text.
+    assert html.main_text(f"<nav><p>n</p></nav><article><h1>T</h1>{story}</article><footer>f</footer>") == html.main_text(
+        f"<nav><p>n</p></nav><div><h1>T</h1>{story}</div><footer>f</footer>")
