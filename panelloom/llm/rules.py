@@ -77,7 +77,7 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_marks": F.length("_t") - _without(F.col("_t"), "!?.,;:"),
         "n_distinct_words": F.size(F.array_distinct("_words")),
         "n_short_words": F.size(F.filter("_words", lambda w: F.length(w) <= 3)),
-        "n_same_neighbours": F.when(F.col("_repeats"), F.size(same)).otherwise(0),
+        "n_same_neighbours": F.size(same),
     }
     own = [c for c in docs.columns if c not in counted and c != "n_words"]
     return d.select(*own, "n_words", *[c.cast("long").alias(name) for name, c in counted.items()])

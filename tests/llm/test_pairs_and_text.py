@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import unicodedata
 
 import numpy as np
 import pytest
@@ -200,3 +201,17 @@ def test_article_elements_do_not_replace_the_line_blocks():
     # An article as such is no condition: the same page of div elements gives the same text.
     assert html.main_text(f"<nav><p>n</p></nav><article><h1>T</h1>{story}</article><footer>f</footer>") == html.main_text(
         f"<nav><p>n</p></nav><div><h1>T</h1>{story}</div><footer>f</footer>")
+
+
+def test_all_other_statistics_match_brute_force(spark):
+    rows = [(i, t) for i, t in ODD] + [(50, "a b c d e " * 3 + "f"), (51, "a a a a a a a"), (52, "the the cat sat sat sat down!? 12 ÀB"), (53, "Ab ab ab\nab x.y, z;:")]
+    out = rules.with_statistics(documents(spark, rows)).collect()
+
+    def others(text):
+        text = text or ""
+        words = WORD.findall(text)
+        return (sum(bool(WORD.search(x)) for x in text.split("\n")), sum(unicodedata.category(c) == "Lu" for c in text), sum(c in "0123456789" for c in text),
+                sum(c in "!?.,;:" for c in text), len(set(words)), sum(len(w) <= 3 for w in words), sum(x == y for x, y in zip(words, words[1:])))
+
+    names = ("n_lines", "n_capitals", "n_digits", "n_marks", "n_distinct_words", "n_short_words", "n_same_neighbours")
+    assert sorted((str(r.doc_id), *[r[n] for n in names]) for r in out) == sorted((str(i), *others(t)) for i, t in rows)
