@@ -24,7 +24,8 @@ def _hash_of(x: Column) -> Column:
 
 
 def _bin_of(x: Column) -> Column:
-    return F.shiftrightunsigned(x, 64 - BIN_BITS)
+    """From -2**BIN_BITS / 2 on, in the order of sorted elements."""
+    return F.shiftright(x, 64 - BIN_BITS).cast("int")
 
 
 def _place_of(x: Column) -> Column:
@@ -37,15 +38,18 @@ def _element(hashed: Column, place: Column) -> Column:
 
 def with_signature(df: DataFrame, text: str, out: str) -> DataFrame:
     """``df`` and ``out``, the order-MinHash signature of a text column: one number (bin and
-    16 bits of the tuple's hash) per bin that is not empty, in order of bins.
+    16 bits of the tuple's hash) per bin, in order of bins; none for a text without elements.
 
     A k-mer that repeats is numbered by its earlier occurrences, so every occurrence is an
-    element of its own.  One hash deals the elements to bins and orders them there; a bin
-    keeps its TUPLE least ones, puts them in text order and hashes the tuple.  A tuple stays
+    element of its own.  One hash puts the elements on a ring that is cut into bins; a bin
+    takes the TUPLE elements that follow its beginning, its own or else those of the next
+    filled bins, puts them in text order and hashes the tuple.  So each bin reads the hash as
+    a permutation of its own, rotated to the bin's beginning, and has a whole tuple however
+    short the text is (only a text of one element has no order to heed).  A tuple stays
     only if its k-mers and their order stay, so the share of equal tuples falls with edit
     distance and not only with the set of k-mers.  Null and blank texts have no elements.
     """
-    u, h, s, r, b, e, k = (f"_{out}_{x}" for x in ("units", "hashes", "sorted", "repeats", "runs", "elements", "least"))
+    u, h, s, r, b, e, k, f = (f"_{out}_{x}" for x in ("units", "hashes", "sorted", "repeats", "runs", "elements", "least", "filled"))
     at = lambda name, i: F.get(F.col(name), i)
     d = df.withColumn(u, F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(rf"[^{BLANK}]{{1,{UNIT_CHARS}}}"), F.lit(0)))
     starts = F.sequence(F.lit(0), F.greatest(F.size(u) - KMER, F.lit(0)))
@@ -63,22 +67,29 @@ def with_signature(df: DataFrame, text: str, out: str) -> DataFrame:
     firsts = F.filter(s, lambda x, i: ~same(s, x, i))
     d = d.withColumn(e, F.when(F.size(r) > 0, F.sort_array(F.concat(firsts, numbered))).otherwise(F.col(s))).drop(s, r, b)
     d = d.withColumn(k, F.filter(e, lambda x, i: (i < TUPLE) | (_bin_of(at(e, F.greatest(i - TUPLE, F.lit(0)))) != _bin_of(x)))).drop(e)
-    return d.withColumn(out, _tuples(k)).drop(k)
+    filled = F.filter(F.sequence(F.lit(0), F.size(k) - 1), lambda i: (i == 0) | (_bin_of(at(k, i - 1)) != _bin_of(at(k, i))))
+    d = d.withColumn(f, F.when(F.size(k) > 0, filled).otherwise(F.array().cast("array<int>")))
+    return d.withColumn(out, _tuples(k, f)).drop(k, f)
 
 
-def _tuples(k: str) -> Column:
-    """One number per bin from the elements that the bins keep (sorted, so bins are runs)."""
+def _tuples(k: str, f: str) -> Column:
+    """One number per bin from the least elements of the filled bins (sorted, so bins are
+    runs) and the places where these runs begin."""
     at = lambda i: F.get(F.col(k), i)
-    first = F.filter(F.sequence(F.lit(0), F.size(k) - 1), lambda i: (i == 0) | (_bin_of(at(i - 1)) != _bin_of(at(i))))
+    half = 1 << (BIN_BITS - 1)
 
     def tuple_of(i: Column) -> Column:
-        one, two = at(i), at(i + 1)
+        one, two = at(i), at((i + 1) % F.size(k))
         pair = F.when(_place_of(one) < _place_of(two), F.xxhash64(_hash_of(one), _hash_of(two))).otherwise(F.xxhash64(_hash_of(two), _hash_of(one)))
-        alone = (i + 1 >= F.size(k)) | (_bin_of(two) != _bin_of(one))
-        hashed = F.when(alone, F.xxhash64(_hash_of(one))).otherwise(pair)
-        return F.shiftleft(_bin_of(one), 16).bitwiseOR(hashed.bitwiseAND(F.lit(0xFFFF))).cast("int")
-
-    return F.when(F.size(k) > 0, F.transform(first, tuple_of)).otherwise(F.array().cast("array<int>"))
+        hashed = F.when(F.size(k) == 1, F.xxhash64(_hash_of(one))).otherwise(pair)
+        return hashed.bitwiseAND(F.lit(0xFFFF)).cast("int")
+
+    # Empty bins take the tuple of the next filled one; those after the last, of the first.
+    before = lambda j: F.coalesce(_bin_of(at(F.get(F.col(f), j - 1))), F.lit(-half - 1))
+    up_to_last = F.flatten(F.transform(f, lambda i, j: F.array_repeat(tuple_of(i), _bin_of(at(i)) - before(j))))
+    after_last = F.array_repeat(tuple_of(F.lit(0)), half - 1 - _bin_of(at(F.size(k) - 1)))
+    numbered = F.transform(F.concat(up_to_last, after_last), lambda x, n: F.shiftleft(n, 16).bitwiseOR(x))
+    return F.when(F.size(k) > 0, numbered).otherwise(F.array().cast("array<int>"))
 
 
 def as_text(signature: str) -> Column:

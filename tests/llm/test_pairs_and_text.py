@@ -215,3 +215,28 @@ def test_all_other_statistics_match_brute_force(spark):
 
     names = ("n_lines", "n_capitals", "n_digits", "n_marks", "n_distinct_words", "n_short_words", "n_same_neighbours")
     assert sorted((str(r.doc_id), *[r[n] for n in names]) for r in out) == sorted((str(i), *others(t)) for i, t in rows)
+
+
+def test_fingerprints_of_short_texts_heed_order(spark):
+    def expected(a, b):
+        """Share of the pairs of elements that two permuted texts have in the same order."""
+        x, y = ({p: i for i, p in enumerate(zip(w, w[1:]))} for w in (a, b))
+        every, both = sorted(x.keys() | y.keys()), x.keys() & y.keys()
+        pairs = [(p, q) for i, p in enumerate(every) for q in every[:i]]
+        return sum(p in both and q in both and (x[p] < x[q]) == (y[p] < y[q]) for p, q in pairs) / len(pairs)
+
+    rows = []
+    for n in (20, 40, 60):
+        for seed in range(40):
+            w = [f"{x}{i}" for i, x in enumerate(prose(seed, n).split())]
+            moved = w[n // 2 :] + w[: n // 2]
+            rows.append((n, " ".join(w), " ".join(moved), expected(w, moved)))
+    rows += [(1, "one", "one", 1.0), (2, "a b c", "b c a b", 0.0)]
+    df = spark.createDataFrame(rows, "n int, a string, b string, want double")
+    for c in "ab":
+        df = fingerprint.with_signature(df, c, f"s{c}")
+    got = df.select("n", "want", fingerprint.likeness("sa", "sb").alias("like"), F.size("sa").alias("bins")).collect()
+    assert {r.bins for r in got} == {64} and next(r.like for r in got if r.n == 1) == 1.0
+    for n in (20, 40, 60):
+        own = [r for r in got if r.n == n]
+        assert abs(np.mean([r.like for r in own]) - np.mean([r.want for r in own])) < 0.06
