@@ -120,10 +120,10 @@ def _set_hash(hashes: np.ndarray) -> bytes:
     return np.array([_mix(hashes * _ODD).sum(), _mix(hashes ^ _ODD).sum()], "uint64").tobytes()
 
 
-def _sketches(docs: DataFrame) -> DataFrame:
-    """Per row: ``doc_id``, ``n_shingles``, ``set_hash``, ``bands``."""
+def _sketches(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: ``doc_id``, ``n_shingles``, ``set_hash``, ``bands`` and the columns ``carry``."""
     schema = T.StructType([docs.schema["doc_id"], T.StructField("n_shingles", T.LongType()),
-                           T.StructField("set_hash", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+                           T.StructField("set_hash", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), *[docs.schema[c] for c in carry]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,9 +133,9 @@ def _sketches(docs: DataFrame) -> DataFrame:
                 keys = band_keys(signatures(hashes, at))
                 sets = [_set_hash(hashes[i:j]) for i, j in zip(at[:-1], at[1:])]
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype="int32") * BANDS), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(at)), pa.array(sets, pa.binary()), bands], schema.names)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(at)), pa.array(sets, pa.binary()), bands, *[part.column(c) for c in carry]], schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text", *carry).mapInArrow(run, schema)
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -310,7 +310,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows; of rows repeating an id with other texts each text is a node, and ids group as the
     texts do.  Other columns are ignored; an empty table gives no rows.
     """
-    rows = stage(_sketches(docs), "sketches")
+    return grouped(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def grouped(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """As :func:`near_duplicates`, with ``component`` (one value per group, which ids that
+    stand for several texts do not tell; null for rows linked with nothing) and the columns
+    ``carry``."""
+    rows = stage(_sketches(docs, carry), "sketches")
     usable = rows.where("doc_id is not null and n_shingles > 0")
     nodes = usable.groupBy("set_hash").agg(F.min("doc_id").alias("set"), F.first("bands").alias("bands"))
     keyed = stage(nodes.select("set_hash", "set", F.explode("bands").alias("key")), "bands")
@@ -337,8 +344,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = usable.groupBy("set_hash").agg(F.min("doc_id").alias("least"))
     classes = classes.join(joined, F.col("set_hash") == F.col("node"), "left").select("set_hash", "least", F.coalesce("component", "set_hash").alias("component"))
     lowest = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    found = classes.join(lowest, "component").select("set_hash", "component_id")
-    out = rows.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("set_hash")).alias("set_hash"))
+    found = classes.join(lowest, "component").select("set_hash", "component_id", "component")
+    out = rows.select("doc_id", "n_shingles", *carry, F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("set_hash")).alias("set_hash"))
     out = out.join(found, "set_hash", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    least = F.coalesce("component_id", "doc_id")
+    return out.select("doc_id", "n_shingles", least.alias("component_id"), F.col("doc_id").eqNullSafe(least).alias("kept"), "component", *carry)

@@ -65,7 +65,7 @@ def slots(goals: list[int], block: int, spark) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0, most_slots: int = 4_000_000,
-        most_sources: int = 100_000, bucket_rows: int = 50_000) -> DataFrame:
+        most_sources: int = 100_000, bucket_rows: int = 50_000, carry: tuple[str, ...] = ()) -> DataFrame:
     """Plan a mixture of all ``docs`` (``doc_id``, ``text``, ``source``) in words.
 
     Each source's documents stand in hash order and are read up to ``cap`` times, cut into
@@ -77,11 +77,12 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0
     The order comes from hashes of ids, so reruns agree.  Null or empty texts have no words
     and take none; a null source is a source of its own, last in order; rows that repeat an
     id count each; an empty table gives no rows.  More than ``most_sources`` sources are
-    refused, since the schedule holds one number per source.
+    refused, since the schedule holds one number per source.  The columns named in ``carry``
+    are returned too and put rows in order that have one id and size.
     """
     spark = docs.sparkSession
     size = F.size(F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD), F.lit(0))).cast("long")
-    sizes = docs.select("doc_id", "source", size.alias("size"), F.monotonically_increasing_id().alias("row"))
+    sizes = docs.select("doc_id", "source", size.alias("size"), F.monotonically_increasing_id().alias("row"), *carry)
     sizes = stage(sizes, "mix-sizes")
     targets = stage(source_targets(sizes, weights, share, cap), "mix-targets")
     if targets.count() > most_sources:
@@ -98,7 +99,7 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0
         .withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
         .withColumn("bucket", F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * buckets / 2**32))
     )
-    placed = running_sum(placed, ["s"], "bucket", ["h", "doc_id", "size"], F.col("size"), "at")
+    placed = running_sum(placed, ["s"], "bucket", ["h", "doc_id", "size", *carry], F.col("size"), "at")
     begins = [F.col("at") + i * F.col("source_size") for i in range(int(cap))]
     takes = F.array(*[F.greatest(F.least(goal - b, F.col("size")), F.lit(0)).cast("long") for b in begins])
     placed = stage(placed.withColumn("takes", takes).drop("bucket", "h"), "mix-placed")
@@ -115,5 +116,5 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0
     )
     return placed.join(got, "row", "left").select(
         "doc_id", "source", "size", "source_size", "target", "takes",
-        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot",
+        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot", *carry,
     )

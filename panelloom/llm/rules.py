@@ -214,17 +214,17 @@ def labelled_statistics(docs: DataFrame, labels: DataFrame, most_labels: int = 2
     return stage(with_statistics(rows).drop("text"), "rule-statistics").where(~base_failed())
 
 
-def judge(docs: DataFrame, labels: DataFrame, **learning) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = (), **learning) -> DataFrame:
     """Judge every row of ``docs`` (``doc_id``, ``text``).
 
     Returns ``doc_id``, the statistics, ``base_failed`` and ``kept`` (not base_failed, and
     no rule of the list learned from ``labels`` holds), one row per input row.  A null or
     empty text has no words and fails the base rules; rows that repeat get equal verdicts;
-    without labels of both kinds only the base rules decide; other columns are ignored; an
-    empty table gives no rows.
+    without labels of both kinds only the base rules decide; the columns named in ``carry``
+    are returned too, others are ignored; an empty table gives no rows.
     """
     rules = learn(labelled_statistics(docs, labels), **learning)
     # Staged, since a filter on the result would otherwise be pushed into the statistics
     # and make Spark compute them several times over.
-    out = stage(with_statistics(docs.select("doc_id", "text")).drop("text"), "rule-counts")
+    out = stage(with_statistics(docs.select("doc_id", "text", *carry)).drop("text"), "rule-counts")
     return out.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules))

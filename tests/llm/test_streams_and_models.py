@@ -1,5 +1,6 @@
 """Packing, sharding, mixing, token files, classifiers, pipeline: odd rows, brute force, round trips."""
 
+import re
 import zlib
 
 import numpy as np
@@ -230,3 +231,34 @@ def test_pipeline_stages_on_odd_rows(spark, odd, nothing, tmp_path):
 def test_queries_are_registered():
     assert sorted(QUERIES, key=lambda q: int(q[2:].split("_")[0])) == [q for q in sorted(QUERIES, key=lambda q: int(q[2:].split("_")[0]))]
     assert {int(q[2:].split("_")[0]) for q in QUERIES} == set(range(1, 11))
+
+
+def test_pipeline_decides_by_row_not_by_id(spark, odd, tmp_path):
+    folder, short = str(tmp_path), "too short"
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    of = lambda df: sorted((str(r.doc_id), r.text or "") for r in df.select("doc_id", "text").collect())
+    # rules: a text stays by itself, whatever else stands under its id or without one
+    rows = [(7, prose(1, 60)), (7, short), (None, prose(2, 60)), (None, prose(3, 60)), (None, short), (9, short)]
+    assert of(corpus_pipeline.quality_rules(spark, documents(spark, rows), folder)) == sorted((str(i), t) for i, t in rows if t != short)
+    # near duplicates: rows without an id all stay, and so do unlike texts under one id
+    gone = [(6, "same text here"), (7, prose(1, 300)), (12, "Same Text HERE")]
+    want = list(ODD)
+    for row in gone:
+        want.remove(row)
+    assert of(corpus_pipeline.near_dedup(spark, odd, folder)) == sorted((str(i), t or "") for i, t in want)
+    near = [(7, prose(1, 300)), (7, prose(1, 300) + " end"), (7, prose(4, 90)), (3, prose(4, 90) + " end"), (None, prose(1, 300)), (None, prose(1, 300))]
+    left = of(corpus_pipeline.near_dedup(spark, documents(spark, near), folder))
+    assert [i for i, _ in left] == ["3", "7", "None", "None"] and left[1][1].startswith(prose(1, 300))
+
+
+def test_mixture_of_repeated_and_missing_ids(spark, odd):
+    repeats = [(7, prose(1, 50), "a")] * 3 + [(7, prose(2, 50), "a"), (7, prose(1, 50), "b"), (None, prose(3, 50), "a"), (None, prose(4, 50), "a"), (None, prose(3, 50), "b")]
+    for docs in (documents(spark, repeats), odd):
+        plan, got = {}, {}
+        for r in mixing.mix(docs).collect():
+            key = (r.doc_id, r.source)
+            plan[key] = (plan.get(key, (0, 0))[0] + sum(t > 0 for t in r.takes), plan.get(key, (0, 0))[1] + r.taken)
+        for r in corpus_pipeline.source_mixing(spark, docs, "").collect():
+            key = (r.doc_id, r.source)
+            got[key] = (got.get(key, (0, 0))[0] + 1, got.get(key, (0, 0))[1] + len(re.findall(r"[^ \t-\r]+", r.text or "")))
+        assert got == {k: v for k, v in plan.items() if v[0]}
