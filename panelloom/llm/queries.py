@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import compression, dedup, fingerprint, html, mixing, packing, rules, sharding, tokenfile, toxicity
+from panelloom.llm import compression, dedup, fingerprint, html, mixing, packing, rules, runs, search, sharding, tokenfile, toxicity
 from panelloom.llm.common import id_crc
 
 WORDS_SQL = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
@@ -113,6 +113,33 @@ def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op12_blocked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
+
+
+OP12_SQL = r"""
+WITH t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM documents),
+a AS (SELECT count(*) FILTER (len(t) > 0)::BIGINT AS n_docs, sum(len(t))::BIGINT AS n_terms FROM t),
+d AS (SELECT doc_id, len(t)::BIGINT AS n, unnest(t) AS term FROM t),
+f AS (SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM d GROUP BY doc_id, n, term),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM f, a GROUP BY term, n_docs),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score
+      FROM q JOIN f USING (term) JOIN w USING (term), a GROUP BY item_id, doc_id),
+r AS (SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
+"""
+
+
+def op13_square_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = runs.report(_table(spark, sf_dir, "documents"), plant=True)
+    return out.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
 QUERIES = {
     "op1_toxicity_trees": op1_toxicity_trees,
     "op2_min_max_dedup": op2_min_max_dedup,
@@ -124,5 +151,7 @@ QUERIES = {
     "op8_order_min_hash": op8_order_min_hash,
     "op9_decision_list": op9_decision_list,
     "op10_compression_quality": op10_compression_quality,
+    "op12_blocked_search": op12_blocked_search,
+    "op13_square_runs": op13_square_runs,
 }
-ORACLES = {"op2_min_max_dedup": OP2_SQL, "op6_source_mixing": OP6_SQL}
+ORACLES = {"op2_min_max_dedup": OP2_SQL, "op6_source_mixing": OP6_SQL, "op12_blocked_search": OP12_SQL}
