@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import compression, dedup, fingerprint, html, mixing, packing, rules, runs, search, sharding, tokenfile, toxicity
+from panelloom.llm import compression, dedup, fingerprint, html, language, mixing, packing, rules, runs, search, sharding, tokenfile, toxicity
 from panelloom.llm.common import id_crc
 
 WORDS_SQL = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
@@ -113,6 +113,10 @@ def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_trie_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.score(_table(spark, sf_dir, "documents"), id_crc() % 7 == 2)
+
+
 def op12_blocked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
 
@@ -151,6 +155,7 @@ QUERIES = {
     "op8_order_min_hash": op8_order_min_hash,
     "op9_decision_list": op9_decision_list,
     "op10_compression_quality": op10_compression_quality,
+    "op11_trie_scores": op11_trie_scores,
     "op12_blocked_search": op12_blocked_search,
     "op13_square_runs": op13_square_runs,
 }
