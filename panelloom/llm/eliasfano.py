@@ -15,16 +15,20 @@ def _packed_bits(positions: np.ndarray, length: int) -> np.ndarray:
     return np.packbits(bits, bitorder="little").view("<u8")
 
 
+#: Position of the r-th set bit of a byte, at 8 * byte + r.
+_IN_BYTE = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[:8] for b in range(256)], np.int64).ravel()
+_BYTES, _TOPS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+
+
 def _select_in_word(word: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Position of the set bit with ``rank`` set bits below it."""
-    word, rank, at = word.copy(), rank.astype(np.int64), np.zeros(len(word), np.int64)
-    for step in (32, 16, 8, 4, 2, 1):
-        low = np.bitwise_count(word & np.uint64((1 << step) - 1)).astype(np.int64)
-        right = rank >= low
-        word = np.where(right, word >> np.uint64(step), word)
-        rank -= np.where(right, low, 0)
-        at += np.where(right, step, 0)
-    return at
+    # Set bits up to and including each byte, then the number of bytes with at most ``rank``.
+    sums = np.bitwise_count(np.ascontiguousarray(word).view(np.uint8)).view(np.uint64) * _BYTES
+    rank = rank.astype(np.uint64)
+    bytes_before = np.bitwise_count(((rank * _BYTES | _TOPS) - sums) & _TOPS).astype(np.uint64)
+    shift = bytes_before * np.uint64(8)
+    inside = rank - ((sums << np.uint64(8) >> shift) & np.uint64(255))
+    return (shift + _IN_BYTE[(((word >> shift) & np.uint64(255)) << np.uint64(3) | inside).astype(np.int64)].astype(np.uint64)).astype(np.int64)
 
 
 class EliasFano:

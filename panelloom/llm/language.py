@@ -219,10 +219,12 @@ def _answers(asked: DataFrame) -> DataFrame:
             counts.append(n)
             sizes.append(len(n))
         grams, counts = np.concatenate(grams), np.concatenate(counts)
-        order = np.lexsort((grams[:, 2], grams[:, 1], grams[:, 0]))
+        wide = grams[:, :2].max() < 1 << 31
+        pair = (grams[:, 0] << 32 | grams[:, 1],) if wide else (grams[:, 1], grams[:, 0])
+        order = np.lexsort((grams[:, 2], *pair))
         grams, counts = grams[order], counts[order]
         new = np.ones(len(grams), bool)
-        new[1:] = (grams[1:] != grams[:-1]).any(axis=1)
+        new[1:] = (grams[1:, 2] != grams[:-1, 2]) | (grams[1:, 1] != grams[:-1, 1]) | (grams[1:, 0] != grams[:-1, 0])
         total, own = np.add.reduceat(counts, np.flatnonzero(new)), grams[new]
         trained = total > 0
         code = 1 + np.rint(_STEP * np.log2(total[trained])).astype(np.int64)
