@@ -69,18 +69,20 @@ def token_rows(docs: DataFrame, vocabulary: str, dims: int = 4, bits: int = 12)
                            T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, signs = encoder(vocabulary).encode, projection(dims)
-        end = np.array([END_ID], "<u2").tobytes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, _ROWS):
-                part = batch.slice(at, _ROWS)
-                ids = [x + end for x in encode([t or "" for t in part.column("text").to_pylist()])]
-                n = np.array([len(x) // 2 for x in ids], "int64")
-                means = np.stack([signs[np.frombuffer(x, "<u2")].mean(axis=0) for x in ids])
-                key = hilbert_key(curve_point(means, bits), bits)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(key), pa.array(n), pa.array(ids, pa.binary())], ["doc_id", "key", "n", "ids"]
-                )
+        coder, signs = encoder(vocabulary), projection(dims)
+        for part, ids, borders in coder.batches(batches):
+            # Each text's ids and its end id, laid end to end.
+            n = np.diff(borders) + 1
+            ends = np.cumsum(n)
+            flat = np.full(ends[-1], END_ID, "<u2")
+            inner = np.ones(len(flat), bool)
+            inner[ends - 1] = False
+            flat[inner] = ids
+            sums = np.stack([np.add.reduceat(signs[flat, d], ends - n, dtype=np.float64) for d in range(dims)], axis=1)
+            key = hilbert_key(curve_point(sums / n[:, None], bits), bits)
+            offsets = np.concatenate([[0], 2 * ends]).astype(np.int64)
+            raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(key), pa.array(n), raw.cast(pa.binary())], ["doc_id", "key", "n", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
