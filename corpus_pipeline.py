@@ -65,12 +65,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows of the mixture: each document as often as the mixture reads it; where a source's
-    target falls inside a document, that reading ends there."""
+    """Rows of the mixture in the order of its schedule: each document as often as the mixture
+    reads it; where a source's target falls inside a document, that reading ends there."""
     keyed = _keyed(docs)
     plan = mixing.mix(keyed, carry=("_text_key",))
     plan = stage(plan.select(F.col("doc_id").alias("_plan_id"), F.col("source").alias("_plan_source"), F.col("_text_key").alias("_plan_key"),
-                             F.col("size").alias("_size"), F.col("takes").alias("_takes")), "pipeline-plan")
+                             F.col("size").alias("_size"), F.col("takes").alias("_takes"), F.col("slots").alias("_slots")), "pipeline-plan")
     same = keyed["doc_id"].eqNullSafe(plan["_plan_id"]) & keyed["source"].eqNullSafe(plan["_plan_source"]) & (keyed["_text_key"] == plan["_plan_key"])
     names = ["_plan_id", "_plan_source", "_plan_key"]
     if plan.groupBy(*names).count().where("count > 1").take(1):
@@ -80,8 +80,10 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
         plan = plan.withColumn("_plan_copy", F.row_number().over(Window.partitionBy(*names).orderBy(F.col("_takes").desc())))
         same = keyed["doc_id"].eqNullSafe(plan["_plan_id"]) & keyed["source"].eqNullSafe(plan["_plan_source"])
         same = same & (keyed["_text_key"] == plan["_plan_key"]) & (keyed["_copy"] == plan["_plan_copy"])
-    plan = plan.withColumn("_take", F.explode("_takes")).where("_take > 0")
-    rows = keyed.join(plan, same)
+    plan = plan.select("*", F.posexplode("_takes").alias("_reading", "_take")).where("_take > 0")
+    plan = plan.withColumn("_slot", F.element_at("_slots", F.col("_reading")))
+    # In the schedule's order: every stretch of the result holds the sources in proportion.
+    rows = keyed.join(plan, same).repartitionByRange("_slot", "_text_key").sortWithinPartitions("_slot", "_text_key")
     begun = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(rf"[{BLANK}]*{WORD}"), F.lit(0)), 1, F.col("_take").cast("int")), "")
     text = F.when(F.col("_take") < F.col("_size"), begun).otherwise(F.col("text"))
     own = [text.alias(c) if c == "text" else F.char_length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]

@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,6 +23,21 @@ def shared_root(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/panelloom-llm-{spark.sparkContext.applicationId}"
 
 
+@contextmanager
+def bounded_batches(spark: SparkSession, most: str = "16m") -> Iterator[None]:
+    """While a job runs, what goes to a Python worker at once is bounded by bytes, not only by
+    rows: a batch of long texts or sets must not fill an executor.  A smaller bound of the
+    session's own stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(key)
+    if int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(own)) > int(most[:-1]) << 20:
+        spark.conf.set(key, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, own)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -30,7 +47,8 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with bounded_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

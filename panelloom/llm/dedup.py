@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelloom.llm.wordsplit import slices
 from panelloom.llm.common import stage, unstage
 
 SHINGLE = 5
@@ -21,7 +22,7 @@ SHARE, OF = 75, 100
 PERMUTATIONS, BANDS, BAND_ROWS = 64, 32, 4
 #: Members of a bucket that are compared with one another in one task.
 BLOCK = 256
-_ROWS = 500
+_BYTES = 1 << 20  # of text whose shingles are hashed at a time
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BLANK = np.zeros(256, bool)
@@ -126,14 +127,12 @@ def _sketches(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
                            T.StructField("set_hash", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), *[docs.schema[c] for c in carry]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(0, batch.num_rows, _ROWS):
-                part = batch.slice(row, _ROWS)
-                hashes, at = shingle_sets(part.column("text").to_pylist())
-                keys = band_keys(signatures(hashes, at))
-                sets = [_set_hash(hashes[i:j]) for i, j in zip(at[:-1], at[1:])]
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype="int32") * BANDS), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(at)), pa.array(sets, pa.binary()), bands, *[part.column(c) for c in carry]], schema.names)
+        for part in slices(batches, "text", _BYTES):
+            hashes, at = shingle_sets(part.column("text").to_pylist())
+            keys = band_keys(signatures(hashes, at))
+            sets = [_set_hash(hashes[i:j]) for i, j in zip(at[:-1], at[1:])]
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype="int32") * BANDS), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(at)), pa.array(sets, pa.binary()), bands, *[part.column(c) for c in carry]], schema.names)
 
     return docs.select("doc_id", "text", *carry).mapInArrow(run, schema)
 
@@ -143,11 +142,10 @@ def _sets(docs: DataFrame) -> DataFrame:
     schema = T.StructType([T.StructField("set_hash", T.BinaryType()), T.StructField("shingles", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(0, batch.num_rows, _ROWS):
-                hashes, at = shingle_sets(batch.slice(row, _ROWS).column("text").to_pylist())
-                own = [hashes[i:j] for i, j in zip(at[:-1], at[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array([_set_hash(x) for x in own], pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())], schema.names)
+        for part in slices(batches, "text", _BYTES):
+            hashes, at = shingle_sets(part.column("text").to_pylist())
+            own = [hashes[i:j] for i, j in zip(at[:-1], at[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array([_set_hash(x) for x in own], pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())], schema.names)
 
     return docs.select("text").mapInArrow(run, schema)
 

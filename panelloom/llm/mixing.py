@@ -72,7 +72,8 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0
     blocks of equal words; the schedule's r-th slot of a source takes its r-th block, the
     last block being cut at the target.  Returns one row per input row: ``doc_id``,
     ``source``, ``size`` (words), ``source_size``, ``target``, ``takes`` (words taken in each
-    reading), ``taken`` (their sum over the slots joined), ``first_slot`` (null if none).
+    reading), ``taken`` (their sum over the slots joined), ``first_slot`` (null if none),
+    ``slots`` (the first slot of each reading that takes words).
 
     The order comes from hashes of ids, so reruns agree.  Null or empty texts have no words
     and take none; a null source is a source of its own, last in order; rows that repeat an
@@ -106,15 +107,16 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0
 
     reading = placed.select("row", "s", "at", "source_size", F.posexplode("takes").alias("reading", "take")).where("take > 0")
     begin = F.col("at") + F.col("reading") * F.col("source_size")
-    reading = reading.select("row", "s", begin.alias("a"), (begin + F.col("take")).alias("z"))
+    reading = reading.select("row", "reading", "s", begin.alias("a"), (begin + F.col("take")).alias("z"))
     spans = F.sequence(F.floor(F.col("a") / block), F.floor((F.col("z") - 1) / block))
-    parts = reading.select("row", "s", "a", "z", F.explode(spans).alias("rank"))
+    parts = reading.select("row", "reading", "s", "a", "z", F.explode(spans).alias("rank"))
     words = F.least(F.col("z"), (F.col("rank") + 1) * block) - F.greatest(F.col("a"), F.col("rank") * block)
-    parts = parts.select("row", "s", "rank", words.alias("words"))
-    got = parts.join(slots(goals, block, spark), ["s", "rank"]).groupBy("row").agg(
-        F.sum("words").alias("taken"), F.min("slot").alias("first_slot")
+    parts = parts.select("row", "reading", "s", "rank", words.alias("words"))
+    per_reading = parts.join(slots(goals, block, spark), ["s", "rank"]).groupBy("row", "reading").agg(F.sum("words").alias("words"), F.min("slot").alias("slot"))
+    got = per_reading.groupBy("row").agg(
+        F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.map_from_entries(F.collect_list(F.struct("reading", "slot"))).alias("slots")
     )
     return placed.join(got, "row", "left").select(
         "doc_id", "source", "size", "source_size", "target", "takes",
-        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot", *carry,
+        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot", "slots", *carry,
     )

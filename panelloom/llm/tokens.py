@@ -16,7 +16,7 @@ from panelloom.llm.wordsplit import slices, text_bytes
 #: Pieces that the vocabulary's splitting pattern leaves whole: a blank and Latin letters.
 _ONE_WORD = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 _CACHE_WORDS = 120_000
-_BATCH_BYTES = 8 << 20
+_BATCH_BYTES = 4 << 20
 
 
 def _byte_letters() -> dict[int, str]:
