@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelloom.functions import nz, row_positions, with_stats
+from panelloom.functions.sequence import walk
 
 c = F.col
 KEYS = ["portfolio_id", "rebal_date"]
@@ -55,6 +56,31 @@ def score_ranks(scores: DataFrame, limit: int | None = None) -> DataFrame:
     return (ranked if limit is None else ranked.where(c("rank") <= limit)).select("date", "ticker", "score", "rank")
 
 
+def _held(rows: DataFrame, buffer_ratio: float, min_hold: int, emergency_rank: int, step_days: int) -> DataFrame:
+    """Holdings from ``(portfolio_id, rebal_date, ticker, rank, top_n)``, rebalance by rebalance.
+
+    State is the holding age of the names held; a portfolio's rebalances stream by in date
+    order, so its history may be of any length."""
+
+    def step(held, portfolio, day, rows):
+        import pandas as pd
+
+        top = int(rows["top_n"].iloc[0])
+        buffer = int(top * buffer_ratio)
+        place = dict(zip(rows["ticker"], rows["rank"]))
+        stays = {
+            t: age for t, age in (held or {}).items()
+            if t in place and not (place[t] > buffer and (age >= min_hold or place[t] > emergency_rank))
+        }
+        room = max(0, top - len(stays))
+        entering = [t for t, r in place.items() if r <= top and t not in stays][:room]
+        held = {t: age + step_days for t, age in {**stays, **dict.fromkeys(entering, 0)}.items()}
+        return held, pd.DataFrame({
+            "portfolio_id": portfolio, "rebal_date": day, "ticker": list(held), "rank": [int(place[t]) for t in held], "days_held": list(held.values())})
+
+    return walk(rows, "portfolio_id", "rebal_date", ["rank"], step, "portfolio_id int, rebal_date date, ticker string, rank int, days_held int")
+
+
 def hysteresis_schedule(
     scores: DataFrame, portfolios: dict[int, int], buffer_ratio: float = 1.4, min_hold: int = 20,
     emergency_rank: int = 80, step_days: int = 21,
@@ -63,12 +89,9 @@ def hysteresis_schedule(
 
     ``portfolios`` maps an id to its size N.  A holding is sold when it left the scores or
     ranks beyond ``floor(N * buffer_ratio)`` and has been held ``min_hold`` days or ranks
-    beyond ``emergency_rank``; free places go to the best-ranked names within N.
-
-    Selection depends on the previous rebalance, so one portfolio is walked in date order
-    in one group.  Only names that can matter reach it: a held name ranked beyond both
-    thresholds is sold whatever its age, so a group holds at most max(N, buffer,
-    emergency) rows per rebalance, fixed by the portfolio's parameters, not by the data.
+    beyond ``emergency_rank``; free places go to the best-ranked names within N.  Only names
+    that can matter reach the walk: a held name ranked beyond both thresholds is sold
+    whatever its age.
     """
     need = {p: max(n, int(n * buffer_ratio), emergency_rank) for p, n in portfolios.items()}
     ranks = score_ranks(scores, max(need.values()))
@@ -76,28 +99,20 @@ def hysteresis_schedule(
         F.lit(p).alias("portfolio_id"), F.lit(n).alias("top_n"), F.lit(need[p]).alias("need")) for p, n in portfolios.items()]))
     rows = ranks.withColumn("p", table).where(c("rank") <= c("p.need")).select(
         "p.portfolio_id", "p.top_n", c("date").alias("rebal_date"), "ticker", "rank")
+    return _held(rows, buffer_ratio, min_hold, emergency_rank, step_days)
 
-    def walk(pdf):
-        import pandas as pd
 
-        top = int(pdf["top_n"].iloc[0])
-        buffer = int(top * buffer_ratio)
-        held: dict[str, int] = {}
-        out = []
-        for day, names in pdf.sort_values(["rebal_date", "rank"]).groupby("rebal_date", sort=True):
-            place = dict(zip(names["ticker"], names["rank"]))
-            stays = {
-                t: age for t, age in held.items()
-                if t in place and not (place[t] > buffer and (age >= min_hold or place[t] > emergency_rank))
-            }
-            room = max(0, top - len(stays))
-            entering = [t for t, r in place.items() if r <= top and t not in stays][:room]
-            held = {t: age + step_days for t, age in {**stays, **dict.fromkeys(entering, 0)}.items()}
-            out += [(int(pdf["portfolio_id"].iloc[0]), day, t, int(place[t]), age) for t, age in held.items()]
-        return pd.DataFrame(out, columns=["portfolio_id", "rebal_date", "ticker", "rank", "days_held"])
-
-    return rows.groupBy("portfolio_id").applyInPandas(
-        walk, "portfolio_id int, rebal_date date, ticker string, rank int, days_held int")
+def dynamic_schedule(
+    scores: DataFrame, portfolio_id: int = 1, share: float = 0.15, least: int = 12, buffer_ratio: float = 1.4, min_hold: int = 20,
+    emergency_rank: int = 80, step_days: int = 21,
+) -> DataFrame:
+    """As :func:`hysteresis_schedule`, with N = max(``least``, floor(``share`` x names scored)) anew at each rebalance."""
+    sized = with_stats(score_ranks(scores), ["date"], __n=F.count(F.lit(1)))
+    top = F.greatest(F.lit(least), F.floor(F.lit(share) * c("__n"))).cast("int")
+    need = F.greatest(top, F.floor(top * F.lit(buffer_ratio)), F.lit(emergency_rank))
+    rows = sized.withColumn("top_n", top).where(c("rank") <= need).select(
+        F.lit(portfolio_id).alias("portfolio_id"), "top_n", c("date").alias("rebal_date"), "ticker", "rank")
+    return _held(rows, buffer_ratio, min_hold, emergency_rank, step_days)
 
 
 # -- weights --------------------------------------------------------------------------
@@ -215,31 +230,26 @@ def no_trade_schedule(weights: DataFrame, threshold: float = 0.005) -> DataFrame
     """The same rule over time: each rebalance starts from the weights the rule left.
 
     The normalisation ties all names of a date to one another and to the date before, so a
-    portfolio is one sequence: a table of its dates by the names it ever targets, stepped
-    through date by date.  Returns the names held or targeted on a date, or held on the one before.
+    portfolio is one sequence; its rebalances stream by, and memory holds the last weights.
+    Returns the names held or targeted on a date, or held on the one before.
     """
 
-    def steps(rows):
-        import numpy as np
+    def step(held, portfolio, day, rows):
         import pandas as pd
 
-        days, day = np.unique(rows["rebal_date"].to_numpy(), return_inverse=True)
-        names, name = np.unique(rows["ticker"].to_numpy(dtype=str), return_inverse=True)
-        asked = np.zeros((len(days), len(names)))
-        asked[day, name] = rows["weight"]
-        given = asked.copy()
-        for i in range(1, len(days)):
-            settled = np.abs(asked[i] - given[i - 1]) <= threshold
-            given[i][settled] = given[i - 1][settled]
-            if (total := given[i].sum()) > 0:
-                given[i] /= total
-        listed = given != 0
-        listed[1:] |= listed[:-1].copy()  # a name that was sold shows once, with weight 0
-        listed[day, name] = True
-        at = np.nonzero(listed)
-        return pd.DataFrame({"portfolio_id": rows["portfolio_id"].iloc[0], "rebal_date": days[at[0]], "ticker": names[at[1]], "weight": given[at]})
-
-    return weights.groupBy("portfolio_id").applyInPandas(steps, "portfolio_id int, rebal_date date, ticker string, weight double")
+        asked = rows.set_index("ticker")["weight"]
+        if held is None:
+            given = asked
+        else:
+            names = asked.index.union(held.index)
+            old, new = held.reindex(names, fill_value=0.0), asked.reindex(names, fill_value=0.0)
+            given = new.where((new - old).abs() > threshold, old)
+            given = given / given.sum() if given.sum() > 0 else given
+        out = pd.DataFrame({"portfolio_id": portfolio, "rebal_date": day, "ticker": given.index, "weight": given.to_numpy()})
+        return given[given != 0], out  # a name that was sold shows once, with weight 0
+
+    return walk(weights.select("portfolio_id", "rebal_date", "ticker", "weight"), "portfolio_id", "rebal_date", ["ticker"], step,
+                "portfolio_id int, rebal_date date, ticker string, weight double")
 
 
 def rebalance_report(pairs: DataFrame, trigger: float = 0.05) -> DataFrame:

@@ -44,7 +44,32 @@ def _(t):
     return portfolio.score_ranks(t.scores())
 
 
-@query("portfolio_hysteresis")
+# Selection with memory: a row for every name at every rebalance, age null unless it is held.
+HYST = """SELECT portfolio_id, rebal_date, ticker, rank, age AS days_held FROM (
+  WITH RECURSIVE hd AS (SELECT rebal_date, row_number() OVER (ORDER BY rebal_date) AS k FROM (SELECT DISTINCT rebal_date FROM weights)),
+  hr AS (SELECT k, ticker, row_number() OVER (PARTITION BY k ORDER BY score DESC, ticker) AS rank FROM hd JOIN scores ON date = hd.rebal_date),
+  ha AS (SELECT p.*, hd.k, hd.rebal_date, n.ticker, hr.rank FROM (VALUES (1, 5, 7), (2, 8, 11)) p(portfolio_id, n, buffer) CROSS JOIN hd
+         CROSS JOIN (SELECT DISTINCT ticker FROM hr) n LEFT JOIN hr ON hr.k = hd.k AND hr.ticker = n.ticker),
+  hs AS (SELECT portfolio_id, k, rebal_date, ticker, rank, CASE WHEN rank <= n THEN 21 END AS age FROM ha WHERE k = 1
+    UNION ALL SELECT portfolio_id, k, rebal_date, ticker, rank, CASE WHEN stay THEN age + 21
+        WHEN cand AND sum(cand::INT) OVER (PARTITION BY portfolio_id ORDER BY rank NULLS LAST, ticker ROWS UNBOUNDED PRECEDING) <= n - sum(stay::INT) OVER (PARTITION BY portfolio_id) THEN 21 END
+      FROM (SELECT *, coalesce(NOT stay AND rank <= n, false) AS cand FROM (
+        SELECT ha.*, hs.age, coalesce(hs.age IS NOT NULL AND NOT (ha.rank > buffer AND (hs.age >= 40 OR ha.rank > 15)), false) AS stay
+        FROM hs JOIN ha ON ha.portfolio_id = hs.portfolio_id AND ha.ticker = hs.ticker AND ha.k = hs.k + 1)))
+  SELECT * FROM hs WHERE age IS NOT NULL)"""
+NOTRADE = """SELECT portfolio_id, rebal_date, ticker, weight FROM (
+  WITH RECURSIVE nd AS (SELECT portfolio_id, rebal_date, row_number() OVER (PARTITION BY portfolio_id ORDER BY rebal_date) AS k FROM (SELECT DISTINCT portfolio_id, rebal_date FROM weights)),
+  na AS (SELECT nd.portfolio_id, nd.k, nd.rebal_date, n.ticker, coalesce(v.weight, 0) AS asked, v.weight IS NOT NULL AS named
+         FROM nd JOIN (SELECT DISTINCT portfolio_id, ticker FROM weights) n ON n.portfolio_id = nd.portfolio_id
+         LEFT JOIN weights v ON v.portfolio_id = nd.portfolio_id AND v.rebal_date = nd.rebal_date AND v.ticker = n.ticker),
+  ns AS (SELECT portfolio_id, k, rebal_date, ticker, asked::DOUBLE AS weight, named AS shown FROM na WHERE k = 1
+    UNION ALL SELECT portfolio_id, k, rebal_date, ticker, CASE WHEN sum(x) OVER (PARTITION BY portfolio_id) > 0 THEN x / sum(x) OVER (PARTITION BY portfolio_id) ELSE x END, shown
+      FROM (SELECT na.*, CASE WHEN abs(asked - ns.weight) > 0.15 THEN asked ELSE ns.weight END AS x, named OR ns.weight <> 0 AS shown
+            FROM ns JOIN na ON na.portfolio_id = ns.portfolio_id AND na.ticker = ns.ticker AND na.k = ns.k + 1))
+  SELECT * FROM ns WHERE shown)"""
+
+
+@query("portfolio_hysteresis", fin(f"{K} ticker:k rank:i days_held:i", HYST))
 def _(t):
     monthly = t.scores().join(t.weights().select(c("rebal_date").alias("date")).distinct(), "date", "left_semi")
     return portfolio.hysteresis_schedule(monthly, {1: 5, 2: 8}, min_hold=40, emergency_rank=15)
@@ -117,7 +142,7 @@ def _(t):
     return portfolio.no_trade_zone(portfolio.consecutive(t.weights()), 0.15)
 
 
-@query("portfolio_no_trade_schedule")
+@query("portfolio_no_trade_schedule", fin(W, NOTRADE))
 def _(t):
     return portfolio.no_trade_schedule(t.weights(), 0.15)
 
