@@ -15,13 +15,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelloom.llm.common import shared_root
+from panelloom.llm.common import bounded_batches, shared_root
 from panelloom.llm.tokens import encoder, ids_crc
 
 END_ID = 0
 BLOCK_IDS = 4096
-#: Blocks coded side by side; each holds about 160 kB of model state, so a coder takes about 80 MB.
-LANES = 512
+#: Blocks coded side by side; each holds about 160 kB of model state, so a coder takes about 160 MB.
+LANES = 1024
 MAGIC = b"CMR1"
 _HEADER = struct.Struct("<4sIII")  # magic, ids, vocabulary size, crc32 of the ids as uint16
 
@@ -340,7 +340,8 @@ def write(docs: DataFrame, vocabulary: str, path: str) -> None:
             yield emit(ready)
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, schema).write.parquet(path)
+    with bounded_batches(docs.sparkSession):
+        ordered.mapInArrow(run, schema).write.parquet(path)
 
 
 def _arrow(id_type: pa.DataType) -> pa.Schema:
