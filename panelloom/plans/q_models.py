@@ -18,15 +18,6 @@ from panelloom.streaming import streams
 
 c = F.col
 FEATURES = ["return_1m", "bollinger_distance", "volume_shock", "volatility_regime"]
-QUICK = models.Params(depth=3, rounds=5)
-
-
-@staged
-def train_table(t: Tables):
-    """Ranked features with the 21-row target."""
-    x = xsection.rank_features(t.core().select("date", "ticker", *FEATURES), FEATURES)
-    y = labels.target_panel(t.panel(), 21).select("date", "ticker", "target")
-    return x.join(y, ["date", "ticker"])
 
 
 @query("model_walk_forward_splits", fin("split_id:i pred_date:d train_start:d train_end:d train_rows:i", """
@@ -65,48 +56,6 @@ def _(t):
     return models.cv_folds(t.panel(), expanding=False)
 
 
-def fitted(t):
-    key = (t.spark.sparkContext.applicationId, t.path)
-    if key not in _FITTED:
-        _FITTED[key] = models.fit_ensemble(train_table(t), FEATURES, n_models=2, p=QUICK)
-    return _FITTED[key]
-
-
-_FITTED: dict = {}
-
-
-@query("model_fit_ensemble")
-def _(t):
-    """Members with their overfit guard: depth used, training and validation IC, refits."""
-    e = fitted(t)
-    rows = [(i, d["seed"], d["depth"], d["train_ic"], d["val_ic"], d["refits"]) for i, d in enumerate(e.report)]
-    return t.spark.createDataFrame(rows, "member int, seed int, depth int, train_ic double, val_ic double, refits int")
-
-
-@query("model_predict_scores")
-def _(t):
-    """Ensemble mean, ranked per date, for every date."""
-    pred = fitted(t).transform(train_table(t)).select("date", "ticker", "prediction")
-    return models.normalize_scores(stage(pred, "pred"))
-
-
-@query("model_importance")
-def _(t):
-    return models.importance_summary(models.importance_table(fitted(t), t.spark))
-
-
-@query("model_cross_validation")
-def _(t):
-    return models.cv_summary(models.cross_validate(train_table(t), FEATURES, p=QUICK, n_folds=2))
-
-
-@query("model_grid_search")
-def _(t):
-    from dataclasses import replace
-
-    return models.grid_search(train_table(t), FEATURES, [replace(QUICK, depth=d) for d in (2, 3)])
-
-
 # -- scores and confidence over given member scores -----------------------------------------
 
 MEMBERS = ["m0", "m1", "m2"]
