@@ -23,14 +23,14 @@ _ALL = "__all"
 
 def _sliced(df: DataFrame, keys: list[str], value: str, slice_rows: int) -> DataFrame:
     """Add ``__slice``, non-decreasing in ``value`` inside each group: of the sketch's
-    evenly spaced quantiles, a group uses every k-th, by its number of rows."""
+    evenly spaced quantiles, a group uses every k-th, by its number of rows.  Only groups
+    above one slice are sketched; where there is none, those branches of the plan are empty."""
     cuts = [i / STEPS for i in range(1, STEPS)]
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.percentile_approx(value, F.lit(cuts), F.lit(4 * STEPS)).alias("__q"))
+    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > slice_rows)
+    sketched = df.join(large, keys).groupBy(*keys).agg(F.first("__n").alias("__n"), F.percentile_approx(value, F.lit(cuts), F.lit(4 * STEPS)).alias("__q"))
     slices = f"least({STEPS}, ceil(__n / {slice_rows}))"
-    edges = sizes.select(*keys, F.expr(
-        f"if({slices} > 1, transform(sequence(1, cast({slices} as int) - 1), i -> __q[cast(i * {STEPS} / {slices} as int) - 1]), array())"
-    ).alias("__edges"))
-    return df.join(edges, keys).withColumn("__slice", F.expr(f"size(filter(__edges, e -> e < `{value}`))")).drop("__edges")
+    edges = sketched.select(*keys, F.expr(f"transform(sequence(1, cast({slices} as int) - 1), i -> __q[cast(i * {STEPS} / {slices} as int) - 1])").alias("__edges"))
+    return df.join(edges, keys, "left").withColumn("__slice", F.expr(f"if(__edges is null, 0, size(filter(__edges, e -> e < `{value}`)))")).drop("__edges")
 
 
 def _offsets(counts: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:

@@ -257,8 +257,9 @@ def _(t):
 
 
 @query("insight_prediction_outliers", fin("date:d ticker:k score z_score severity:k", f"""SELECT date, ticker, x AS score, z AS z_score, CASE WHEN abs(z) > 4 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM (
-    SELECT date, ticker, volume_shock AS x, (volume_shock - m) / sd AS z FROM core CROSS JOIN ps WHERE date >= {SPLIT}) WHERE abs(z) > 2""", {
-    "ps": f"SELECT avg(volume_shock) AS m, stddev_samp(volume_shock) AS sd FROM core WHERE date < {SPLIT}"}))
+    SELECT date, ticker, volume_shock AS x, (volume_shock - (SELECT m FROM ps)) / (SELECT sd FROM ps) AS z FROM vs WHERE date >= {SPLIT}) WHERE abs(z) > 2""", {
+    "vs": "SELECT date, ticker, volume_shock FROM core WHERE volume_shock IS NOT NULL",
+    "ps": f"SELECT avg(volume_shock) AS m, stddev_samp(volume_shock) AS sd FROM vs WHERE date < {SPLIT}"}).replace("vs AS (", "vs AS MATERIALIZED (").replace("ps AS (", "ps AS MATERIALIZED ("))
 def _(t):
     base, now = halves(t, t.core().select("date", "ticker", c("volume_shock").alias("score")))
     return insights.prediction_outliers(now, base, limit=2.0)
