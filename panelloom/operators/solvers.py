@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelloom.functions import calendar, stage
+from panelloom.functions import calendar, nz, stage
 from panelloom.operators.portfolio import KEYS, strategy
 
 c = F.col
@@ -53,20 +53,37 @@ def mean_returns(selected: DataFrame, returns: DataFrame, panel: DataFrame, wind
     return sel.join(r, "ticker", "left").groupBy(*KEYS, "ticker").agg((total / days).alias("mean"))
 
 
-def _risk_parity(cov, score, rounds: int = 20):
-    sd = np.sqrt(np.diag(cov))
-    w = 1.0 / np.where(sd == 0, 1e-4, sd)
-    w /= w.sum()
-    for _ in range(rounds):
-        total = np.sqrt(w @ cov @ w)
-        if total == 0:
+def _risk_parity(cov, score, sweeps: int = 500, tolerance: float = 1e-12):
+    """Equal risk shares, to convergence.
+
+    The weights minimise w'Cw / 2 - mean(log w): one coordinate at a time, whose optimum is
+    the positive root of a quadratic.  Every sweep lowers the target, so no start or guard
+    matters, and weights stay positive."""
+    n, own = len(cov), np.maximum(np.diag(cov), 1e-12)
+    w = 1.0 / np.sqrt(own * n)
+    pull = cov @ w
+    for _ in range(sweeps):
+        before = w.copy()
+        for i in range(n):
+            others = pull[i] - cov[i, i] * w[i]
+            root = (np.sqrt(others * others + 4.0 * own[i] / n) - others) / (2.0 * own[i])
+            pull += cov[:, i] * (root - w[i])
+            w[i] = root
+        if np.abs(w - before).max() <= tolerance * w.max():
             break
-        share = w * (cov @ w) / total
-        w = w * (total / len(w)) / (share + 1e-8)
-        w /= w.sum()
     return w
 
 
+def risk_shares(weights: DataFrame, cov: DataFrame) -> DataFrame:
+    """``(portfolio_id, rebal_date, ticker, share)`` of each name in its portfolio's variance."""
+    w = weights.select(*KEYS, c("ticker").alias("i"), c("weight").alias("wi"))
+    v = weights.select(*KEYS, c("ticker").alias("j"), c("weight").alias("wj"))
+    pulls = cov.select(*KEYS, "i", "j", "cov").join(w, [*KEYS, "i"]).join(v, [*KEYS, "j"])
+    own = pulls.groupBy(*KEYS, "i").agg(F.sum(c("wi") * c("cov") * c("wj")).alias("part"))
+    total = own.groupBy(*KEYS).agg(F.sum("part").alias("variance"))
+    return own.join(total, KEYS).select(*KEYS, c("i").alias("ticker"), (c("part") / nz("variance")).alias("share"))
+
+
 def _capped_simplex(v, cap):
     """Euclidean projection on {0 <= w <= cap, sum w = 1} by bisection on the shift."""
     lo, hi = v.min() - 1.0, v.max()

@@ -203,6 +203,16 @@ def _(t):
     return portfolio.volatility_target(t.weights(), cov_table(t))
 
 
+@query("portfolio_equal_risk", fin(f"{K} names:i equal_risk:k", "SELECT portfolio_id, rebal_date, count(*) AS names, true AS equal_risk FROM weights GROUP BY 1, 2"))
+def _(t):
+    """Whether risk parity leaves every name with the same share of the variance."""
+    got = solvers.risk_parity(t.weights(), cov_table(t))
+    shares = solvers.risk_shares(got, cov_table(t))
+    gap = F.max(F.abs(c("share") * c("n") - 1.0))
+    sized = shares.join(got.groupBy("portfolio_id", "rebal_date").agg(F.count(F.lit(1)).alias("n")), ["portfolio_id", "rebal_date"])
+    return sized.groupBy("portfolio_id", "rebal_date").agg(F.count(F.lit(1)).alias("names"), (gap < 1e-6).alias("equal_risk"))
+
+
 for _name in ("risk_parity", "min_variance", "black_litterman", "kelly", "hrp"):
     def _solver(t, name=_name):
         return portfolio.optimize(name, t.weights(), cov=cov_table(t), scores=t.scores())
@@ -265,7 +275,14 @@ def _(t):
     return risk.parametric_var(backtest_daily(t))
 
 
-@query("risk_monte_carlo_var")
+MC = {"mcg": "SELECT portfolio_id, avg(net) AS m, stddev_samp(net) AS sd FROM bt GROUP BY 1",
+      "mch": "SELECT portfolio_id, m, sd, md5('42:' || portfolio_id || ':' || i) AS h FROM mcg CROSS JOIN range(1, 10001) r(i)",
+      "mcu": "SELECT portfolio_id, m, sd, (('0x' || substr(h, 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496 AS u, (('0x' || substr(h, 14, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496 AS v FROM mch",
+      "mcd": "SELECT portfolio_id, m + sd * (sqrt(-2 * ln(u)) * cos(2 * pi() * v)) AS x FROM mcu"}
+
+
+@query("risk_monte_carlo_var", fin("portfolio_id:i var_95 cvar_95", """SELECT portfolio_id, greatest(0, -max(q)) AS var_95, greatest(0, -avg(x) FILTER (x <= q)) AS cvar_95
+    FROM (SELECT *, quantile_cont(x, 0.05) OVER (PARTITION BY portfolio_id) AS q FROM mcd) GROUP BY 1""", MC))
 def _(t):
     return risk.monte_carlo_var(backtest_daily(t))
 

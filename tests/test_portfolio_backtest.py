@@ -65,12 +65,31 @@ def test_solvers(spark, setup, panel):
         w = portfolio.optimize(name, weights, cov=cov, scores=scores).toPandas()
         total = w.groupby(["portfolio_id", "rebal_date"])["weight"].sum()
         np.testing.assert_allclose(total, 1.0, atol=1e-9)
-        if name != "risk_parity":  # its multiplicative steps may leave the positive range
-            assert (w["weight"] >= -1e-12).all()
+        assert (w["weight"] >= -1e-12).all()
     with pytest.raises(KeyError):
         portfolio.optimize("no_such", weights)
 
 
+def test_risk_parity_shares_are_equal():
+    g = np.random.default_rng(4)
+    for n in (1, 2, 7, 40):
+        a = g.normal(size=(n, 2 * n)) * np.geomspace(0.1, 5, n)[:, None] + g.normal(size=(1, 2 * n))
+        cov = a @ a.T / (2 * n)
+        w = solvers._risk_parity(cov, None)
+        share = w * (cov @ w) / (w @ cov @ w)
+        assert (w > 0).all() and np.allclose(share, 1 / n, atol=1e-9)
+    assert np.isfinite(solvers._risk_parity(np.zeros((3, 3)), None)).all()
+
+
+def test_normal_draws_do_not_depend_on_partitions(spark):
+    rows = spark.range(20_000).select(F.lit(7).alias("seed"), "id")
+    draw = lambda df: {r.id: r.x for r in df.select("id", risk.normal_draws(F.col("seed"), F.col("id")).alias("x")).collect()}
+    one, other = draw(rows.coalesce(1)), draw(rows.repartition(13))
+    assert one == other
+    x = np.array(list(one.values()))
+    assert abs(x.mean()) < 0.03 and abs(x.std() - 1) < 0.03 and abs(np.mean(x**4) - 3) < 0.25
+
+
 def test_min_variance_respects_cap():
     g = np.random.default_rng(0)
     a = g.normal(size=(8, 40))
