@@ -33,6 +33,10 @@ def sqrt0(x) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), col(x)))
 
 
+#: Widths from which a frame is put together from block states.
+WIDE = 100
+
+
 class Frames:
     """Rolling columns over one window specification.
 
@@ -41,15 +45,22 @@ class Frames:
     totals is taken.  NaN and infinities count as missing.  All columns of one width share
     a frame, and equal aggregates are computed once however many columns use them.
 
+    Frames of :data:`WIDE` rows and more cost the same for every width.  Each instrument's
+    rows are cut into blocks of ``n``; a frame is the end of one block and the beginning of
+    the next.  Running states (count, sum, squared deviations, greatest, least) from each
+    end of a block meet by the parallel formula, without a difference of totals.
+
     Build columns with :meth:`roll`, :meth:`beta` and :meth:`corr`; then ``add(df, cols)``
     adds them.  A rolling value exists only with ``min_rows`` (default: the width) non-null
     inputs in its frame.
     """
 
     def __init__(self, w: WindowSpec | None = None):
+        self.keys = ["ticker"] if w is None else None  # wide frames need the parts of the specification
         self.w = w if w is not None else by_ticker()
         self.inputs: dict[str, Column] = {}
         self.totals: dict[str, Column] = {}
+        self.wide: dict[int, dict[tuple[str, str], str]] = {}
 
     def _input(self, x) -> str:
         """Name of a cleaned input column."""
@@ -60,9 +71,45 @@ class Frames:
 
     def _value(self, fn, n: int, *names: str) -> Column:
         key = f"__{fn.__name__}_{n}_" + "_".join(names)
-        self.totals[key] = fn(*[F.col(x) for x in names]).over(self.w.rowsBetween(-(n - 1), 0))
+        if self.keys and n >= WIDE and fn.__name__ in ("count", "sum", "avg", "var_samp", "stddev_samp", "max", "min"):
+            self.wide.setdefault(n, {})[fn.__name__, names[0]] = key
+        else:
+            self.totals[key] = fn(*[F.col(x) for x in names]).over(self.w.rowsBetween(-(n - 1), 0))
         return F.col(key)
 
+    def _add_wide(self, df: DataFrame) -> DataFrame:
+        """The wide frames' values from block states; all widths share the row numbers."""
+        todo = {n: {k: v for k, v in parts.items() if v not in df.columns} for n, parts in self.wide.items()}
+        todo = {n: parts for n, parts in todo.items() if parts}
+        if not todo:
+            return df
+        kept = [*df.columns, *[v for parts in todo.values() for v in parts.values()]]
+        df = df.withColumn("__row", F.row_number().over(self.w) - 1)
+        order = "date"
+        for n, parts in todo.items():
+            inputs = {name for _, name in parts}
+            df = df.withColumn("__block", F.floor(F.col("__row") / n))
+            states: dict[str, Column] = {}
+            for side, w in (("b", Window.partitionBy(*self.keys, "__block").orderBy(order)), ("e", Window.partitionBy(*self.keys, "__block").orderBy(F.col(order).desc()))):
+                running = w.rowsBetween(Window.unboundedPreceding, 0)
+                for name in inputs:
+                    wanted = {fn for fn, x in parts if x == name}
+                    x, made = F.col(name), {"n": F.count(name)}
+                    if wanted & {"sum", "avg", "var_samp", "stddev_samp"}:
+                        made["s"] = F.sum(x)
+                    if wanted & {"var_samp", "stddev_samp"}:
+                        made["v"] = F.var_pop(x)
+                        wanted = wanted | {"max", "min"}  # equal ends: no deviation, whatever the rounding of means
+                    made |= {fn: getattr(F, fn)(x) for fn in sorted(wanted & {"max", "min"})}
+                    states |= {f"__{side}_{k}_{name}": v.over(running) for k, v in made.items()}
+            df = df.withColumns(states)
+            # The end state of the frame's first row; none where the frame is one block's beginning.
+            ends = [k for k in states if k.startswith("__e_")]
+            two = (F.col("__row") >= n) & ((F.col("__row") + 1) % n != 0)
+            df = df.withColumns({k: F.when(two, F.lag(k, n - 1).over(self.w)) for k in ends})
+            df = df.withColumns({key: _merged(fn, name) for (fn, name), key in parts.items()}).drop(*states)
+        return df.select(*kept)
+
     def count(self, x, n: int) -> Column:
         return self._value(F.count, n, self._input(x))
 
@@ -89,7 +136,27 @@ class Frames:
         for extra in (self.inputs, self.totals):
             new = {k: v for k, v in extra.items() if k not in df.columns}
             df = df.withColumns(new) if new else df
-        return df.withColumns(columns)
+        return self._add_wide(df).withColumns(columns)
+
+
+def _merged(fn: str, name: str) -> Column:
+    """An aggregate of two row sets from their states: ``e`` (may be missing) and ``b``."""
+    state = lambda side, k: F.col(f"__{side}_{k}_{name}")
+    if fn in ("max", "min"):
+        return (F.greatest if fn == "max" else F.least)(state("e", fn), state("b", fn))
+    n1, n2 = F.coalesce(state("e", "n"), F.lit(0)), state("b", "n")
+    n = n1 + n2
+    if fn == "count":
+        return n
+    s1, s2 = F.coalesce(state("e", "s"), F.lit(0.0)), F.coalesce(state("b", "s"), F.lit(0.0))
+    if fn in ("avg", "sum"):
+        return F.when(n > 0, s1 + s2 if fn == "sum" else (s1 + s2) / nz(n))
+    between = s2 / nz(n2) - s1 / nz(n1)
+    apart = F.when((n1 > 0) & (n2 > 0), between * between * n1 * n2 / nz(n)).otherwise(0.0)
+    squares = F.coalesce(state("e", "v"), F.lit(0.0)) * n1 + F.coalesce(state("b", "v"), F.lit(0.0)) * n2 + apart
+    constant = F.greatest(state("e", "max"), state("b", "max")) == F.least(state("e", "min"), state("b", "min"))
+    var = F.when(n > 1, F.when(constant, 0.0).otherwise(squares / nz(n - 1)))
+    return F.sqrt(var) if fn == "stddev_samp" else var
 
 
 def pct_change(x, w: WindowSpec, k: int = 1) -> Column:

@@ -1,8 +1,10 @@
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from panelloom.functions import columns
 from panelloom.functions import Frames, asof_join, average_rank, ordered_counts, percent_rank, quantiles, row_positions, stage, tidy
 from tests.conftest import collect
 
@@ -47,7 +49,9 @@ def test_row_positions_and_running_totals(spark, both_slicings):
     assert (cum["cum_ones"] == cum["last_pos"]).all() and (cum["total_ones"] == cum["total"]).all()
 
 
-def test_rolling_frames_match_pandas(spark):
+@pytest.mark.parametrize("wide", [100, 4], ids=["own-frames", "block-states"])
+def test_rolling_frames_match_pandas(spark, monkeypatch, wide):
+    monkeypatch.setattr(columns, "WIDE", wide)
     g = np.random.default_rng(1)
     pdf = pd.DataFrame({"ticker": np.repeat(["a", "b"], 90), "date": np.tile(pd.bdate_range("2020-01-01", periods=90).date, 2),
                         "x": g.normal(100, 2, 180), "y": g.normal(0, 1, 180)})
@@ -56,7 +60,7 @@ def test_rolling_frames_match_pandas(spark):
     df = spark.createDataFrame(pdf).withColumn("x", F.nanvl("x", F.lit(None)))
     fr = Frames()
     cols = {"m": fr.roll(F.avg, "x", 10), "s": fr.roll(F.stddev_samp, "x", 10, 4), "vy": fr.roll(F.var_samp, "y", 10),
-            "mx": fr.roll(F.max, "x", 7), "b": fr.beta("y", "x", 12), "c": fr.corr("y", "x", 12)}
+            "mx": fr.roll(F.max, "x", 7), "mn": fr.roll(F.min, "x", 30, 3), "k": fr.count("x", 45).cast("double"), "t": fr.roll(F.sum, "x", 89, 2), "b": fr.beta("y", "x", 12), "c": fr.corr("y", "x", 12)}
     got = collect(fr.add(df, cols), "ticker", "date")
     want = pdf.sort_values(["ticker", "date"]).reset_index(drop=True)
     by = want.groupby("ticker")
@@ -64,6 +68,9 @@ def test_rolling_frames_match_pandas(spark):
     np.testing.assert_allclose(got["m"], flat(by["x"].rolling(10).mean()), atol=1e-9)
     np.testing.assert_allclose(got["s"], flat(by["x"].rolling(10, min_periods=4).std()), atol=1e-8)
     np.testing.assert_allclose(got["mx"], flat(by["x"].rolling(7).max()))
+    np.testing.assert_allclose(got["mn"], flat(by["x"].rolling(30, min_periods=3).min()))
+    np.testing.assert_allclose(got["k"], flat(by["x"].rolling(45, min_periods=0).count()))
+    np.testing.assert_allclose(got["t"], flat(by["x"].rolling(89, min_periods=2).sum()), atol=1e-9)
     assert (got["vy"][60:76] == 0).all()  # a constant window has exactly no variance
     cov = pd.concat([d["y"].rolling(12).cov(d["x"]) for _, d in by])
     corr = pd.concat([d["y"].where(d["x"].notna()).rolling(12).corr(d["x"]) for _, d in by])
