@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,11 @@ _MARKUP = re.compile(
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: Elements whose content is no text of the page.
 _RAW = frozenset("script style noscript template svg math iframe object canvas audio video textarea select title".split())
+#: Those of them that take everything up to their own closing tag as text.
+_SWALLOW = frozenset("script style textarea title iframe".split())
+_HEADINGS = frozenset(("h1", "h2"))
+#: A line that begins so tells who owns the page.
+_LEGAL = re.compile(r"(?:©|(?:\(c\)|copyright)\s+(?:©|\(c\)|\d))", re.IGNORECASE)
 #: Elements that hold no main text by their meaning.
 _BOILER = frozenset("head nav header footer aside form button menu dialog fieldset label".split())
 #: What may stand in a head; anything else ends it.
@@ -64,13 +70,17 @@ def _named_boiler(attributes: str, names: re.Pattern = _NAMES) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, int, int]]:
-    """Markup stripped: one (text, letters outside links, place) per non-empty block.
+def lines_of(page: str) -> list[tuple[str, int, int, bool]]:
+    """Markup stripped: one (text, letters outside links, place, heading) per non-empty block.
 
     ``place`` says whether the block stands in the page's surroundings (BOILER), in its
-    body, or inside an article or main element.
+    body, or inside an article or main element; ``heading`` whether in an h1 or h2.  An
+    element that is never closed ends with its parent; only script, style, textarea, title
+    and iframe take the rest of the page.  Time is linear in the page, however deep it nests.
     """
-    out: list[tuple[str, int, int]] = []
+    out: list[tuple[str, int, int, bool]] = []
+    opened: Counter[str] = Counter()
+    endless: set[str] = set()  # elements without a closing tag from here on
     stack: list[tuple[str, int]] = [("", BODY)]  # open elements and the place inside them
     parts: list[str] = []
     links = open_links = 0
@@ -80,10 +90,13 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((text, max(len(text) - links, 0), stack[-1][1]))
+                out.append((text, max(len(text) - links, 0), stack[-1][1], any(opened[h] for h in _HEADINGS)))
             parts.clear()
         links = 0
 
+    def leave() -> None:
+        opened[stack.pop()[0]] -= 1
+
     def word(raw: str) -> None:
         nonlocal links
         parts.append(raw)
@@ -101,10 +114,10 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
         if m[1]:
             if tag not in _INLINE:
                 flush()
-            if any(name == tag for name, _ in stack[1:]):
+            if opened[tag]:
                 while stack[-1][0] != tag:
-                    stack.pop()
-                stack.pop()
+                    leave()
+                leave()
             if tag == "a":
                 open_links = max(0, open_links - 1)
             continue
@@ -114,14 +127,20 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
         if tag in _VOID:
             continue
         if tag in _RAW:
-            if not m[3].rstrip().endswith("/"):
-                closing = re.compile(rf"</{tag}(?:[\s/][^>]*)?>", re.IGNORECASE).search(page, at)
+            if m[3].rstrip().endswith("/"):
+                continue
+            closing = None if tag in endless else re.compile(rf"</{tag}(?:[\s/][^>]*)?>", re.IGNORECASE).search(page, at)
+            if closing or tag in _SWALLOW:
                 at = closing.end() if closing else len(page)
+            else:
+                endless.add(tag)
+                stack.append((tag, BOILER))
+                opened[tag] += 1
             continue
         if stack[-1][0] == "head" and tag not in _HEAD:
-            stack.pop()
+            leave()
         while len(stack) > 1 and stack[-1][0] in _IMPLIED_END.get(tag, ()):
-            stack.pop()
+            leave()
         place = stack[-1][1]
         if tag in ("article", "main") and place != BOILER:
             place = BOILER if m[3] and _named_boiler(m[3], _PIECES) else MAIN
@@ -132,6 +151,7 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
         if tag == "a":
             open_links += 1
         stack.append((tag, place))
+        opened[tag] += 1
     if at < len(page):
         word(page[at:])
     flush()
@@ -150,17 +170,19 @@ def main_text(page: str | None, window: int = 3, surge: int = 86) -> str:
     The text begins where the sum over a sliding window of lines surges past ``surge``
     letters outside links and ends where the sums dive to 0.  Text may surge again, after an
     insert or a list of links: everything from the first surge to the last dive is kept,
-    without the lines of the surroundings, which have length 0.  A line inside an article or
-    main element weighs more, with its links and by ``surge`` letters, so it surges by
-    itself; lines elsewhere are measured all the same.
+    without the lines of the surroundings and the owner's line, which have length 0.  The text
+    opens with the heading next to its first surge; what stands before it (the site's name, a
+    notice) is left out.  A line inside an article or main element weighs more, with its
+    links and by ``surge`` letters, so it surges by itself; lines elsewhere are measured all
+    the same.  A page where nothing surges is short: all outside its surroundings is its text.
     """
     if not page:
         return ""
     lines = lines_of(page)
-    inside = np.array([place != BOILER for _, _, place in lines], dtype=bool)
+    inside = np.array([place == MAIN or place != BOILER and not _LEGAL.match(t) for t, _, place, _ in lines], dtype=bool)
     if not inside.any():
         return ""
-    lengths = np.array([len(t) + surge if place == MAIN else n for t, n, place in lines]) * inside
+    lengths = np.array([len(t) + surge if place == MAIN else n for t, n, place, _ in lines]) * inside
     sums = block_sums(lengths, window)
     ranges, at = [], 0
     while at < len(sums):
@@ -177,9 +199,18 @@ def main_text(page: str | None, window: int = 3, surge: int = 86) -> str:
     begin, end = ranges[0][0], ranges[-1][1]
     while begin < end - 1 and not lengths[begin]:
         begin += 1
-    while begin and inside[begin - 1] and lengths[begin - 1]:
+    # The text opens with its heading: short lines before it, a notice or the site's name, do
+    # not belong to it.  Without a heading it opens where it surges.
+    first = begin
+    while first < end - 1 and lengths[first] <= surge:
+        first += 1
+    near = first + 2 if lengths[first] <= 2 * surge else first + 1  # a notice may be long enough to surge
+    heads = [i for i in range(max(0, first - 2 * window), min(near, end)) if lines[i][3] and inside[i] and lines[i][2] != MAIN]
+    if heads and lines[first][2] != MAIN:
+        begin = heads[0]
+    while begin and inside[begin - 1] and lines[begin - 1][2] == MAIN:
         begin -= 1
-    return "\n".join(t for (t, _, place) in lines[begin:end] if place != BOILER)
+    return "\n".join(t for (t, _, _, _), kept in zip(lines[begin:end], inside[begin:end], strict=True) if kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -240,3 +240,45 @@ def test_fingerprints_of_short_texts_heed_order(spark):
     for n in (20, 40, 60):
         own = [r for r in got if r.n == n]
         assert abs(np.mean([r.like for r in own]) - np.mean([r.want for r in own])) < 0.06
+
+
+def test_pages_without_names_and_place_tags_give_the_same_text():
+    """The window sums, headings and link lengths find the text when no tag or class tells it."""
+    import re
+
+    import pyarrow.parquet as pq
+
+    def plain(page):
+        page = re.sub(r'\s(?:class|id|role|aria-[a-z]+)\s*=\s*("[^"]*"|\'[^\']*\'|[^\s>]+)', "", page)
+        return re.sub(r"<(/?)(nav|header|footer|article|main|aside|section|form)\b", r"<\1div", page)
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+    same = [html.main_text(plain(p)) == html.main_text(p) != "" for p in pages]
+    assert sum(same) >= 0.95 * len(same)
+
+
+def test_unmarked_header_notice_and_owner_are_left_out():
+    long = "A sentence of the article that goes on for a while, as sentences of articles do, and then ends. " * 2
+    page = f"<div>My Site Name</div><div>Welcome back, please log in to read on</div><h1>The headline</h1><p>{long}</p><p>Short one.</p><p>{long}</p><div>© 2024 Example</div>"
+    assert html.main_text(page) == f"The headline\n{long.strip()}\nShort one.\n{long.strip()}"
+
+
+def test_unclosed_elements_end_with_their_parent():
+    long = "Words of the article that are many enough to be seen as text by the window, surely so, indeed. " * 2
+    for tag in ("select", "svg", "object", "canvas", "template", "noscript", "audio", "video"):
+        page = f"<body><article><p>{long}</p><div>before <{tag}><b>inside</b></div><p>after {long}</p></article></body>"
+        assert html.main_text(page) == f"{long.strip()}\nbefore\nafter {long.strip()}", tag
+    assert html.main_text(f"<p>{long}</p><script>var x = 1; {long}") == long.strip()
+
+
+def test_deep_nesting_and_many_unclosed_take_linear_time():
+    import time
+
+    def seconds(n):
+        page = "<div>" * n + "text of the page " * 20 + "</div><i></b>" * n + "<svg>" * n
+        began = time.perf_counter()
+        html.main_text(page)
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(40_000) < 20 * max(seconds(5_000), 0.01)
