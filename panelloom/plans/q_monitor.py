@@ -97,13 +97,21 @@ def _(t):
     return quality.column_audit(t.core(), rules, ["roe"]).withColumnsRenamed({"column": "column_name", "check": "check_name"})
 
 
-@query("quality_label_audit", fin("column_name:k check_name:k value passed:k", """
-    SELECT 'ret_fwd_21d' AS column_name, 'infinite' AS check_name, 0.0 AS value, true AS passed UNION ALL SELECT 'ret_fwd_21d', 'filled_share', avg((f IS NOT NULL)::INT), avg((f IS NOT NULL)::INT) >= 0.5 FROM lf
-    UNION ALL SELECT 'binary_fwd_21d', 'infinite', 0, true UNION ALL SELECT 'binary_fwd_21d', 'not_binary', 0, true UNION ALL SELECT 'binary_fwd_21d', 'positive_share', avg((f > 0)::INT), avg((f > 0)::INT) BETWEEN 0.2 AND 0.8 FROM lf""",
-    {"lf": "SELECT lead(close, 21) OVER (PARTITION BY ticker ORDER BY date) / close - 1 AS f FROM panel"}))
+_HORIZONS = labels.LabelConfig().horizons
+_LABELS = {"lf": "SELECT date, ticker, " + ", ".join(f"lead(close, {h}) OVER (PARTITION BY ticker ORDER BY date) / close - 1 AS f{h}" for h in _HORIZONS) + " FROM panel",
+           "lr": "SELECT *, " + ", ".join(f"{pctrank(f'f{h}')} AS r{h}" for h in _HORIZONS) + " FROM lf"}
+
+
+@query("quality_label_audit", fin("column_name:k check_name:k value passed:k", " UNION ALL ".join(f"""
+    SELECT 'ret_fwd_{h}d' AS column_name, 'infinite' AS check_name, 0.0 AS value, true AS passed UNION ALL SELECT 'ret_fwd_{h}d', 'filled_share', avg((f{h} IS NOT NULL)::INT), avg((f{h} IS NOT NULL)::INT) >= 0.5 FROM lr
+    UNION ALL SELECT 'binary_fwd_{h}d', 'infinite', 0, true UNION ALL SELECT 'binary_fwd_{h}d', 'not_binary', 0, true UNION ALL SELECT 'binary_fwd_{h}d', 'positive_share', avg((f{h} > 0)::INT), avg((f{h} > 0)::INT) BETWEEN 0.2 AND 0.8 FROM lr
+    UNION ALL SELECT 'rank_pct_fwd_{h}d', 'infinite', 0, true UNION ALL SELECT 'rank_pct_fwd_{h}d', 'minimum', min(r{h}), min(r{h}) >= 0 FROM lr
+    UNION ALL SELECT 'rank_pct_fwd_{h}d', 'maximum', max(r{h}), max(r{h}) <= 1 FROM lr""" for h in _HORIZONS), _LABELS))
 def _(t):
-    df = labels.label_panel(t.panel(), labels.LabelConfig(horizons=(21,), ranking=False))
-    return quality.column_audit(df, quality.label_rules([21])).withColumnsRenamed({"column": "column_name", "check": "check_name"})
+    """Every label family at every horizon."""
+    df = labels.label_panel(t.panel(), labels.LabelConfig())
+    return quality.column_audit(df, quality.label_rules(_HORIZONS)).withColumnsRenamed({"column": "column_name", "check": "check_name"})
+
 
 
 # -- drift -------------------------------------------------------------------------------
