@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from itertools import combinations
@@ -165,7 +166,8 @@ def composite_label(fns: list[LabelFn], weights: list[float] | None = None) -> L
 class LabelRegistry:
     """User-defined labels: column builders, or pandas functions applied per instrument.
 
-    A builder that raises or that Spark cannot resolve yields a null column.  A pandas
+    A builder that raises or that Spark cannot resolve yields a null column and a warning;
+    ``quality.label_rules(custom=...)`` makes the audit fail on it.  A pandas
     function receives one instrument's rows in date order (bounded by the calendar) and
     returns one value per row.
     """
@@ -192,10 +194,11 @@ class LabelRegistry:
         for name, fn in self.columns.items():
             out = f"custom_{name}"
             try:
-                df = df.withColumn(out, fn(panel))
-                df.schema  # resolve now, so a bad builder fails here and not later
-            except Exception:
-                df = panel if out in df.columns else df
+                built = df.withColumn(out, fn(panel))
+                built.schema  # resolve now, so a bad builder fails here and not later
+                df = built
+            except Exception as problem:
+                warnings.warn(f"label {name} is null, its builder failed: {problem}", stacklevel=2)
                 df = df.withColumn(out, F.lit(None).cast("double"))
             keep.append(out)
         result = df.select(*keep)

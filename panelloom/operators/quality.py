@@ -175,14 +175,14 @@ def feature_rules() -> dict[str, dict]:
     return rules | {"rsi_14": {"low": 0.0, "high": 100.0}}
 
 
-def label_rules(horizons) -> dict[str, dict]:
-    """Audit rules of the label families."""
+def label_rules(horizons, custom=()) -> dict[str, dict]:
+    """Audit rules of the label families; ``custom``: names of registered labels."""
     rules: dict[str, dict] = {}
     for h in horizons:
         rules[f"ret_fwd_{h}d"] = {"min_filled": 0.5}
         rules[f"binary_fwd_{h}d"] = {"binary": True, "balance": (0.2, 0.8)}
         rules[f"rank_pct_fwd_{h}d"] = {"low": 0.0, "high": 1.0}
-    return rules
+    return rules | {f"custom_{name}": {"max_null": 0.9} for name in custom}
 
 
 def common_dates(a: DataFrame, b: DataFrame, threshold: int = 100) -> DataFrame:

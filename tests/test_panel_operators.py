@@ -91,7 +91,11 @@ def test_labels_end_null_and_buckets_match_qcut(panel, panel_pd):
 def test_label_registry(panel):
     reg = labels.LabelRegistry().register("up", labels.threshold_label(5, 0.0)).register("bad", lambda df: F.col("nope"))
     reg.register("py", lambda pdf: pdf["close"].shift(-1), pandas=True)
-    got = collect(reg.compute(panel), "ticker", "date")
+    with pytest.warns(UserWarning, match="label bad is null"):
+        made = reg.compute(panel)
+    got = collect(made, "ticker", "date")
+    audit = quality.column_audit(made, quality.label_rules([], custom=reg.list_labels())).where("check = 'null_share'").collect()
+    assert {r.column: r.passed for r in audit} == {"custom_up": True, "custom_bad": False, "custom_py": True}
     assert reg.list_labels() == ["up", "bad", "py"]
     assert got["custom_bad"].isna().all() and got["custom_py"].notna().sum() == len(got) - 4
     assert reg.unregister("bad").list_labels() == ["up", "py"]
