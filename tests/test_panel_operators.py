@@ -41,6 +41,53 @@ def test_cross_section_does_not_depend_on_slices(spark, panel, monkeypatch):
         pd.testing.assert_frame_equal(a, b[a.columns], check_exact=False, atol=1e-9)
 
 
+def odd_columns(spark):
+    g = np.random.default_rng(3)
+    pdf = pd.DataFrame({"d": np.repeat(["a", "b", "c"], 60), "id": np.arange(180), "x": g.integers(0, 6, 180) * 1.0, "y": g.normal(size=180)})
+    pdf.loc[:35, "x"], pdf.loc[g.choice(180, 40, False), "y"] = 2.0, np.nan
+    pdf.loc[pdf["d"] == "c", "x"] = np.nan
+    return pdf, spark.createDataFrame(pdf).withColumns({v: F.nanvl(v, F.lit(None)) for v in "xy"})
+
+
+@pytest.mark.parametrize("group_rows", [1000, 5], ids=["whole-groups", "slices"])
+def test_ranks_and_quantiles_of_many_columns(spark, group_rows):
+    pdf, df = odd_columns(spark)
+    bound = {"group_rows": group_rows, "slice_rows": 7}
+    got = collect(order_stats.rank_columns(df, ["d"], ["x", "y"], ["y"], tie="id", **bound), "id")
+    by = pdf.groupby("d")
+    np.testing.assert_allclose(got["x"], by["x"].rank(pct=True))
+    np.testing.assert_allclose(got["y"], by["y"].rank(pct=True, ascending=False))
+    np.testing.assert_allclose(got["__place_x"].astype(float), by["x"].rank(method="first"))
+    centred = collect(order_stats.rank_columns(df, ["d"], ["x", "y"], centred=True, **bound), "id")
+    np.testing.assert_allclose(centred["y"], by["y"].rank() - (by["y"].transform("count") + 1) / 2)
+    cuts = collect(order_stats.column_quantiles(df, ["d"], ["x", "y"], {"lo": 0.07, "hi": 0.9}, **bound), "d").set_index("d")
+    for name, q in (("lo", 0.07), ("hi", 0.9)):
+        for v in "xy":
+            np.testing.assert_allclose(cuts[f"{name}_{v}"].astype(float), by[v].quantile(q))
+
+
+def test_rows_without_a_date_stay_unranked(spark):
+    rows = [("d", "A", 1.0, 2.0), ("d", "B", 3.0, None), (None, "C", 5.0, None), (None, "D", 5.0, 6.0)]
+    df = spark.createDataFrame(rows, "date string, ticker string, x double, y double")
+    got = {r.ticker: (r.x, r.y) for r in order_stats.rank_columns(df, ["date"], ["x", "y"]).collect()}
+    assert got == {"A": (0.5, 1.0), "B": (1.0, None), "C": (None, None)}
+
+
+def test_a_chain_of_sliced_ranks_stays_small(spark):
+    _, df = odd_columns(spark)
+    plan = order_stats.rank_columns(df.withColumns({f"z{i}": F.col("y") * i for i in range(8)}), ["d"], [f"z{i}" for i in range(8)], group_rows=5, slice_rows=7)
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("Window") < 60
+
+
+def test_label_panel_is_its_parts_side_by_side(panel):
+    bench = panel.select("date").distinct().withColumn("mkt_ret", F.dayofmonth("date") / 1000.0)
+    got = collect(labels.label_panel(panel, benchmark=bench), "ticker", "date")
+    df = labels.with_inputs(panel, bench)
+    parts = [labels.regression_labels(df, labels.HORIZONS, True), labels.classification_labels(df, labels.LabelConfig(), True), labels.ranking_labels(panel)]
+    want = pd.concat([collect(x, "ticker", "date").set_index(["ticker", "date"]) for x in parts], axis=1).reset_index()
+    pd.testing.assert_frame_equal(got[want.columns], want, check_exact=False, atol=1e-12)
+
+
 def test_ranks_keep_repeated_rows_and_missing_values(spark):
     rows = [("2024-01-02", "A", 1.0), ("2024-01-02", "A", 3.0), ("2024-01-02", "B", 2.0), ("2024-01-02", "C", None), ("2024-01-02", "D", 2.0)]
     df = spark.createDataFrame(rows, "date string, ticker string, volume_shock double")
