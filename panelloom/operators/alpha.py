@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelloom.functions import Frames, average_rank, calendar, nz, row_positions, stage
+from panelloom.functions import Frames, average_rank, calendar, nz, rank_columns, row_positions, stage
 from panelloom.functions.columns import TRADING_DAYS
 
 c = F.col
@@ -19,8 +19,10 @@ SUB_PERIODS = [("2005-2012", "2005-01-01", "2012-12-31"), ("2013-2018", "2013-01
 def spearman(pairs: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Rank correlation and pair count per group; ``pairs`` feeds several branches, so it is staged."""
     pairs = stage(pairs.select(*keys, x, y).dropna(subset=[x, y]), "pairs")
-    ranked = average_rank(pairs, keys, x, "__rx", centred=True)
-    ranked = average_rank(ranked, keys, y, "__ry", centred=True)
+    if keys:
+        ranked = rank_columns(pairs.select(*keys, c(x).alias("__rx"), c(y).alias("__ry")), keys, ["__rx", "__ry"], centred=True)
+    else:
+        ranked = average_rank(average_rank(pairs, keys, x, "__rx", centred=True), keys, y, "__ry", centred=True)
     # centred ranks are multiples of one half: the sums are exact and a zero correlation is zero
     dot = lambda a, b: F.sum(c(a) * c(b))
     ic = dot("__rx", "__ry") / nz(F.sqrt(dot("__rx", "__rx") * dot("__ry", "__ry")))

@@ -6,7 +6,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
-from panelloom.functions import percent_rank, stage, tidy
+from panelloom.functions import rank_columns, stage, tidy
 from panelloom.functions.staging import staging_root
 from panelloom.operators import backtest, labels, models, portfolio, universe, xsection
 from panelloom.plans.oracle import fin, pctrank, r
@@ -68,8 +68,7 @@ MEM = {"mem": "SELECT date, ticker, " + ", ".join(f"{pctrank(f)} AS m{i}" for i,
 @staged
 def member_table(t: Tables):
     df = t.core().select("date", "ticker", *FEATURES[:3]).dropna()
-    for i, f in enumerate(FEATURES[:3]):
-        df = percent_rank(df, ["date"], f, f"m{i}")
+    df = rank_columns(df.select("date", "ticker", *[c(f).alias(m) for f, m in zip(FEATURES, MEMBERS)]), ["date"], MEMBERS)
     y = labels.target_panel(t.panel(), 21).select("date", "ticker", "target")
     mean = (c("m0") + c("m1") + c("m2")) / 3.0
     return df.select("date", "ticker", *MEMBERS, mean.alias("prediction")).join(y, ["date", "ticker"])
