@@ -5,11 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelloom.functions import Frames, nz, ordered_counts, quantiles, stage
+from panelloom.functions import Frames, nz, stage
 from panelloom.functions.columns import TRADING_DAYS
+from panelloom.functions.order_stats import SLICE_ROWS, STEPS
 
 c = F.col
 
@@ -21,30 +24,147 @@ def two_samples(reference: DataFrame, current: DataFrame, features: list[str]) -
     return stage(long(reference, 1).unionByName(long(current, 0)), "samples")
 
 
-def psi(samples: DataFrame, bins: int = 10, min_values: int = 10) -> DataFrame:
+def _by_feature():
+    """A function for the tasks, nested so that it travels with them."""
+
+    def parts(batch):
+        """``(feature, values, is_ref)`` of a batch; one zero only."""
+        codes = batch.column("feature").dictionary_encode()
+        at, value = codes.indices.to_numpy(), batch.column("value").to_numpy(zero_copy_only=False) + 0.0
+        ref = batch.column("is_ref").to_numpy(zero_copy_only=False) == 1
+        for i, name in enumerate(codes.dictionary.to_pylist()):
+            own = at == i
+            yield name, value[own], ref[own]
+
+    return parts
+
+
+def _counted(samples: DataFrame, bins: dict[str, np.ndarray], place) -> DataFrame:
+    """``(feature, bin, r, k)``: values of both samples in each bin, added up inside the tasks;
+    ``place(edges, values)`` finds the bins, from 0 to the number of edges."""
+    parts = _by_feature()
+
+    def count(batches):
+        found = {f: np.zeros((2, len(e) + 1), "int64") for f, e in bins.items()}
+        for batch in batches:
+            for f, v, ref in parts(batch):
+                if f in bins:
+                    at = place(bins[f], v)
+                    found[f][0] += np.bincount(at[ref], minlength=len(bins[f]) + 1)
+                    found[f][1] += np.bincount(at[~ref], minlength=len(bins[f]) + 1)
+        for f, (r, k) in found.items():
+            yield pa.RecordBatch.from_pydict({"feature": pa.array([f] * len(r)), "bin": pa.array(np.arange(len(r), dtype="int32")), "r": r, "k": k})
+
+    return samples.mapInArrow(count, "feature string, bin int, r long, k long").groupBy("feature", "bin").agg(F.sum("r").alias("r"), F.sum("k").alias("k"))
+
+
+class Profile:
+    """Exact places of the values of two samples, by slices between approximate cut points.
+
+    Cut points (at most ``STEPS`` a feature) and slice counts reach the driver.  The values cross
+    one shuffle, packed by slice; equal ones are counted before, so copies do not pile up.  Each
+    slice gives its largest distance of the two distributions and the reference's order
+    statistics at the edges of ``bins`` quantile bins.
+    """
+
+    def __init__(self, samples: DataFrame, bins: int = 10, slice_rows: int = SLICE_ROWS, flush: int = 1_000_000):
+        self.samples, self.bins = samples, bins
+        steps = F.percentile_approx("value", F.lit([i / STEPS for i in range(1, STEPS)]), F.lit(4 * STEPS))
+        seen = samples.groupBy("feature").agg(F.sum("is_ref").alias("n"), F.sum(1 - c("is_ref")).alias("m"), steps.alias("q")).collect()
+        self.sizes = sizes = {x.feature: (x.n, x.m) for x in seen}
+        pieces = {x.feature: min(STEPS, -(-(x.n + x.m) // slice_rows)) for x in seen}
+        cuts = {x.feature: np.unique(np.array([x.q[i * STEPS // pieces[x.feature] - 1] for i in range(1, pieces[x.feature])], "float64") + 0.0) for x in seen}
+        place = lambda e, v: np.searchsorted(e, v, "left")
+        before: dict = {}
+        total = {f: (0, 0) for f in cuts}
+        for x in _counted(samples, cuts, place).orderBy("feature", "bin").collect():
+            before[x.feature, x.bin] = total[x.feature]
+            total[x.feature] = total[x.feature][0] + x.r, total[x.feature][1] + x.k
+        parts = _by_feature()
+
+        def pack(batches):
+            held: dict = {}
+
+            def emptied():
+                for f, pieces in held.items():
+                    v, at = np.unique(np.concatenate([p[0] for p in pieces]), return_inverse=True)
+                    r = np.bincount(at, np.concatenate([p[1] for p in pieces]), len(v)).astype("int64")
+                    k = np.bincount(at, minlength=len(v)) - r
+                    bounds = np.searchsorted(v, cuts[f], "right")  # a slice ends with its cut point
+                    for i, (x, y) in enumerate(zip([0, *bounds], [*bounds, len(v)], strict=True)):
+                        if x < y:
+                            yield f, i, v[x:y].tobytes(), r[x:y].tobytes(), k[x:y].tobytes()
+                held.clear()
+
+            def batch_of(rows):
+                kinds = (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+                return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["feature", "slice", "v", "r", "k"])
+
+            n = 0
+            for batch in batches:
+                for f, v, ref in parts(batch):
+                    held.setdefault(f, []).append((v, ref))
+                n += batch.num_rows
+                if n >= flush:
+                    yield batch_of(list(emptied()))
+                    n = 0
+            if n:
+                yield batch_of(list(emptied()))
+
+        def measure(key, table):
+            f, i = key[0].as_py(), key[1].as_py()
+            read = lambda x, t: np.concatenate([np.frombuffer(b, t) for b in table.column(x).to_pylist()])
+            v, at = np.unique(read("v", "float64"), return_inverse=True)
+            (r0, k0), (n, m) = before[f, i], sizes[f]
+            r = r0 + np.cumsum(np.bincount(at, read("r", "int64"), len(v)).astype("int64"))
+            k = k0 + np.cumsum(np.bincount(at, read("k", "int64"), len(v)).astype("int64"))
+            gap = float(np.abs(r / n - k / m).max()) if n and m else None
+            ranks = {min(int((n - 1) * (j / bins)) + s, n) for j in range(bins + 1) for s in (1, 2)} if n else set()
+            own = sorted(p for p in ranks if r0 < p <= r[-1])
+            return pa.table({"feature": [f], "gap": pa.array([gap], pa.float64()), "at": pa.array([own], pa.list_(pa.int64())),
+                             "value": pa.array([v[np.searchsorted(r, own, "left")] if own else []], pa.list_(pa.float64()))})
+
+        packed = samples.mapInArrow(pack, "feature string, slice int, v binary, r binary, k binary")
+        self.slices = stage(packed.groupBy("feature", "slice").applyInArrow(measure, "feature string, gap double, at array<bigint>, value array<double>"), "profile")
+
+    def edges(self) -> dict[str, np.ndarray]:
+        """Distinct linear-interpolated quantiles of the reference, for features that have one."""
+        values: dict = {}
+        for x in self.slices.where(F.size("at") > 0).collect():
+            values.setdefault(x.feature, {}).update(zip(x.at, x.value, strict=True))
+        out = {}
+        for f, at in values.items():
+            n, edges = self.sizes[f][0], []
+            for j in range(self.bins + 1):
+                h = (n - 1) * (j / self.bins)
+                lo, hi = at[int(h) + 1], at[min(int(h) + 2, n)]
+                edges.append(lo + (hi - lo) * (h - int(h)))
+            out[f] = np.unique(np.array(edges) + 0.0)
+        return out
+
+
+def psi(samples: DataFrame, bins: int = 10, min_values: int = 10, profile: Profile | None = None) -> DataFrame:
     """Population stability index per feature over the reference's quantile bins.
 
     Equal edges merge; fewer than three edges or too few values give 0.  Values outside
     the reference range are dropped, the last bin is closed.
     """
-    levels = {f"q{i}": i / bins for i in range(bins + 1)}
-    edges = quantiles(samples.where("is_ref = 1"), ["feature"], "value", levels).select(
-        "feature", F.array_distinct(F.array(*levels)).alias("edges"))
-    df = samples.join(edges, "feature")
-    last = F.size("edges") - 1
-    at = F.expr("size(filter(edges, e -> e <= value))")
-    binned = df.withColumn("bin", F.when(c("value") == F.element_at("edges", -1), last).otherwise(at))
-    inside = (c("bin") >= 1) & (c("bin") <= last) & (c("value") <= F.element_at("edges", -1))
-    counts = binned.groupBy("feature", "edges").agg(
-        F.sum("is_ref").alias("n_ref"), F.sum(1 - c("is_ref")).alias("n_cur"),
-        F.sum(F.when(inside, c("is_ref"))).alias("in_ref"), F.sum(F.when(inside, 1 - c("is_ref"))).alias("in_cur"))
-    per_bin = binned.where(inside).groupBy("feature", "bin").agg(
-        F.sum("is_ref").alias("r"), F.sum(1 - c("is_ref")).alias("k"))
-    grid = counts.withColumn("bin", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("edges") - 1)))).join(
-        per_bin, ["feature", "bin"], "left")
+    profile = profile or Profile(samples, bins)
+    edges = profile.edges()
+
+    def place(e, v):
+        at = np.searchsorted(e, v, "right")
+        return np.where(v == e[-1], len(e) - 1, np.where(v > e[-1], 0, at))
+
+    sizes = [(f, len(e), *profile.sizes[f]) for f, e in edges.items()]
+    features = samples.sparkSession.createDataFrame(sizes, "feature string, n_edges int, n_ref long, n_cur long")
+    per_bin = stage(_counted(samples, edges, place).where("bin > 0"), "bins")
+    inside = per_bin.groupBy("feature").agg(F.sum("r").alias("in_ref"), F.sum("k").alias("in_cur"))
+    grid = features.join(inside, "feature", "left").withColumn(
+        "bin", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), c("n_edges") - 1)))).join(per_bin, ["feature", "bin"], "left")
     share = lambda n, total: F.greatest(F.coalesce(c(n), F.lit(0)) / F.greatest(F.coalesce(c(total), F.lit(0)), F.lit(1)), F.lit(1e-6))
     r, k = share("r", "in_ref"), share("k", "in_cur")
-    usable = (F.max("n_ref") >= min_values) & (F.max("n_cur") >= min_values) & (F.max(F.size("edges")) >= 3)
+    usable = (F.max("n_ref") >= min_values) & (F.max("n_cur") >= min_values) & (F.max("n_edges") >= 3)
     return grid.groupBy("feature").agg(
         F.max("n_ref").alias("n_ref"), F.max("n_cur").alias("n_cur"),
         F.when(usable, F.sum((k - r) * F.ln(k / r))).otherwise(0.0).alias("psi"))
@@ -57,17 +177,18 @@ def kolmogorov_p(d: Column, n: Column, m: Column) -> Column:
     return F.when(t < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), series)))
 
 
-def ks_test(samples: DataFrame) -> DataFrame:
+def ks_test(samples: DataFrame, profile: Profile | None = None) -> DataFrame:
     """Largest distance of the two empirical distributions per feature, and its p-value."""
-    pos = ordered_counts(samples, ["feature"], "value", r=F.sum("is_ref"), k=F.sum(1 - c("is_ref")))
-    gap = F.abs(c("cum_r") / nz(c("total_r").cast("double")) - c("cum_k") / nz(c("total_k").cast("double")))
-    g = pos.groupBy("feature").agg(F.max(gap).alias("ks_statistic"), F.max("total_r").alias("n"), F.max("total_k").alias("m"))
+    profile = profile or Profile(samples)
+    sizes = samples.sparkSession.createDataFrame([(f, *nm) for f, nm in profile.sizes.items()], "feature string, n long, m long")
+    g = profile.slices.groupBy("feature").agg(F.max("gap").alias("ks_statistic")).join(F.broadcast(sizes), "feature")
     return g.select("feature", "ks_statistic", kolmogorov_p(c("ks_statistic"), c("n"), c("m")).alias("ks_pvalue"))
 
 
 def feature_drift(reference: DataFrame, current: DataFrame, features: list[str], min_samples: int = 30, psi_limit: float = 0.2, p_limit: float = 0.05) -> DataFrame:
     samples = two_samples(reference, current, features)
-    df = psi(samples).join(ks_test(samples), "feature").where((c("n_ref") >= min_samples) & (c("n_cur") >= min_samples))
+    profile = Profile(samples)
+    df = psi(samples, profile=profile).join(ks_test(samples, profile), "feature").where((c("n_ref") >= min_samples) & (c("n_cur") >= min_samples))
     bad = (c("psi") > psi_limit) | (c("ks_pvalue") < p_limit)
     return df.select("feature", "psi", "ks_statistic", "ks_pvalue", bad.alias("drifted"),
                      F.when(c("psi") > psi_limit, "CRITICAL").when(bad, "WARNING").otherwise("OK").alias("severity"))
