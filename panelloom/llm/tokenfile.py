@@ -386,16 +386,19 @@ def _times(matrix: list[int], vector: int) -> int:
     return total
 
 
+_MOVES = [[0xEDB88320, *[1 << i for i in range(31)]]]  # matrices of 1, 2, 4 ... zero bits
+
+
 def join_crc(first: int, second: int, second_bytes: int) -> int:
     """crc32 of two byte runs laid end to end, from their own: the first is moved on by as
-    many zero bytes as the second has, by squaring the matrix of one zero bit."""
-    move = [0xEDB88320, *[1 << i for i in range(31)]]
-    bits = second_bytes * 8
+    many zero bytes as the second has.  The matrix of one zero bit is squared once for all."""
+    bits, power = second_bytes * 8, 0
     while bits:
+        while power >= len(_MOVES):
+            _MOVES.append([_times(_MOVES[-1], m) for m in _MOVES[-1]])
         if bits & 1:
-            first = _times(move, first)
-        move = [_times(move, m) for m in move]
-        bits >>= 1
+            first = _times(_MOVES[power], first)
+        bits, power = bits >> 1, power + 1
     return first ^ second
 
 

@@ -272,3 +272,12 @@ def test_mixture_of_repeated_and_missing_ids(spark, odd):
             key = (r.doc_id, r.source)
             got[key] = (got.get(key, (0, 0))[0] + 1, got.get(key, (0, 0))[1] + len(re.findall(r"[^ \t-\r]+", r.text or "")))
         assert got == {k: v for k, v in plan.items() if v[0]}
+
+
+def test_joining_checksums_squares_no_matrix_twice(monkeypatch):
+    a, b = bytes(range(64)), bytes(16384)
+    tokenfile.join_crc(zlib.crc32(a), zlib.crc32(b), len(b))
+    calls, times = [], tokenfile._times
+    monkeypatch.setattr(tokenfile, "_times", lambda m, v: calls.append(1) or times(m, v))
+    assert tokenfile.join_crc(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+    assert len(calls) <= 32
