@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelloom.functions import Frames, column_quantiles, rank_columns, stage, with_stats
@@ -92,11 +95,34 @@ def drop_correlated(df: DataFrame, features: list[str], threshold: float = 0.6)
 
 def own_history_zscore(df: DataFrame, features: list[str], low=0.01, high=0.99, epsilon=1e-6) -> DataFrame:
     """Winsorize on the instrument's whole history, then rolling z-score (252 rows, 60 needed)."""
-    whole, fr = Window.partitionBy("ticker"), Frames()
-    rest = [x for x in df.columns if x not in features]
-    cuts = {f"__{q}_{f}": F.percentile(f, F.lit(v)).over(whole) for f in features for q, v in (("lo", low), ("hi", high))}
-    clip = lambda f: F.when(c(f).isNotNull(), F.least(F.greatest(c(f), c(f"__lo_{f}")), c(f"__hi_{f}")))
-    df = df.withColumns(cuts).withColumns({f"__c_{f}": clip(f) for f in features})
+    fr, rest = Frames(), [x for x in df.columns if x not in features]
+    df = df.select(*rest, *[c(f).cast("double").alias(f) for f in features])
     z = lambda x: (c(x) - fr.roll(F.avg, x, 252, 60)) / (fr.roll(F.stddev_samp, x, 252, 60) + epsilon)
-    return fr.add(df, {f"__z_{f}": z(f"__c_{f}") for f in features}).select(
+    return fr.add(_clipped(df, features, low, high), {f"__z_{f}": z(f) for f in features}).select(
         *rest, *[c(f"__z_{f}").alias(f) for f in features])
+
+
+def _clipped(df: DataFrame, features: list[str], low: float, high: float) -> DataFrame:
+    """Columns clipped at their quantiles over the instrument's rows: an instrument's history
+    is one Arrow table, bounded by the calendar.  NaN is the greatest value, as in Spark."""
+
+    def level(x, q):
+        h = (len(x) - 1) * q
+        k, up = math.floor(h), math.ceil(h)
+        return x[k] if k == up or x[k] == x[up] else (up - h) * x[k] + (h - k) * x[up]
+
+    def clip(table):
+        for f in features:
+            column = table.column(f).combine_chunks()
+            x = column.drop_null().to_numpy(zero_copy_only=False)
+            if not len(x):
+                continue
+            s = np.sort(x)
+            lo, hi = level(s, low), level(s, high)
+            x = np.where((x > lo) | np.isnan(x), x, lo)
+            has, out = column.is_valid().to_numpy(zero_copy_only=False), np.zeros(len(column))
+            out[has] = np.where((x < hi) | np.isnan(hi), x, hi)
+            table = table.set_column(table.column_names.index(f), f, pa.array(out, mask=~has))
+        return table
+
+    return df.groupBy("ticker").applyInArrow(clip, df.schema)
