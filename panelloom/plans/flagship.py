@@ -22,7 +22,7 @@ def research_run(t: Tables, ks: list[int], cfg: backtest.Config = backtest.Confi
     scores = stage(percent_rank(blend, ["date"], "blend", "score").select("date", "ticker", "score"), "scores")
     weights = stage(top_k_schedule(scores, ks), "weights")
     returns = features.prepare(panel, None).select("date", "ticker", F.col("_ret").alias("ret")).where("ret is not null")
-    daily = stage(backtest.run(weights, returns, calendar(panel), None, universe.traded_value(panel), cfg), "daily")
+    daily = stage(backtest.run(weights, returns, calendar(panel), None, universe.traded_value(panel, names=weights), cfg), "daily")
     return {
         "scores": scores, "weights": weights, "daily": daily, "metrics": backtest.full_metrics(daily, None, cfg),
         "rolling": backtest.rolling_metrics(daily, cfg), "monthly": backtest.monthly_returns(daily),

@@ -22,7 +22,7 @@ def exposure(t):
 
 @staged
 def backtest_daily(t: Tables):
-    return backtest.run(t.weights(), t.close_returns(), calendar(t.panel()), exposure(t), universe.traded_value(t.panel()), CFG)
+    return backtest.run(t.weights(), t.close_returns(), calendar(t.panel()), exposure(t), universe.traded_value(t.panel(), names=t.weights()), CFG)
 
 
 @query("portfolio_schedule", fin("portfolio_id:i rebal_date:d ticker:k weight", "SELECT * FROM weights"))
@@ -53,7 +53,7 @@ def _(t):
 @query("backtest_daily", fin(f"{PD} gross scalar turnover fixed_cost impact_cost net equity:2 drawdown", "SELECT * FROM bt"))
 def _(t):
     cal = calendar(t.panel())
-    return backtest.run(t.weights(), t.close_returns(), cal, exposure(t), universe.traded_value(t.panel()), CFG).withColumn("equity", tidy("equity", 2))
+    return backtest.run(t.weights(), t.close_returns(), cal, exposure(t), universe.traded_value(t.panel(), names=t.weights()), CFG).withColumn("equity", tidy("equity", 2))
 
 
 SUM = """SELECT *, cagr / nullif(abs(max_drawdown), 0) AS calmar_ratio FROM (SELECT portfolio_id,
@@ -191,7 +191,7 @@ STRESS = {
     SELECT *, sharpe >= 0.8 AS resilient FROM (SELECT portfolio_id, scenario, count(*) AS n_days,
       CASE WHEN count(*) >= 30 AND stddev_samp(net) > 0 THEN avg(net) / stddev_samp(net) * sqrt(252.0) ELSE 0 END AS sharpe FROM sn GROUP BY 1, 2)""", STRESS))
 def _(t):
-    return backtest.stress_tests(t.weights(), t.close_returns(), calendar(t.panel()), exposure(t), universe.traded_value(t.panel()), CRASH)
+    return backtest.stress_tests(t.weights(), t.close_returns(), calendar(t.panel()), exposure(t), universe.traded_value(t.panel(), names=t.weights()), CRASH)
 
 
 @query("backtest_high_vol_regime", fin("portfolio_id:i n_days:i sharpe", f"""
@@ -209,7 +209,7 @@ def _(t):
     """Eight threshold checks over evaluation, backtest, sub-periods and stress, with the verdict."""
     ic = stage(alpha.daily_ic(t.scores(), t.panel(), [21], 5, calendar_shift=False), "ic")
     daily = backtest_daily(t)
-    stress = backtest.stress_tests(t.weights(), t.close_returns(), calendar(t.panel()), exposure(t), universe.traded_value(t.panel()), CRASH)
+    stress = backtest.stress_tests(t.weights(), t.close_returns(), calendar(t.panel()), exposure(t), universe.traded_value(t.panel(), names=t.weights()), CRASH)
     met = stress.groupBy("portfolio_id").agg(F.min("resilient").alias("stress_ok"))
     periods = alpha.sub_period_ic(ic, [("early", "1995-01-01", "1996-12-31"), ("middle", "1997-01-01", "1999-12-31"), ("late", "2000-01-01", "2001-12-31")])
     stable = periods.agg((F.sum(c("profitable").cast("int")) >= 2).alias("periods_ok"))

@@ -19,12 +19,13 @@ W = f"{K} ticker:k weight"
 
 def adv_at(t):
     """Traded value of selected names on the rebalance date."""
-    return universe.traded_value(t.panel()).withColumnRenamed("date", "rebal_date")
+    return universe.traded_value(t.panel(), names=t.weights()).withColumnRenamed("date", "rebal_date")
 
 
 def betas(t):
-    """Market beta of every instrument over its whole history."""
-    j = t.close_returns().join(t.market(), "date")
+    """Market beta, over its whole history, of every instrument that a portfolio holds."""
+    held = t.weights().select("ticker").distinct()
+    j = t.close_returns().join(held, "ticker", "left_semi").join(t.market(), "date")
     return j.groupBy("ticker").agg((F.covar_samp("ret", "mkt_ret") / F.nullif(F.var_samp("mkt_ret"), F.lit(0.0))).alias("beta"))
 
 

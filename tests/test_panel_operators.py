@@ -191,3 +191,29 @@ def test_point_in_time_universe(spark, panel):
     got = collect(universe.members_at(panel, snaps).groupBy("ticker").agg(F.min("date").alias("first")), "ticker")
     assert got["ticker"].tolist() == ["AAA", "BBB"]
     assert str(got["first"][1]) == "2022-07-01"
+
+
+def test_traded_value_of_some_names_is_theirs_in_the_whole_panel(spark, panel):
+    names = spark.createDataFrame([("BBB",), ("BBB",), ("DDD",), (None,), ("none",)], "ticker string")
+    whole = universe.traded_value(panel).where(F.col("ticker").isin("BBB", "DDD"))
+    some = universe.traded_value(panel, names=names)
+    pd.testing.assert_frame_equal(collect(some, "ticker", "date"), collect(whole, "ticker", "date"))
+
+
+def test_own_history_is_clipped_without_a_window_of_percentiles(spark):
+    g = np.random.default_rng(3)
+    rows = pd.DataFrame({"date": np.tile(pd.bdate_range("2020-01-01", periods=90).date, 3), "ticker": np.repeat(["A", "B", None], 90), "x": g.standard_t(2, 270)})
+    rows.loc[::7, "x"] = None
+    rows["y"] = np.nan
+    df = spark.createDataFrame(rows.astype(object).where(rows.notna(), None).values.tolist(), "date date, ticker string, x double, y double")
+    got = xsection.own_history_zscore(df, ["x", "y"])
+    assert "percentile" not in got._jdf.queryExecution().toString()
+    got = collect(got.withColumn("ticker", F.coalesce("ticker", F.lit("~"))), "ticker", "date")
+    rows["ticker"] = rows["ticker"].fillna("~")
+    rows = rows.sort_values(["ticker", "date"]).reset_index(drop=True)
+    by = lambda x: x.groupby(rows["ticker"])
+    cut = rows["x"].clip(by(rows["x"]).transform(lambda s: s.quantile(0.01)), by(rows["x"]).transform(lambda s: s.quantile(0.99)))
+    roll = by(cut).rolling(252, min_periods=60)
+    want = (cut - roll.mean().reset_index(drop=True)) / (roll.std().reset_index(drop=True) + 1e-6)
+    np.testing.assert_allclose(got["x"].astype(float), want, atol=1e-9)
+    assert want.notna().any() and got["y"].isna().all()

@@ -171,3 +171,41 @@ def test_cvar_not_below_var_and_effective_names(setup, panel):
     assert (v["cvar_95"] >= v["var_95"] - 1e-12).all()
     c = risk.concentration(weights).toPandas()
     np.testing.assert_allclose(c["effective_n"], c["portfolio_id"])
+
+
+def test_row_shift_reads_later_rows_without_a_second_join(panel, panel_pd):
+    scores = panel.select("date", "ticker", F.col("volume").alias("score")).where("day(date) % 2 = 0")
+    got = alpha.forward_pairs(scores, panel.withColumn("close", F.when(F.col("close") > 95, F.col("close"))), [1, 21], calendar_shift=False)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    p = panel_pd[panel_pd["close"] > 95].sort_values(["ticker", "date"])
+    want = pd.concat([p.assign(horizon=h, fwd=p.groupby("ticker")["close"].shift(-h) / p["close"] - 1) for h in (1, 21)])
+    want = want[want["fwd"].notna() & pd.to_datetime(want["date"]).dt.day.mod(2).eq(0)].sort_values(["horizon", "ticker", "date"])
+    got = collect(got, "horizon", "ticker", "date")
+    assert len(got) == len(want) and list(got["ticker"]) == list(want["ticker"])
+    np.testing.assert_allclose(got["fwd"], want["fwd"])
+
+
+def test_only_held_names_are_rolled_over_for_traded_value_and_beta(spark):
+    from panelloom.plans import q_risk
+
+    class Given:
+        def __init__(self, spark):
+            days = pd.bdate_range("2020-01-01", periods=30).date
+            self.rows = spark.createDataFrame(pd.DataFrame({
+                "date": np.tile(days, 3), "ticker": np.repeat(["A", "B", "C"], 30), "close": 10.0, "volume": 5.0, "ret": np.random.default_rng(1).normal(size=90)}))
+
+        def panel(self):
+            return self.rows.select("date", "ticker", "close", "volume")
+
+        def close_returns(self):
+            return self.rows.select("date", "ticker", "ret")
+
+        def market(self):
+            return self.rows.groupBy("date").agg(F.avg("ret").alias("mkt_ret"))
+
+        def weights(self):
+            return self.rows.where("ticker = 'B'").select(F.lit(1).alias("portfolio_id"), F.col("date").alias("rebal_date"), "ticker", F.lit(1.0).alias("weight"))
+
+    t = Given(spark)
+    for table in (q_risk.adv_at(t), q_risk.betas(t)):
+        assert [r.ticker for r in table.select("ticker").distinct().collect()] == ["B"]
