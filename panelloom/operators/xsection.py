@@ -98,11 +98,11 @@ def own_history_zscore(df: DataFrame, features: list[str], low=0.01, high=0.99,
     fr, rest = Frames(), [x for x in df.columns if x not in features]
     df = df.select(*rest, *[c(f).cast("double").alias(f) for f in features])
     z = lambda x: (c(x) - fr.roll(F.avg, x, 252, 60)) / (fr.roll(F.stddev_samp, x, 252, 60) + epsilon)
-    return fr.add(_clipped(df, features, low, high), {f"__z_{f}": z(f) for f in features}).select(
+    return fr.add(_clipped_history(df, features, low, high), {f"__z_{f}": z(f) for f in features}).select(
         *rest, *[c(f"__z_{f}").alias(f) for f in features])
 
 
-def _clipped(df: DataFrame, features: list[str], low: float, high: float) -> DataFrame:
+def _clipped_history(df: DataFrame, features: list[str], low: float, high: float) -> DataFrame:
     """Columns clipped at their quantiles over the instrument's rows: an instrument's history
     is one Arrow table, bounded by the calendar.  NaN is the greatest value, as in Spark."""
 
