@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelloom.functions import Frames, nz
 
@@ -123,9 +126,51 @@ def top_drivers(attributions: DataFrame, keys: list[str], n: int = 5) -> DataFra
     return attributions.where("value is not null").withColumn("rank", F.row_number().over(w)).where(c("rank") <= n)
 
 
-def explain_predictions(predictions: DataFrame, attributions: DataFrame, keys: list[str], n: int = 5) -> DataFrame:
+def _drivers(attributions: DataFrame, keys: list[str], n: int, features: list[str] | None) -> DataFrame:
+    """One row per key with its drivers in order: rank, feature, value, impact.
+
+    Contributions held in columns are ranked row by row inside the tasks; a row without any
+    has null drivers.
+    """
+    if features is None:
+        impact = F.when(c("value") > 0, "positive").otherwise("negative")
+        own = top_drivers(attributions, keys, n).withColumn("impact", impact)
+        return own.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rank", "feature", "value", "impact"))).alias("drivers"))
+    names = sorted(features)
+    kept = attributions.select(*keys)
+    one = T.StructType().add("rank", T.IntegerType()).add("feature", T.StringType()).add("value", T.DoubleType()).add("impact", T.StringType())
+    schema = T.StructType([*kept.schema.fields, T.StructField("drivers", T.ArrayType(one))])
+
+    def run(batches):
+        for batch in batches:
+            has = np.column_stack([batch.column(f).is_valid().to_numpy(zero_copy_only=False) for f in names])
+            value = np.column_stack([batch.column(f).fill_null(0.0).to_numpy(zero_copy_only=False) for f in names])
+            value[np.isnan(value)] = np.nan
+            # Bits of sizes rise with them, NaN above all; a stable sort leaves ties in the order of names.
+            order = np.argsort(np.where(has, -np.abs(value).view(np.int64), 1), axis=1, kind="stable")[:, :n]
+            counts = np.minimum(has.sum(axis=1), n)
+            some = np.arange(order.shape[1]) < counts[:, None]
+            v = np.take_along_axis(value, order, axis=1)[some]
+            rank = np.broadcast_to(np.arange(1, order.shape[1] + 1, dtype=np.int32), order.shape)[some]
+            told = pa.array(["negative", "positive"]).take(pa.array((v > 0) | np.isnan(v)).cast(pa.int8()))
+            parts = [pa.array(rank), pa.array(names).take(pa.array(order[some])), pa.array(v), told]
+            offsets = np.zeros(len(counts) + 1, np.int32)
+            np.cumsum(counts, out=offsets[1:])
+            lists = pa.ListArray.from_arrays(
+                pa.array(offsets, mask=np.append(counts == 0, False)), pa.StructArray.from_arrays(parts, [f.name for f in one.fields]))
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], lists], names=schema.names)
+
+    return attributions.select(*keys, *[c(f).cast("double").alias(f) for f in names]).mapInArrow(run, schema)
+
+
+def explain_predictions(
+    predictions: DataFrame, attributions: DataFrame, keys: list[str], n: int = 5, features: list[str] | None = None
+) -> DataFrame:
     """Direction, stance, main drivers and a sentence for every predicted return.
 
+    ``attributions`` has a row per key and ``feature``, or with ``features`` a row per key
+    that holds them as columns, which are ranked where they stand.
+
     ``predictions`` may hold ``probability`` and an interval ``lower``, ``upper``; the
     sentence tells what is there; figures half-way between two are rounded to the even one.  ``drivers`` lists feature, signed value and impact.
     """
@@ -134,10 +179,7 @@ def explain_predictions(predictions: DataFrame, attributions: DataFrame, keys: l
     much_up, some_up, much_down, some_down, even = map(F.lit, STANCES)
     direction = F.when(s > 0.02, up).when(s < -0.02, down).otherwise(flat)
     stance = F.when(s > 0.05, much_up).when(s > 0.02, some_up).when(s < -0.05, much_down).when(s < -0.02, some_down).otherwise(even)
-    impact = F.when(c("value") > 0, "positive").otherwise("negative")
-    own = top_drivers(attributions, keys, n).withColumn("impact", impact)
-    listed = F.sort_array(F.collect_list(F.struct("rank", "feature", "value", "impact")))
-    drivers = own.groupBy(*keys).agg(listed.alias("drivers"))
+    drivers = _drivers(attributions, keys, n, features)
     drivers = drivers.withColumn("key_drivers", F.array_join(F.transform("drivers", lambda x: x["feature"]), ","))
     part = lambda names, text: F.when(F.concat(*[c(x).cast("string") for x in names]).isNull(), "").otherwise(text) if set(names) <= set(predictions.columns) else F.lit("")
     df = predictions.join(drivers, keys, "left").withColumns({"direction": direction, "stance": stance})
@@ -149,8 +191,21 @@ def explain_predictions(predictions: DataFrame, attributions: DataFrame, keys: l
     return df.withColumn("narrative", told)
 
 
-def attribution_split(attributions: DataFrame, keys: list[str], base: float = 0.0, n: int = 5) -> DataFrame:
-    """Total attribution, final value and the signed drivers among the top ``n``."""
+def attribution_split(
+    attributions: DataFrame, keys: list[str], base: float = 0.0, n: int = 5, features: list[str] | None = None
+) -> DataFrame:
+    """Total attribution, final value and the signed drivers among the top ``n``; ``features``
+    as in :func:`explain_predictions`."""
+    if features is not None:
+        total = sum((F.coalesce(c(f), F.lit(0.0)) for f in features), F.lit(0.0))
+        total = F.when(F.coalesce(*[c(f) for f in features]).isNotNull(), total)
+        own = _drivers(attributions.select("*", total.alias("total_attribution")), [*keys, "total_attribution"], n, features)
+        keyed = F.concat(*[c(k).cast("string") for k in keys]).isNotNull()  # as in the join below
+        named = lambda cond: F.when(keyed, F.array_join(F.transform(F.filter("drivers", cond), lambda x: x["feature"]), ","))
+        return own.select(
+            *keys, "total_attribution", named(lambda x: x["value"] > 0).alias("positive_drivers"),
+            named(lambda x: x["value"] < 0).alias("negative_drivers"),
+        ).withColumn("final_prediction", c("total_attribution") + base)
     total = attributions.groupBy(*keys).agg(F.sum("value").alias("total_attribution"))
     names = lambda cond: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(cond, F.struct("rank", "feature")))), lambda x: x["feature"]), ",")
     signed = top_drivers(attributions, keys, n).groupBy(*keys).agg(

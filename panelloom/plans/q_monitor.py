@@ -336,11 +336,16 @@ ATT = {"att": " UNION ALL ".join(
     "atk": "SELECT *, row_number() OVER (PARTITION BY date, ticker ORDER BY abs(value) DESC, feature) AS rank FROM att WHERE value IS NOT NULL"}
 
 
-def attributions(t):
+def contributions(t):
+    """One row per key, the attribution to each feature in its column."""
     from panelloom.operators import xsection
 
     z = xsection.zscore(t.core().select("date", "ticker", *ATF), ATF)
-    return z.unpivot(AKEYS, ATF, "feature", "value").withColumn("value", c("value") * 0.01)
+    return z.select(*AKEYS, *[(c(f) * 0.01).alias(f) for f in ATF])
+
+
+def attributions(t):
+    return contributions(t).unpivot(AKEYS, ATF, "feature", "value")
 
 
 @query("model_attribution_importance", fin("feature:k mean_abs rank:i", "SELECT *, row_number() OVER (ORDER BY mean_abs DESC, feature) AS rank FROM (SELECT feature, avg(abs(value)) AS mean_abs FROM att GROUP BY 1)", ATT))
@@ -361,15 +366,16 @@ def _(t):
     SELECT date, ticker, x, CASE WHEN x > 0.02 THEN 'BULLISH' WHEN x < -0.02 THEN 'BEARISH' ELSE 'NEUTRAL' END AS direction, CASE WHEN x > 0.05 THEN 'Strong Outperform' WHEN x > 0.02 THEN 'Moderate Outperform' WHEN x < -0.05 THEN 'Strong Underperform' WHEN x < -0.02 THEN 'Moderate Underperform' ELSE 'Market Perform' END AS stance
     FROM (SELECT date, ticker, (score - 0.5) * 0.2 AS x FROM scores)) s LEFT JOIN (SELECT date, ticker, count(*) AS n FROM atk WHERE rank <= 5 GROUP BY 1, 2) a USING (date, ticker)""", ATT))
 def _(t):
+    parts = contributions(t)  # first, so that the scores read the core features made for it
     pred = t.scores().select("date", "ticker", ((c("score") - 0.5) * 0.2).alias("score"))
-    df = insights.explain_predictions(pred, attributions(t), AKEYS)
+    df = insights.explain_predictions(pred, parts, AKEYS, features=ATF)
     return df.select("date", "ticker", "direction", "stance", F.coalesce(F.size(F.split("key_drivers", ",")), F.lit(0)).alias("n_drivers"), "narrative")
 
 
 @query("insight_attribution_split", fin("date:d ticker:k total_attribution final_prediction n_positive:i n_negative:i", """SELECT t.date, t.ticker, total_attribution, total_attribution + 0.5 AS final_prediction, coalesce(p, 0) AS n_positive, coalesce(n, 0) AS n_negative
     FROM (SELECT date, ticker, sum(value) AS total_attribution FROM att GROUP BY 1, 2) t LEFT JOIN (SELECT date, ticker, count(*) FILTER (value > 0) AS p, count(*) FILTER (value < 0) AS n FROM atk WHERE rank <= 5 GROUP BY 1, 2) s USING (date, ticker)""", ATT))
 def _(t):
-    df = insights.attribution_split(attributions(t), AKEYS, base=0.5)
+    df = insights.attribution_split(contributions(t), AKEYS, base=0.5, features=ATF)
     n = lambda x: F.when(F.length(x) > 0, F.size(F.split(x, ","))).otherwise(0)
     return df.select("date", "ticker", "total_attribution", "final_prediction", n(c("positive_drivers")).alias("n_positive"), n(c("negative_drivers")).alias("n_negative"))
 

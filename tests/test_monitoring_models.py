@@ -95,6 +95,19 @@ def test_explanation_tells_what_is_known(spark):
     assert b.narrative == "The model maintains a BEARISH stance (Strong Underperform) on BBB with an expected return of -30.00%." and b.drivers is None
 
 
+def test_contributions_in_columns_are_ranked_in_place(spark):
+    feats = ["b", "a", "c"]
+    rows = [(1, "x", 0.5, -0.5, 0.1), (2, "x", None, 2.0, -3.0), (3, "x", None, None, None), (4, None, 1.0, 0.0, -0.0), (5, "x", float("nan"), 9.0, -9.0)]
+    wide = spark.createDataFrame(rows, "id int, name string, b double, a double, c double")
+    long, keys = wide.unpivot(["id", "name"], feats, "feature", "value"), ["id", "name"]
+    rows = lambda df: sorted(map(repr, df.select(sorted(df.columns)).collect()))
+    plan = insights._drivers(wide, keys, 2, feats)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan and "Window" not in plan
+    pred = wide.select("id", "name", (F.col("id") / 50.0 - 0.05).alias("score"), F.lit("T").alias("ticker"))
+    assert rows(insights.explain_predictions(pred, wide, keys, 2, feats)) == rows(insights.explain_predictions(pred, long, keys, 2))
+    assert rows(insights.attribution_split(wide, keys, 0.5, 2, feats)) == rows(insights.attribution_split(long, keys, 0.5, 2))
+
+
 def test_fold_table_and_conformal(spark, panel):
     folds = collect(models.cv_folds(panel, min_train=10, min_test=10), "fold")
     assert len(folds) == 5 and (folds["train_end"] < folds["test_start"]).all()
