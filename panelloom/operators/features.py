@@ -257,12 +257,16 @@ def compute_families(panel: DataFrame, context: DataFrame | None = None, names:
     return _lagged(df, {x: _WORKING.get(x, x) for x in columns}, ["date", "ticker"])
 
 
-def core_features(panel: DataFrame, context: DataFrame | None = None) -> DataFrame:
+def core_features(panel: DataFrame, context: DataFrame | None = None, only: list[str] | None = None) -> DataFrame:
     """The core feature set: momentum, reversion, liquidity, volatility and quality, lagged.
 
     Every part is lagged where it is read: prices by Spark's windows, frames by
-    ``Frames(lag=True)``.  So rows cross one exchange, before the frames.
+    ``Frames(lag=True)``.  So rows cross one exchange, before the frames.  With ``only``,
+    the frames and columns that no asked feature reads stay out of the exchange.
     """
+    asked = [x for x in CORE_COLUMNS if only is None or x in only]
+    needs = lambda *names: any(x in asked for x in names)
+    paired = needs("residual_momentum", "idiosyncratic_volatility")
     w = by_ticker()
     df = prepare(panel, context)
     has = set(df.columns)
@@ -277,21 +281,29 @@ def core_features(panel: DataFrame, context: DataFrame | None = None) -> DataFra
         "amihud_illiquidity": F.abs("_ret1") / nz(c("_volume") * c("_close")),
         "_paired": c("_known").isNotNull() & (c("_pairs") > 60)})
     fr = Frames(lag=True)
-    sd20, sd60 = fr.roll(F.stddev_samp, "_ret", 20), fr.roll(F.stddev_samp, "_ret", 60)
-    vy, vx = fr.roll(F.var_samp, "_ret", 60), fr.roll(F.var_samp, "_ctx", 60)
-    beta = fr.beta("_ret", "_ctx", 60, only="_pair", held=True, default=1.0) if "_pair" in has else missing()
-    keep = ["date", "ticker", "close", "_close", "_volume", "_ctx21f", "_paired", *reach, "amihud_illiquidity", *[f"_{q}" for q in given]]
-    df = fr.add(df, {
-        "bollinger_distance": (c("_close") - fr.roll(F.avg, "close", 20)) / nz(fr.roll(F.stddev_samp, "close", 20)),
-        "volume_shock": c("_volume") / nz(fr.roll(F.avg, "volume", 20)),
-        "volatility_regime": sd20 / nz(sd60), "_beta1": beta, "_sd20": sd20, "_vy": vy, "_vx": vx,
-    }, keep)
-    # greatest() skips nulls, so an unknown residual variance must stay unknown
-    residual = F.when(c("_vy").isNotNull() & c("_vx").isNotNull() & c("_beta1").isNotNull(), sqrt0(c("_vy") - F.pow(c("_beta1"), 2.0) * c("_vx")))
-    return df.withColumns({
-        "residual_momentum": F.when(c("_paired"), c("return_1m") - c("_beta1") * c("_ctx21f")).otherwise(c("return_1m")),
-        "idiosyncratic_volatility": F.when(c("_paired"), residual).otherwise(c("_sd20")),
-    }).select("date", "ticker", "close", *[c(f"_{x}").alias(x) if x in given else missing().alias(x) if x in ("roe", "roa", "earnings_growth") else c(x) for x in CORE_COLUMNS])
+    keep = {"_close": needs("bollinger_distance"), "_volume": needs("volume_shock"), "_ctx21f": needs("residual_momentum"), "_paired": paired}
+    keep |= {x: needs(x) for x in [*reach, "amihud_illiquidity"]} | {f"_{q}": needs(q) for q in given}
+    keep["return_1m"] |= needs("residual_momentum")
+    framed = {}
+    if needs("bollinger_distance"):
+        framed["bollinger_distance"] = (c("_close") - fr.roll(F.avg, "close", 20)) / nz(fr.roll(F.stddev_samp, "close", 20))
+    if needs("volume_shock"):
+        framed["volume_shock"] = c("_volume") / nz(fr.roll(F.avg, "volume", 20))
+    if needs("volatility_regime"):
+        framed["volatility_regime"] = fr.roll(F.stddev_samp, "_ret", 20) / nz(fr.roll(F.stddev_samp, "_ret", 60))
+    if paired:
+        framed["_beta1"] = fr.beta("_ret", "_ctx", 60, only="_pair", held=True, default=1.0) if "_pair" in has else missing()
+    if needs("idiosyncratic_volatility"):
+        framed |= {"_sd20": fr.roll(F.stddev_samp, "_ret", 20), "_vy": fr.roll(F.var_samp, "_ret", 60), "_vx": fr.roll(F.var_samp, "_ctx", 60)}
+    df = fr.add(df, framed, ["date", "ticker", "close", *[k for k, read in keep.items() if read]])
+    if needs("residual_momentum"):
+        df = df.withColumn("residual_momentum", F.when(c("_paired"), c("return_1m") - c("_beta1") * c("_ctx21f")).otherwise(c("return_1m")))
+    if needs("idiosyncratic_volatility"):
+        # greatest() skips nulls, so an unknown residual variance must stay unknown
+        residual = F.when(c("_vy").isNotNull() & c("_vx").isNotNull() & c("_beta1").isNotNull(), sqrt0(c("_vy") - F.pow(c("_beta1"), 2.0) * c("_vx")))
+        df = df.withColumn("idiosyncratic_volatility", F.when(c("_paired"), residual).otherwise(c("_sd20")))
+    return df.select("date", "ticker", "close", *[
+        c(f"_{x}").alias(x) if x in given else missing().alias(x) if x in ("roe", "roa", "earnings_growth") else c(x) for x in asked])
 
 
 # Core feature names, those ranked in descending order, and their families.

@@ -129,12 +129,20 @@ class Tables:
 
         return core_features(self.panel(), self.market().withColumnRenamed("mkt_ret", "ctx_ret"))
 
+    @staged
+    def distance(self) -> DataFrame:
+        """The core feature that :meth:`scores` ranks; no other one is computed for it."""
+        from panelloom.operators.features import core_features
+
+        return core_features(self.panel(), only=["bollinger_distance"]).select("date", "ticker", "bollinger_distance")
+
     @staged
     def scores(self) -> DataFrame:
         """Cross-sectional percentile rank of the lagged Bollinger distance."""
         from panelloom.functions import percent_rank
 
-        feature = self.core().select("date", "ticker", "bollinger_distance").dropna()
+        core_made = (self.spark.sparkContext.applicationId, self.path, "core") in _STAGED
+        feature = (self.core() if core_made else self.distance()).select("date", "ticker", "bollinger_distance").dropna()
         return percent_rank(feature, ["date"], "bollinger_distance", "score").select("date", "ticker", "score")
 
     @staged

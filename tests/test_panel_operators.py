@@ -27,6 +27,16 @@ def test_core_momentum_matches_pandas(panel, panel_pd):
     np.testing.assert_allclose(got["residual_momentum"], want.to_numpy(), atol=1e-12)
 
 
+def test_single_core_features_equal_the_whole_set(panel):
+    market = panel.groupBy("date").agg(F.avg(F.col("close") / F.col("open") - 1.0).alias("ctx_ret"))
+    for context in (market, None):
+        whole = collect(features.core_features(panel, context), "ticker", "date")
+        for some in (["bollinger_distance"], ["residual_momentum", "volume_shock"], ["idiosyncratic_volatility"], ["amihud_illiquidity", "volatility_regime", "roe"]):
+            got = collect(features.core_features(panel, context, some), "ticker", "date")
+            pd.testing.assert_frame_equal(got, whole[got.columns], check_exact=True)
+            assert set(got.columns) == {"date", "ticker", "close", *some}
+
+
 def test_cross_section_does_not_depend_on_slices(spark, panel, monkeypatch):
     feats = ["return_5d", "volume_shock"]
     df = features.core_features(panel).select("date", "ticker", *feats).cache()
