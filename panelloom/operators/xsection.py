@@ -37,9 +37,9 @@ def zscore(df: DataFrame, features: list[str], zero_sd: float = 1e-6) -> DataFra
         aggs |= {f"__m_{f}": F.avg(f), f"__s_{f}": F.stddev_samp(f)}
     sd = lambda f: F.when(c(f"__s_{f}") == 0.0, F.lit(zero_sd)).otherwise(c(f"__s_{f}"))
     rest = [x for x in df.columns if x not in features]
-    return with_stats(df, ["date"], **aggs).select(
-        *rest, *[((c(f) - c(f"__m_{f}")) / sd(f)).alias(f) for f in features]
-    )
+    # One row per date, staged: Spark sees its true size and need not move the rows to join it.
+    stats = stage(df.groupBy("date").agg(*[v.alias(k) for k, v in aggs.items()]), "moments")
+    return df.join(stats, "date", "left").select(*rest, *[((c(f) - c(f"__m_{f}")) / sd(f)).alias(f) for f in features])
 
 
 def neutralize(df: DataFrame, features: list[str], sectors: DataFrame) -> DataFrame:

@@ -37,6 +37,17 @@ def test_single_core_features_equal_the_whole_set(panel):
             assert set(got.columns) == {"date", "ticker", "close", *some}
 
 
+def test_zscore_joins_moments_without_moving_rows(spark, panel):
+    df = panel.select("date", "ticker", "close", "volume")
+    z = xsection.zscore(df, ["close", "volume"])
+    plan = z._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    p = df.toPandas()
+    by = p.groupby("date")["close"]
+    want = ((p["close"] - by.transform("mean")) / by.transform("std")).sort_values().to_numpy()
+    np.testing.assert_allclose(np.sort(z.toPandas()["close"].to_numpy()), want, atol=1e-12)
+
+
 def test_cross_section_does_not_depend_on_slices(spark, panel, monkeypatch):
     feats = ["return_5d", "volume_shock"]
     df = features.core_features(panel).select("date", "ticker", *feats).cache()
