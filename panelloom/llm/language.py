@@ -183,7 +183,8 @@ class _Grams:
         last_word = np.where(grams[:, 2] < 0, grams[:, 1], grams[:, 2])
         other = np.where(grams[:, 2] < 0, -1, grams[:, 1])
         h = (grams[:, 0] * -7046029254386353131 + other * -4658895280553007687 + (last_word >> 6)).astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
-        shard = ((h ^ (h >> np.uint64(31))) % np.uint64(n_shards)).astype(np.int64)
+        # Sixteen bits, where they do, are sorted by their digits.
+        shard = ((h ^ (h >> np.uint64(31))) % np.uint64(n_shards)).astype(np.uint16 if n_shards <= 1 << 16 else np.int64)
         self.order = np.argsort(shard, kind="stable")  # by words within a shard, bigrams first
         self.borders = np.searchsorted(shard[self.order], np.arange(n_shards + 1))
         self.grams, self.counts, self.n_bigrams = grams, np.concatenate([n_two, n_three]), len(key)
@@ -208,6 +209,22 @@ def _unsteps(first: np.ndarray, second: np.ndarray, third: np.ndarray) -> np.nda
     return np.column_stack([np.concatenate([np.cumsum(first[:cut]), np.cumsum(first[cut:])]), second, third - 1])
 
 
+def _side_by_side(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of n-grams by their words, and where a new one begins in it."""
+    new = np.ones(len(grams), bool)
+    widths = [int(x).bit_length() for x in grams.max(axis=0) + 1]
+    if sum(widths) < 64:  # one number for an n-gram sorts faster than three
+        key = (grams[:, 0] << widths[1] | grams[:, 1]) << widths[2] | (grams[:, 2] + 1)
+        order = np.argsort(key)
+        key = key[order]
+        new[1:] = key[1:] != key[:-1]
+        return order, new
+    pair = (grams[:, 0] << 32 | grams[:, 1],) if grams[:, :2].max() < 1 << 31 else (grams[:, 1], grams[:, 0])
+    order = np.lexsort((grams[:, 2], *pair))
+    new[1:] = (grams[order[1:]] != grams[order[:-1]]).any(axis=1)
+    return order, new
+
+
 def _answers(asked: DataFrame) -> DataFrame:
     """(of: the batch, shard, codes): what the shard's trie says to each batch's n-grams."""
 
@@ -219,13 +236,8 @@ def _answers(asked: DataFrame) -> DataFrame:
             counts.append(n)
             sizes.append(len(n))
         grams, counts = np.concatenate(grams), np.concatenate(counts)
-        wide = grams[:, :2].max() < 1 << 31
-        pair = (grams[:, 0] << 32 | grams[:, 1],) if wide else (grams[:, 1], grams[:, 0])
-        order = np.lexsort((grams[:, 2], *pair))
-        grams, counts = grams[order], counts[order]
-        new = np.ones(len(grams), bool)
-        new[1:] = (grams[1:, 2] != grams[:-1, 2]) | (grams[1:, 1] != grams[:-1, 1]) | (grams[1:, 0] != grams[:-1, 0])
-        total, own = np.add.reduceat(counts, np.flatnonzero(new)), grams[new]
+        order, new = _side_by_side(grams)
+        total, own = np.add.reduceat(counts[order], np.flatnonzero(new)), grams[order[new]]
         trained = total > 0
         code = 1 + np.rint(_STEP * np.log2(total[trained])).astype(np.int64)
         with tempfile.TemporaryDirectory() as folder:

@@ -69,6 +69,16 @@ def test_packed_numbers_come_back():
     assert [x.tolist() for x in language.unpack(language.pack(*parts))] == [x.tolist() for x in parts]
 
 
+def test_equal_ngrams_stand_side_by_side():
+    g = np.random.default_rng(4)
+    for top in (9, 1 << 20, 1 << 30, 1 << 40):  # one number, three numbers, wide ones
+        grams = np.column_stack([g.integers(0, top, 4000), g.integers(0, top, 4000), g.integers(-1, top, 4000)])
+        grams = np.concatenate([grams, grams[:1500]])
+        order, new = language._side_by_side(grams)
+        assert sorted(order.tolist()) == list(range(len(grams)))
+        assert list(map(tuple, grams[order[new]].tolist())) == sorted(set(map(tuple, grams.tolist())))
+
+
 # -- language model -----------------------------------------------------------------------
 
 def model(rows, weights):
