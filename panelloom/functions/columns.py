@@ -58,7 +58,9 @@ class Frames:
 
     Build columns with :meth:`roll`, :meth:`beta` and :meth:`corr`; then ``add(df, cols)``
     adds them.  A rolling value exists only with ``min_rows`` (default: the width) non-null
-    inputs in its frame.
+    inputs in its frame.  :meth:`past`, :meth:`held`, :meth:`total` and :meth:`ever` read other rows
+    of the instrument as they are, NaN and infinities included; what an ``add`` leaves lies
+    ``dealt`` for the next one, so that columns which use one another cross one exchange.
     """
 
     def __init__(self, w: WindowSpec | None = None, lag: bool = False):
@@ -90,6 +92,30 @@ class Frames:
     def roll(self, fn, x, n: int, min_rows: int | None = None) -> Column:
         return self._value(fn, n, self._input(x), need=min_rows or n)
 
+    def _row(self, fn: str, x, n: int = 0) -> Column:
+        """A value of the column as it is, from the instrument's other rows."""
+        name = "__raw_" + hashlib.md5(repr(x).encode()).hexdigest()[:12]
+        self.inputs[name] = col(x).cast("double")
+        key = f"__{fn}_{n}_{name}"
+        self.parts[key] = (fn, n, (name,), None, False, 0)
+        return F.col(key)
+
+    def past(self, x, k: int = 1) -> Column:
+        """The value ``k`` rows before."""
+        return self._row("past", x, k)
+
+    def held(self, x) -> Column:
+        """The last value up to the row."""
+        return self._row("held", x)
+
+    def total(self, x) -> Column:
+        """Sum of all rows up to the row."""
+        return self._row("total", x)
+
+    def ever(self, x) -> Column:
+        """1.0 where any of the instrument's rows has a value, else 0.0."""
+        return self._row("ever", x)
+
     def _pair(self, y, x) -> tuple[str, str]:
         """The inputs where both are present."""
         a, b = self.inputs[self._input(y)], self.inputs[self._input(x)]
@@ -109,16 +135,22 @@ class Frames:
         sd = lambda v: self._value(F.stddev_samp, n, v, need=n)
         return self._value(F.covar_samp, n, y, x, need=n) / nz(sd(y) * sd(x))
 
-    def add(self, df: DataFrame, columns: dict[str, Column], keep: list[str] | None = None) -> DataFrame:
-        """``df`` and ``columns``; of its own columns only those to ``keep``, if given."""
+    def clear(self) -> None:
+        """Forgets what was built so far."""
+        for x in (self.inputs, self.totals, self.parts):
+            x.clear()
+
+    def add(self, df: DataFrame, columns: dict[str, Column], keep: list[str] | None = None, dealt: bool = False) -> DataFrame:
+        """``df`` and ``columns``; of its own columns only those to ``keep``, if given.  ``dealt``:
+        partitions of ``df`` hold whole instruments in date order, as an ``add`` leaves them."""
         if self.w is None:
-            return self._rolled(df, keep or df.columns).withColumns(columns)
+            return self._rolled(df, keep or df.columns, dealt).withColumns(columns)
         for extra in (self.inputs, self.totals):
             new = {k: v for k, v in extra.items() if k not in df.columns}
             df = df.withColumns(new) if new else df
         return df.withColumns(columns)
 
-    def _rolled(self, df: DataFrame, keep: list[str]) -> DataFrame:
+    def _rolled(self, df: DataFrame, keep: list[str], dealt: bool) -> DataFrame:
         """The frames' values that ``df`` has not yet, in one pass over the instruments."""
         todo = {k: part for k, part in self.parts.items() if k not in df.columns}
         if not todo:
@@ -129,8 +161,10 @@ class Frames:
         out = T.StructType([*kept.schema.fields, *[T.StructField(k, v) for k, v in types.items()]])
         rolled, lag = _kernel(WIDE, CELLS), self.lag
         layouts: dict = {}
+        plain = {k: part[:3] for k, part in todo.items() if part[0] in ("past", "held", "total", "ever")}
         for k, (fn, n, names, only, _, need) in todo.items():
-            layouts.setdefault((n, only), {})[k] = (fn, n, names, need)
+            if k not in plain:
+                layouts.setdefault((n, only), {})[k] = (fn, n, names, need)
         more = [*inputs, *sorted({only for _, only in layouts if only and only not in keep})]
 
         def begins(table):
@@ -144,6 +178,25 @@ class Frames:
             fresh, made = begins(table), {}
             at = np.arange(len(fresh))
             first = np.maximum.accumulate(np.where(fresh, at, 0))
+            starts = np.flatnonzero(fresh)
+
+            def put(k, full, known):
+                if lag:
+                    full, known = np.roll(full, 1), np.roll(known, 1) & ~fresh
+                made[k] = pa.array(full, mask=~known)
+
+            for k, (fn, n, (x,)) in plain.items():
+                has, v = values[x]
+                if fn == "past":
+                    from_ = np.maximum(at - n, 0)
+                    put(k, v[from_], has[from_] & (at - n >= first))
+                elif fn == "ever":
+                    put(k, np.repeat(np.logical_or.reduceat(has, starts), np.diff([*starts, len(at)])).astype(float), np.ones(len(at), bool))
+                else:
+                    last = np.maximum.accumulate(np.where(has, at, -1))
+                    with np.errstate(all="ignore"):
+                        full = v[last] if fn == "held" else np.concatenate([np.cumsum(x) for x in np.split(v, starts[1:])])
+                    put(k, full, last >= first)
             for (n, only), parts in layouts.items():
                 live = np.ones(len(fresh), bool) if only is None else read(only).fill_null(False).to_numpy(zero_copy_only=False)
                 rows = np.flatnonzero(live)
@@ -160,9 +213,7 @@ class Frames:
                     full[rows], known[rows] = v[place], has[place]
                     if todo[k][4]:
                         full, known = full[last], known[last] & (last >= first)
-                    if lag:
-                        full, known = np.roll(full, 1), np.roll(known, 1) & ~fresh
-                    made[k] = pa.array(full, mask=~known)
+                    put(k, full, known)
             nothing = lambda k: pa.nulls(len(fresh), pa.int64() if todo[k][0] == "count" else pa.float64())
             return pa.Table.from_arrays([*[table.column(x) for x in keep], *[made.get(k, nothing(k)) for k in todo]], names=out.names).to_batches()
 
@@ -180,7 +231,9 @@ class Frames:
                 yield from filled(pa.Table.from_batches(rest))
 
         rows = df.withColumns({x: self.inputs[x] for x in inputs}).select(*keep, *more)
-        return rows.repartition("ticker").sortWithinPartitions("ticker", "date").mapInArrow(run, out)
+        if not dealt:
+            rows = rows.repartition("ticker").sortWithinPartitions("ticker", "date")
+        return rows.mapInArrow(run, out)
 
 
 def _kernel(wide: int, cells: int):

@@ -2,13 +2,15 @@
 
 All features are frames over one window specification (``ticker`` by ``date``).  They
 are added level by level: the frames of a level are one pass over the instruments, however
-many columns read them.  The last level lags every feature by one
+many columns read them.  Rows are dealt by instrument once; every level finds them as the one
+before left them and hands on only what a later one reads.  The last level lags every feature by one
 row: a feature on a date only knows earlier rows.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import zip_longest
@@ -16,7 +18,7 @@ from itertools import zip_longest
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelloom.functions import Frames, by_ticker, ffill, nz, pct_change, sqrt0
+from panelloom.functions import Frames, by_ticker, nz, pct_change, sqrt0
 from panelloom.functions.columns import TRADING_DAYS
 
 ANNUAL = math.sqrt(TRADING_DAYS)
@@ -56,14 +58,19 @@ def paired_beta(fr: Frames, has: set[str]) -> Column:
     return F.when(c("_pair"), fr.beta("_ret", "_ctx", 60, only="_pair")) if "_pair" in has else missing()
 
 
+def change(fr: Frames, x: str, k: int) -> Column:
+    """Relative change over ``k`` rows."""
+    return c(x) / nz(fr.past(x, k)) - 1.0
+
+
 # -- families: each yields its levels; a level may use the columns of earlier ones ----
 
 def momentum(fr: Frames, has: set[str]) -> Iterator[Level]:
-    base = {f"return_{n}": pct_change("close", by_ticker(), k) for n, k in
+    base = {f"return_{n}": change(fr, "close", k) for n, k in
             [("1m", 21), ("3m", 63), ("6m", 126), ("12m", 252), ("5d", 5), ("10d", 10)]}
     base |= {
-        "_beta1": ffill(F.when(c("_pair"), F.coalesce(paired_beta(fr, has), F.lit(1.0))) if "_pair" in has else missing(), by_ticker()),
-        "_ctx21f": ffill("_ctx21", by_ticker()),
+        "_beta1": fr.beta("_ret", "_ctx", 60, only="_pair", held=True, default=1.0) if "_pair" in has else missing(),
+        "_ctx21f": fr.held("_ctx21"),
         "bollinger_distance": (c("close") - fr.roll(F.avg, "close", 20)) / nz(fr.roll(F.stddev_samp, "close", 20)),
         "rolling_sharpe": fr.roll(F.avg, "_ret", 60) / nz(fr.roll(F.stddev_samp, "_ret", 60)) * ANNUAL,
     }
@@ -88,7 +95,7 @@ def value(fr: Frames, has: set[str]) -> Iterator[Level]:
 def quality(fr: Frames, has: set[str]) -> Iterator[Level]:
     level = {k: nz(k) if k in has else missing() for k in ("roe", "roa", "earnings_growth")}
     level = {f"_q_{k}": v for k, v in level.items()}
-    level["_ret1"] = F.lag("_ret").over(by_ticker())
+    level["_ret1"] = fr.past("_ret")
     level["earnings_stability"] = -fr.roll(F.stddev_samp, "_ret", 126)
     level["gross_margin"] = -fr.roll(F.avg, (c("high") - c("low")) / nz("close"), 21)
     yield level
@@ -101,7 +108,7 @@ def growth(fr: Frames, has: set[str]) -> Iterator[Level]:
     vol, money = nz("volume"), c("close") * nz("volume")
     long_run = lambda x, n: fr.roll(F.avg, x, n) / nz(fr.roll(F.avg, x, 126)) - 1.0
     yield {
-        "price_acceleration": pct_change("close", by_ticker(), 21) - pct_change("close", by_ticker(), 63) / 3.0,
+        "price_acceleration": change(fr, "close", 21) - change(fr, "close", 63) / 3.0,
         "volume_growth_1m": long_run(vol, 21), "volume_growth_3m": long_run(vol, 63),
         "revenue_proxy_growth": long_run(money, 21),
         "expansion_breakout": c("close") / nz(fr.roll(F.max, "close", 252)) - 1.0,
@@ -120,8 +127,7 @@ def liquidity(fr: Frames, has: set[str]) -> Iterator[Level]:
     z = lambda x: (c(x) - fr.roll(F.avg, x, 252)) / nz(fr.roll(F.stddev_samp, x, 252))
     scored = {"_z1": -z("amihud_21"), "_z2": -z("hl_spread_proxy"), "_z3": z("turnover_ratio")}
     # inputs that never exist for a ticker are left out; at least two must exist
-    any_ = lambda x: F.coalesce(F.max(c(x).isNotNull().cast("int")).over(Window.partitionBy("ticker")), F.lit(0))
-    scored["_usable"] = any_("amihud_21") + any_("hl_spread_proxy") + any_("turnover_ratio")
+    scored["_usable"] = fr.ever("amihud_21") + fr.ever("hl_spread_proxy") + fr.ever("turnover_ratio")
     yield scored
     parts = ["_z1", "_z2", "_z3"]
     total = sum((F.coalesce(c(p), F.lit(0.0)) for p in parts), F.lit(0.0))
@@ -161,13 +167,12 @@ def macro(fr: Frames, has: set[str]) -> Iterator[Level]:
 
 
 def sentiment(fr: Frames, has: set[str]) -> Iterator[Level]:
-    delta = c("close") - F.lag("close").over(by_ticker())
+    delta = c("close") - fr.past("close")
     typical = (c("high") + c("low") + c("close")) / 3.0
     yield {
-        "_obv": F.when(c("_ret").isNotNull(), F.sum(c("volume") * F.signum("_ret")).over(
-            by_ticker().rowsBetween(Window.unboundedPreceding, 0))),
+        "_obv": F.when(c("_ret").isNotNull(), fr.total(c("volume") * F.signum("_ret"))),
         "_gain": F.greatest(delta, F.lit(0.0) * delta), "_loss": -F.least(delta, F.lit(0.0) * delta),
-        "_typ": typical, "_typ1": F.lag(typical).over(by_ticker()),
+        "_typ": typical, "_typ1": fr.past(typical),
     }
     flow = c("_typ") * nz("volume")
     h14, l14 = fr.roll(F.max, "high", 14), fr.roll(F.min, "low", 14)
@@ -189,7 +194,7 @@ def sentiment(fr: Frames, has: set[str]) -> Iterator[Level]:
 
 
 def alternative(fr: Frames, has: set[str]) -> Iterator[Level]:
-    prev = F.lag("close").over(by_ticker())
+    prev = fr.past("close")
     yield {
         "weekday_effect": F.weekday("date").cast("double"),
         "month_end_effect": (F.dayofmonth("date") >= 28).cast("double"),
@@ -242,19 +247,41 @@ FAMILIES: dict[str, Family] = {f.name: f for f in [
 _WORKING = {"amihud_illiquidity": "amihud_21", "roe": "_q_roe", "roa": "_q_roa", "earnings_growth": "_q_earnings_growth"}
 
 
-def _lagged(df: DataFrame, working: dict[str, str], keep: list[str]) -> DataFrame:
-    return df.select(*keep, *[F.lag(w).over(by_ticker()).alias(name) for name, w in working.items()])
+def _read(*columns: Column) -> set[str]:
+    """Names that may be columns which the expressions read."""
+    return {x for v in columns for x in re.findall(r"\w+", repr(v))}
+
+
+def _levels(names: list[str], fr: Frames, has: set[str]) -> Iterator[Level]:
+    """The levels of the families side by side."""
+    for level in zip_longest(*[FAMILIES[n].levels(fr, has) for n in names], fillvalue={}):
+        yield {k: v for part in level for k, v in part.items()}
 
 
 def compute_families(panel: DataFrame, context: DataFrame | None = None, names: list[str] | None = None) -> DataFrame:
-    """The chosen families (default: all) as ``date, ticker`` plus their lagged columns."""
+    """The chosen families (default: all) as ``date, ticker`` plus their lagged columns.
+
+    Rows cross one exchange, with the panel's columns and the context: see :class:`Frames`."""
+    names = names or list(FAMILIES)
     df = prepare(panel, context)
     has = set(df.columns)
-    fr = Frames()
-    for level in zip_longest(*[FAMILIES[n].levels(fr, has) for n in (names or FAMILIES)], fillvalue={}):
-        df = fr.add(df, {k: v for part in level for k, v in part.items()})
-    columns = [col for n in (names or FAMILIES) for col in FAMILIES[n].columns]
-    return _lagged(df, {x: _WORKING.get(x, x) for x in columns}, ["date", "ticker"])
+    working = {x: _WORKING.get(x, x) for n in names for x in FAMILIES[n].columns}
+    # what each level reads, and with it the levels after it
+    fr, reads = Frames(), []
+    for level in _levels(names, fr, has):
+        reads.append(_read(*level.values(), *fr.inputs.values()) | {part[3] for part in fr.parts.values() if part[3]})
+        fr.clear()
+    reads.append({"date", "ticker", *working.values()})
+    later = [set().union(*reads[i:]) for i in range(len(reads))]
+    fr, dealt = Frames(), False
+    for i, level in enumerate(_levels(names, fr, has)):
+        df = fr.add(df, level, [x for x in df.columns if x in later[i]], dealt)
+        df, dealt = df.select(*[x for x in df.columns if x in later[i + 1]]), dealt or bool(fr.parts)
+        fr.clear()
+    last = Frames()
+    lagged = {name: last.past(w) for name, w in working.items()}
+    df = last.add(df, {f"__out_{name}": v for name, v in lagged.items()}, ["date", "ticker"], dealt)
+    return df.select("date", "ticker", *[c(f"__out_{name}").alias(name) for name in lagged])
 
 
 def core_features(panel: DataFrame, context: DataFrame | None = None, only: list[str] | None = None) -> DataFrame:
