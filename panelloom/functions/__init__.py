@@ -1,6 +1,6 @@
 from panelloom.functions.joins import asof_join, calendar  # noqa: F401
 from panelloom.functions.columns import (  # noqa: F401
-    Frames, by_ticker, ffill, nz, pct_change, present, safe_corr, skew_adjusted, sqrt0, tidy,
+    Frames, by_ticker, ffill, nz, pct_change, per_instrument, present, safe_corr, skew_adjusted, sqrt0, tidy,
 )
 from panelloom.functions.order_stats import (  # noqa: F401
     average_rank, column_quantiles, ordered_counts, percent_rank, quantiles, rank_columns, row_positions,

@@ -167,10 +167,7 @@ class Frames:
                 layouts.setdefault((n, only), {})[k] = (fn, n, names, need)
         more = [*inputs, *sorted({only for _, only in layouts if only and only not in keep})]
 
-        def begins(table):
-            """Where an instrument's rows begin."""
-            ids = table.column("ticker").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
-            return np.append(True, ids[1:] != ids[:-1])
+        begins, run = _streamed()
 
         def filled(table):
             read = lambda x: table.column(x).combine_chunks()
@@ -217,23 +214,50 @@ class Frames:
             nothing = lambda k: pa.nulls(len(fresh), pa.int64() if todo[k][0] == "count" else pa.float64())
             return pa.Table.from_arrays([*[table.column(x) for x in keep], *[made.get(k, nothing(k)) for k in todo]], names=out.names).to_batches()
 
-        def run(batches):
-            rest: list = []  # the instrument whose rows may go on in the next batch
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                table = pa.Table.from_batches([*rest, batch])
-                cut = int(np.flatnonzero(begins(table))[-1])
-                if cut:
-                    yield from filled(table.slice(0, cut))
-                rest = table.slice(cut).to_batches()
-            if rest:
-                yield from filled(pa.Table.from_batches(rest))
-
         rows = df.withColumns({x: self.inputs[x] for x in inputs}).select(*keep, *more)
-        if not dealt:
-            rows = rows.repartition("ticker").sortWithinPartitions("ticker", "date")
-        return rows.mapInArrow(run, out)
+        return _dealt(rows, dealt).mapInArrow(lambda batches: run(batches, filled), out)
+
+
+def _dealt(df: DataFrame, dealt: bool) -> DataFrame:
+    return df if dealt else df.repartition("ticker").sortWithinPartitions("ticker", "date")
+
+
+def _streamed():
+    """Functions for the tasks, nested so that they travel with them."""
+
+    def begins(table):
+        """Where an instrument's rows begin."""
+        ids = table.column("ticker").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        return np.append(True, ids[1:] != ids[:-1])
+
+    def run(batches, fn):
+        """``fn`` (table to batches) over tables of whole instruments."""
+        rest: list = []  # the instrument whose rows may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([*rest, batch])
+            cut = int(np.flatnonzero(begins(table))[-1])
+            if cut:
+                yield from fn(table.slice(0, cut))
+            rest = table.slice(cut).to_batches()
+        if rest:
+            yield from fn(pa.Table.from_batches(rest))
+
+    return begins, run
+
+
+def per_instrument(df: DataFrame, fn, schema, dealt: bool = False) -> DataFrame:
+    """``fn`` (Arrow table to Arrow table) on each instrument's rows in date order; rows stay
+    whole instruments in order.  ``dealt``: they lie so already."""
+    begins, run = _streamed()
+
+    def each(table):
+        starts = np.flatnonzero(begins(table))
+        parts = [fn(table.slice(a, b - a)) for a, b in zip(starts, [*starts[1:], table.num_rows], strict=True)]
+        return pa.concat_tables(parts).combine_chunks().to_batches()
+
+    return _dealt(df, dealt).mapInArrow(lambda batches: run(batches, each), schema)
 
 
 def _kernel(wide: int, cells: int):

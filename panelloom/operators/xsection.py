@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelloom.functions import Frames, column_quantiles, rank_columns, stage, with_stats
+from panelloom.functions import Frames, column_quantiles, per_instrument, rank_columns, stage, with_stats
 from panelloom.operators.features import CORE_FAMILIES, DESCENDING
 
 c = F.col
@@ -93,18 +93,19 @@ def drop_correlated(df: DataFrame, features: list[str], threshold: float = 0.6)
     return df.drop(*doomed)
 
 
-def own_history_zscore(df: DataFrame, features: list[str], low=0.01, high=0.99, epsilon=1e-6) -> DataFrame:
-    """Winsorize on the instrument's whole history, then rolling z-score (252 rows, 60 needed)."""
+def own_history_zscore(df: DataFrame, features: list[str], low=0.01, high=0.99, epsilon=1e-6, dealt: bool = False) -> DataFrame:
+    """Winsorize on the instrument's whole history, then rolling z-score (252 rows, 60 needed).
+    ``dealt``: rows lie as frames leave them (see :class:`Frames`); else they cross one exchange."""
     fr, rest = Frames(), [x for x in df.columns if x not in features]
     df = df.select(*rest, *[c(f).cast("double").alias(f) for f in features])
     z = lambda x: (c(x) - fr.roll(F.avg, x, 252, 60)) / (fr.roll(F.stddev_samp, x, 252, 60) + epsilon)
-    return fr.add(_clipped_history(df, features, low, high), {f"__z_{f}": z(f) for f in features}).select(
+    return fr.add(_clipped_history(df, features, low, high, dealt), {f"__z_{f}": z(f) for f in features}, dealt=True).select(
         *rest, *[c(f"__z_{f}").alias(f) for f in features])
 
 
-def _clipped_history(df: DataFrame, features: list[str], low: float, high: float) -> DataFrame:
-    """Columns clipped at their quantiles over the instrument's rows: an instrument's history
-    is one Arrow table, bounded by the calendar.  NaN is the greatest value, as in Spark."""
+def _clipped_history(df: DataFrame, features: list[str], low: float, high: float, dealt: bool = False) -> DataFrame:
+    """Columns clipped at their quantiles over the instrument's rows, in date order: an instrument's
+    history is one Arrow table, bounded by the calendar.  NaN is the greatest value, as in Spark."""
 
     def level(x, q):
         h = (len(x) - 1) * q
@@ -125,4 +126,4 @@ def _clipped_history(df: DataFrame, features: list[str], low: float, high: float
             table = table.set_column(table.column_names.index(f), f, pa.array(out, mask=~has))
         return table
 
-    return df.groupBy("ticker").applyInArrow(clip, df.schema)
+    return per_instrument(df, clip, df.schema, dealt)

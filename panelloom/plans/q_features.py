@@ -16,9 +16,14 @@ def context(t):
     return t.market().withColumnRenamed("mkt_ret", "ctx_ret")
 
 
+def core_rows(t):
+    """Core features for one reader, not staged: whole instruments in date order."""
+    return features.core_features(t.panel(), context(t))
+
+
 @query("features_core", fin("date:d ticker:k close " + " ".join(CORE), "SELECT * FROM core"))
 def _(t):
-    return features.core_features(t.panel(), context(t))
+    return core_rows(t)
 
 
 @query("features_core_no_context", fin(
@@ -185,7 +190,7 @@ _OWN = LIVE
         f"CASE WHEN {f} IS NOT NULL THEN least(greatest({f}, quantile_cont({f}, 0.01) OVER (PARTITION BY ticker)), quantile_cont({f}, 0.99) OVER (PARTITION BY ticker)) END AS {f}"
         for f in _OWN) + " FROM core)"))
 def _(t):
-    return xsection.own_history_zscore(t.core().select("date", "ticker", *_OWN), _OWN)
+    return xsection.own_history_zscore(core_rows(t).select("date", "ticker", *_OWN), _OWN, dealt=True)
 
 
 @query("features_model_matrix")

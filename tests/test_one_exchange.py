@@ -46,3 +46,14 @@ def test_other_rows_of_an_instrument_match_pandas(spark):
     want = pd.concat(want).sort_values(["ticker", "date"]).reset_index(drop=True)
     for k in ("p", "h", "t", "e", "pp"):
         np.testing.assert_allclose(got[k].astype(float), want[k], rtol=1e-12)
+
+
+def test_own_history_crosses_one_exchange(panel):
+    from panelloom.operators import xsection
+
+    df = panel.select("date", "ticker", "close", "volume")
+    assert exchanges(xsection.own_history_zscore(df, ["close", "volume"]), "ticker") == 1
+    core = features.core_features(panel, only=["volume_shock"]).select("date", "ticker", "volume_shock")
+    assert exchanges(xsection.own_history_zscore(core, ["volume_shock"], dealt=True), "ticker") == 1
+    want = collect(xsection.own_history_zscore(core, ["volume_shock"]), "ticker", "date")
+    pd.testing.assert_frame_equal(collect(xsection.own_history_zscore(core, ["volume_shock"], dealt=True), "ticker", "date"), want)
