@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from panelloom.functions import rank_columns, stage, tidy
 from panelloom.functions.staging import staging_root
-from panelloom.operators import backtest, labels, models, portfolio, universe, xsection
+from panelloom.operators import backtest, features, labels, models, portfolio, universe, xsection
 from panelloom.plans.oracle import fin, pctrank, r
 from panelloom.plans.q_backtest import MONTH, backtest_daily
 from panelloom.plans.registry import query
@@ -67,11 +67,11 @@ MEM = {"mem": "SELECT date, ticker, " + ", ".join(f"{pctrank(f)} AS m{i}" for i,
 
 @staged
 def member_table(t: Tables):
-    df = t.core().select("date", "ticker", *FEATURES[:3]).dropna()
-    df = rank_columns(df.select("date", "ticker", *[c(f).alias(m) for f, m in zip(FEATURES, MEMBERS)]), ["date"], MEMBERS)
+    df = features.core_features(t.panel(), only=FEATURES[:3]).select("date", "ticker", *FEATURES[:3]).dropna()
+    df = rank_columns(df.select("date", "ticker", *[c(f).alias(m) for f, m in zip(FEATURES, MEMBERS)]), ["date"], MEMBERS, like=t.panel())
     y = labels.target_panel(t.panel(), 21).select("date", "ticker", "target")
     mean = (c("m0") + c("m1") + c("m2")) / 3.0
-    return df.select("date", "ticker", *MEMBERS, mean.alias("prediction")).join(y, ["date", "ticker"])
+    return df.select("date", "ticker", *MEMBERS).join(y, ["date", "ticker"]).select("date", "ticker", *MEMBERS, mean.alias("prediction"), "target")
 
 
 @query("model_score_zscore", fin("date:d ticker:k score", "SELECT date, ticker, (prediction - avg(prediction) OVER (PARTITION BY date)) / (stddev_samp(prediction) OVER (PARTITION BY date) + 1e-8) AS score FROM pr", MEM))

@@ -57,3 +57,25 @@ def test_own_history_crosses_one_exchange(panel):
     assert exchanges(xsection.own_history_zscore(core, ["volume_shock"], dealt=True), "ticker") == 1
     want = collect(xsection.own_history_zscore(core, ["volume_shock"]), "ticker", "date")
     pd.testing.assert_frame_equal(collect(xsection.own_history_zscore(core, ["volume_shock"], dealt=True), "ticker", "date"), want)
+
+
+def test_ranks_meet_their_targets_as_bins(spark):
+    """What is staged for the join holds a byte a feature, and rows are those of a join of the ranks."""
+    import os
+
+    from panelloom.functions.staging import staging_root
+    from panelloom.operators import boosting
+
+    g = np.random.default_rng(2)
+    pdf = pd.DataFrame([(d, t) for d in pd.bdate_range("2021-01-04", periods=6).date for t in "abcdef"], columns=["date", "ticker"])
+    pdf["f0"], pdf["f1"] = g.integers(1, 7, len(pdf)) / 6, g.integers(1, 7, len(pdf)) / 6
+    ranks = spark.createDataFrame(pdf).withColumn("f1", F.when(F.col("ticker") != "f", F.col("f1")))
+    target = spark.createDataFrame(pdf.iloc[::2][["date", "ticker"]].assign(target=0.5))
+    kept = lambda: {x for x in (os.listdir(staging_root(spark)) if os.path.isdir(staging_root(spark)) else []) if x.startswith("bins-")}
+    before = kept()
+    got = collect(boosting.binned(ranks, ["f0", "f1"], "target", 8, target), "day", "ticker")
+    (made,) = kept() - before
+    assert dict(spark.read.parquet(os.path.join(staging_root(spark), made)).dtypes) == {"date": "date", "ticker": "string", "b0": "tinyint", "b1": "tinyint"}
+    want = collect(boosting.binned(ranks.join(target, ["date", "ticker"], "left"), ["f0", "f1"], "target", 8), "day", "ticker")
+    pd.testing.assert_frame_equal(got, want)
+    assert len(got) == 30 and got["y"].notna().sum() == 18
